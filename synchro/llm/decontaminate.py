@@ -1,6 +1,7 @@
 """Benchmark decontamination by a BM25 index of test items with block-max WAND (operator 8).
 
-Every text is cut into passages of PASSAGE words that overlap by half, and every passage queries an
+Terms are pairs of neighbouring words: single words of a test item are common in any text, so bounds
+on them would skip little.  Every text is cut into passages of PASSAGE words that overlap by half, and every passage queries an
 inverted index of the test items.  Impacts are BM25 term weights divided by the item's own score
 (its text as a query), so one threshold suits all items.  Postings are ordered by item and cut into
 blocks of BLOCK items with the largest impact of each block.  A passage's bound for a block is the
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from .toxicity import _INSIDE
 
-PASSAGE, SHINGLE, BLOCK = 128, 5, 16
+PASSAGE, SHINGLE, PAIR, BLOCK = 128, 5, 2, 4
 K1, B = 1.2, 0.75
 #: Share of the item's own score that retrieves it, and of shingles that verifies it.
 THRESHOLD, OVERLAP, ANSWER_PART = 0.4, 0.5, 0.25
 #: Items that one index (one broadcast) holds at most.
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 2_000
 
 
 def tokens(data: np.ndarray, at: np.ndarray):
@@ -46,10 +47,10 @@ def tokens(data: np.ndarray, at: np.ndarray):
     return s, e, first, C.span_hashes(data, s, e, fold_case=True)
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
+def _shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     if not len(h):
         return h
-    return C.windows(h if len(h) >= SHINGLE else np.concatenate((h, np.full(SHINGLE - len(h), len(h), np.uint64))), SHINGLE)
+    return C.windows(h if len(h) >= k else np.concatenate((h, np.full(k - len(h), len(h), np.uint64))), k)
 
 
 def _answer_from(text: bytes, s: np.ndarray, e: np.ndarray) -> int:
@@ -74,7 +75,7 @@ class Index:
             if len(h):
                 cut = _answer_from(t, s, e)
                 self.ids.append(i)
-                words.append(h)
+                words.append(_shingles(h, PAIR))
                 own = _shingles(h)  # a shingle belongs to the part its last word lies in
                 cut = min(max(cut - SHINGLE + 1, 1), len(own))
                 self.question.append(np.unique(own[:cut]))
@@ -101,17 +102,19 @@ class Index:
         self.blocks = -(-n // BLOCK) if n else 0
         self.block_max = np.zeros((len(self.terms) + 1, self.blocks), np.float32)  # the last row: words of no item
         np.maximum.at(self.block_max, (term, item // BLOCK), impact)
+        self.hint = np.zeros(1 << 20, bool)
+        self.hint[self.terms & np.uint64((1 << 20) - 1)] = True
         self.term_max = self.block_max.max(1) if self.blocks else np.zeros(len(self.terms) + 1, np.float32)
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[at] == h, at, len(self.terms))
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h that hold a term of the index, and the terms."""
+        at = np.flatnonzero(self.hint[h & np.uint64((1 << 20) - 1)])
+        term = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
+        ok = self.terms[term] == h[at]
+        return at[ok], term[ok]
 
-    def retrieve(self, term: np.ndarray, a: int, b: int, blocks: np.ndarray) -> list[tuple[int, float]]:
-        """Items of the blocks at or above the threshold for the passage term[a:b]."""
-        found = []
-        mine = np.unique(term[a:b])
-        mine = mine[mine < len(self.terms)]
+    def retrieve(self, mine: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
+        """Items of the blocks at or above the threshold for a passage of these distinct terms."""
         score = np.zeros(self.blocks * BLOCK)
         live = np.zeros(self.blocks, bool)
         live[blocks] = True
@@ -119,32 +122,39 @@ class Index:
             p = slice(self.post_first[t], self.post_first[t + 1])
             on = live[self.post_item[p] // BLOCK]
             score[self.post_item[p][on]] += self.post_impact[p][on]
-        for k in np.flatnonzero(score >= THRESHOLD - 1e-6):
-            found.append((int(k), float(score[k])))
-        return found
+        return [(int(k), float(score[k])) for k in np.flatnonzero(score >= THRESHOLD - 1e-6)]
 
     def search(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
-        """(row, item, best score) of all passages of the rows."""
-        if not self.blocks:
+        """(row, item, best score) of all passages of the rows, given as word hashes."""
+        if not self.blocks or not len(h):
             return []
-        term = self.lookup(h)
-        step = PASSAGE // 2
         n = np.diff(first)
-        per = np.where(n > 0, np.maximum(1, -(-(n - step) // step)), 0)
+        pairs = np.concatenate((C.windows(h, PAIR), h[:1] * 0))[: len(h)]
+        ends = first[1:][n > 0] - 1  # a row's last word starts no pair
+        alone = first[:-1][n == 1]
+        pairs[ends] = 0
+        for r in alone:
+            pairs[r] = _shingles(h[r : r + 1], PAIR)[0]
+        at, term = self.lookup(pairs)
+        # a row's passages are two neighbouring halves each; a short row is one half
+        half = PASSAGE // 2
+        per = -(-n // half)
+        halves = np.concatenate(([0], np.cumsum(per)))
+        row = np.searchsorted(first, at, "right") - 1
+        own = np.unique((halves[row] + (at - first[row]) // half) * np.int64(len(self.terms)) + term)
+        where, term = own // len(self.terms), own % len(self.terms)
+        bound = np.bincount(where, weights=self.term_max[term], minlength=halves[-1] + 1)
+        starts = np.searchsorted(where, np.arange(halves[-1] + 2))
         row = np.repeat(np.arange(len(n)), per)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-        a = first[row] + k * step
-        b = np.minimum(a + PASSAGE, first[row + 1])
-        # bound over all blocks first, then by block where that may do
-        total = np.concatenate(([0.0], np.cumsum(self.term_max[term], dtype=np.float64)))
-        maybe = np.flatnonzero(total[b] - total[a] >= THRESHOLD - 1e-6)
+        last = halves[row + 1] - 1
+        k = np.arange(halves[-1])
+        keep = ((k < last) | (per[row] == 1)) & (bound[k] + np.where(k < last, bound[k + 1], 0) >= THRESHOLD - 1e-6)
         best: dict[tuple[int, int], float] = {}
-        for m in maybe:
-            seen = np.unique(term[a[m] : b[m]])
-            bound = self.block_max[seen].sum(0)
-            blocks = np.flatnonzero(bound >= THRESHOLD - 1e-6)
+        for m in np.flatnonzero(keep):
+            mine = np.unique(term[starts[m] : starts[min(m + 1, last[m]) + 1]])
+            blocks = np.flatnonzero(self.block_max[mine].sum(0) >= THRESHOLD - 1e-6)
             if len(blocks):
-                for item, score in self.retrieve(term, a[m], b[m], blocks):
+                for item, score in self.retrieve(mine, blocks):
                     key = (int(row[m]), item)
                     best[key] = max(best.get(key, 0.0), score)
         return [(r, i, s) for (r, i), s in best.items()]
