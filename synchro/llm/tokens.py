@@ -1,39 +1,129 @@
 """Token ids of texts by the tokenizers library, with each distinct piece encoded once.
 
-Both tokenizers cut a text by a pattern and encode every cut by itself.  For texts of plain Latin
-letters the places below are always cuts, so a text's ids are its pieces' ids one after the other,
-and pieces repeat.  Any other text is encoded whole, by the library alone:
+Both tokenizers cut a text by a pattern and encode every cut by itself.  In a text of plain Latin
+letters the ends of runs of letters and digits, of other marks and of white space are always cuts,
+so a text's ids are its pieces' ids one after the other, and pieces repeat.  Pieces are found and
+looked up by a 64-bit hash with numpy, for a chunk of texts at once; new ones go to the library.
 
-* characters beyond U+024F (marks, other scripts, wide spaces), controls \\x1c-\\x1f, U+0085, U+00A0
-  and U+0130, for which the rules of Python's `re` and the tokenizer's may differ;
-* texts with a special token's opening `<|`.
+Any other text goes to the library whole: with characters beyond U+024F (marks, other scripts, wide
+spaces), in U+0080-U+00BF, U+00D7, U+00F7 or U+0130, controls \\x1c-\\x1f, apostrophes (contractions)
+or a special token's opening `<|`.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-_ODD = re.compile("[\x1c-\x1f\x85\xa0İɐ-\U0010ffff]|<\\|")
-#: Letters and digits, an apostrophe with what follows it, other marks, white space.
-_SPACED = re.compile(r" ?[^\W_]+|'[^\W_]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s")
-_DROPPED = re.compile(r"[^\W_]+|'[^\W_]+|(?:[^\w\s]|_)+")
-#: Pieces that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+from . import common as C
+
+#: Pieces that a worker remembers (under half of 2**SLOT_BITS); those of a full memory are looked up anew.
+REMEMBERED, SLOT_BITS = 1_800_000, 22
+
+_U64 = np.uint64
+#: 0 white space, 1 letters and digits, 2 other marks; bytes that send a text to the library.
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[0x80:] = 1
+_ODD = np.zeros(256, bool)
+_ODD[0x1C:0x20] = _ODD[39] = _ODD[0xC2] = True
+_ODD[0xCA:] = True
+
+
+def odd_rows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows whose texts the library encodes whole."""
+    odd = _ODD[data]
+    if len(data) > 1:
+        for a, b in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (60, 124)):
+            odd[:-1] |= (data[:-1] == a) & (data[1:] == b)
+    total = np.concatenate(([0], np.cumsum(odd)))
+    return total[at[1:]] > total[at[:-1]]
+
+
+def pieces(data: np.ndarray, at: np.ndarray, keeps_space: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of all rows."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _CLASS[data]
+    begin = np.zeros(n + 1, bool)
+    begin[at] = True
+    edge = begin.copy()
+    begin[1:n] |= kind[1:] != kind[:-1]
+    if not keeps_space:
+        s = np.flatnonzero(begin[:n])
+        e = np.concatenate((s[1:], [n]))
+        keep = kind[s] > 0
+        return s[keep], e[keep]
+    # the last of white space before a piece: a blank joins the piece, any other stands alone
+    b = np.flatnonzero(begin[1:n] & ~edge[1:n]) + 1
+    b = b[(kind[b] > 0) & (kind[b - 1] == 0)]
+    begin[b - 1] = True
+    begin[b[data[b - 1] == 32]] = False
+    s = np.flatnonzero(begin[:n])
+    return s, np.concatenate((s[1:], [n]))
+
+
+class Memory:
+    """Open-addressing table from piece hashes to ids, in arrays."""
+
+    def __init__(self):
+        self.slots, self.values = np.zeros(1 << SLOT_BITS, _U64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.first, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 if unknown."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot = np.arange(len(h)), (h >> _U64(64 - SLOT_BITS)).astype(np.int64)
+        while len(left):
+            there = self.slots[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New distinct hashes and their ids, one after the other."""
+        while self.n + len(h) + 1 > len(self.first):
+            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[self.n + 1 : self.n + 1 + len(h)] = self.used + np.cumsum(sizes)
+        value = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        left, slot = np.arange(len(h)), (h >> _U64(64 - SLOT_BITS)).astype(np.int64)
+        while len(left):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = h[left[free]]
+            won = free & (self.slots[slot] == h[left])
+            self.values[slot[won]] = value[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & ((1 << SLOT_BITS) - 1)
+        self.n, self.used = self.n + len(h), self.used + len(ids)
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the places one after the other, and how many each has."""
+        return ragged(self.ids, self.first[places], self.first[places + 1] - self.first[places])
+
+
+def ragged(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[first:first + size] of all rows one after the other."""
+    at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    return values[at], sizes
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; one for each worker and file."""
+    """Ids of texts; one for each worker and file."""
 
     _known: dict[tuple, Encoder] = {}
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = (_SPACED if keeps_space else _DROPPED).findall
-        self.memory: dict[str, bytes] = {}
+        self.tokenizer, self.keeps_space, self.memory = Tokenizer.from_file(path), keeps_space, Memory()
+        # stands between pieces that are encoded together: its id is no piece's
+        self.between = "\n" if keeps_space else " — "
+        self.mark = np.array(self.whole(self.between), np.uint32)
 
     @classmethod
     def of(cls, path: str, keeps_space: bool) -> Encoder:
@@ -42,28 +132,58 @@ class Encoder:
             cls._known[key] = cls(path, keeps_space)
         return cls._known[key]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
-            self.memory.update((p, raw[at[i] : at[i + 1]]) for i, p in enumerate(part))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if _ODD.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learned(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and how many each has."""
+        ids, sizes = [], []
+        for k in range(0, len(raw), 8192):
+            part = raw[k : k + 8192]
+            if any(p.isspace() for p in part) or len(self.mark) > 1:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
+                ids += got
+                sizes += [len(x) for x in got]
                 continue
-            pieces = self.pieces(text)
-            new = set(pieces).difference(self.memory)
-            if new:
-                if len(self.memory) + len(new) > REMEMBERED:
-                    new = set(pieces)
-                self._learn(list(new))
-            out.append(b"".join(map(self.memory.__getitem__, pieces)))
-        return out
+            all_ids = np.array(self.whole(self.between.join(p.decode() for p in part)), np.uint32)
+            marks = np.flatnonzero(all_ids == self.mark[0])
+            ids.append(np.delete(all_ids, marks))
+            sizes += np.diff(np.concatenate(([-1], marks, [len(all_ids)]))) .tolist()
+            sizes[-len(part) :] = [x - 1 for x in sizes[-len(part) :]]
+        flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)
+        return flat, np.array(sizes, np.int64)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and each row's first."""
+        odd = odd_rows(data, at)
+        s, e = pieces(data, at, self.keeps_space)
+        row = np.searchsorted(at, s, "right") - 1
+        ok = ~odd[row]
+        s, e, row = s[ok], e[ok], row[ok]
+        h = C.span_hashes(data, s, e)
+        h[h == 0] = 1
+        memory = self.memory
+        place = memory.find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if memory.n + len(new) > REMEMBERED:
+                self.memory = memory = Memory()
+                place[:] = -1
+                new = np.arange(len(h))
+            fresh, example, back = np.unique(h[new], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            spans = [raw[a:b] for a, b in zip(s[new[example]].tolist(), e[new[example]].tolist(), strict=True)]
+            blank = np.array([p.isspace() for p in spans])
+            for part in (np.flatnonzero(blank), np.flatnonzero(~blank)):
+                ids, sizes = self._learned([spans[k] for k in part])
+                memory.add(fresh[part], ids, sizes)
+            place[new] = memory.find(fresh)[back]
+        ids, sizes = memory.gather(place)
+        count = np.bincount(row, weights=sizes, minlength=len(at) - 1).astype(np.int64)
+        if odd.any():
+            own = np.split(ids, np.cumsum(count)[:-1])
+            for r in np.flatnonzero(odd):
+                own[r] = np.array(self.whole(data[at[r] : at[r + 1]].tobytes().decode()), np.uint32)
+                count[r] = len(own[r])
+            ids = np.concatenate(own)
+        return ids, np.concatenate(([0], np.cumsum(count)))
