@@ -201,18 +201,24 @@ def _size_fits(x: str, y: str):
     return 100 * F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= PERCENT * F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
 
 
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and have fitting sizes."""
+def _across(rows: DataFrame, key: str, fits=_size_fits) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components and fit by size."""
     x, y = rows.alias("x"), rows.alias("y")
     return x.join(
         y,
         (F.col(f"x.{key}") == F.col(f"y.{key}"))
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component"))
-        & _size_fits("x", "y"),
+        & fits("x", "y"),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
+def _place_fits(x: str, y: str):
+    """Sizes fit, and enough shingles are left from the shared one's place on, as from the first shared one."""
+    left = F.least(F.col(f"{x}.n_shingles") - F.col(f"{x}.place"), F.col(f"{y}.n_shingles") - F.col(f"{y}.place"))
+    return _size_fits(x, y) & ((100 + PERCENT) * left >= PERCENT * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")))
+
+
 def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs across components of the documents in rows that can hold a link, found exactly.
 
@@ -225,10 +231,10 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     often = each.groupBy("item").agg(F.count("*").alias("f"))
     first = F.col("n") - F.ceil(F.col("n") * (PERCENT / 100)) + 1
     prefix = each.join(often, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("o"))
-    prefix = prefix.withColumn("n", F.size("o")).select("rep", F.explode(F.slice("o", F.lit(1), first.cast("int"))).alias("s"))
-    prefix = prefix.where("s.f > 1").select("rep", F.col("s.item").alias("item")).join(docs, "rep")
+    prefix = prefix.withColumn("n", F.size("o")).select("rep", F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("place", "s"))
+    prefix = prefix.where("s.f > 1").select("rep", "place", F.col("s.item").alias("item")).join(docs, "rep")
     mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return _across(C.saved(prefix.join(mixed.select("item"), "item"), "prefixes"), "item")
+    return _across(C.saved(prefix.join(mixed.select("item"), "item"), "prefixes"), "item", _place_fits)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
