@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from . import dialect, inference, reports, signals
+
+
+def _texts() -> dict[str, str]:
+    return {**inference.texts(), **signals.texts(), **reports.texts()}
+
+
+def _run(sql: str) -> Callable:
+    return lambda spark, sf_dir: dialect.run(spark, sf_dir, sql)
+
+
+def queries() -> dict[str, Callable]:
+    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()}
