@@ -15,9 +15,17 @@ def connect(sf_dir):
     return con
 
 
+def value(x):
+    if pd.api.types.is_scalar(x) and pd.isna(x):
+        return None
+    if isinstance(x, float):
+        x = round(x, 5)
+        return int(x) if x == int(x) else x
+    return x
+
+
 def rows(df: pd.DataFrame):
-    df = df[sorted(df.columns)]
-    return sorted(tuple(None if x is None or x != x else round(float(x), 5) + 0.0 if isinstance(x, float) else x for x in r) for r in df.astype(object).itertuples(index=False)) if len(df) else []
+    return [tuple(map(value, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)]
 
 
 def same(spark_df, con, sql):
