@@ -35,7 +35,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_OCTET = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Loose candidates, gazetteers and cue words of the labelers.
 CANDIDATES = {"mail": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++", "number": r"(?<![0-9A-Za-z+])\+?[0-9](?:[\x20().-]{0,2}[0-9]){7,}+(?![0-9A-Za-z])"}
 DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu"]

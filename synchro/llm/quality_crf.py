@@ -133,7 +133,10 @@ def train(x: np.ndarray, starts: np.ndarray, bad: np.ndarray) -> tuple[np.ndarra
 
 def good_share(model: tuple, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """By row the length-weighted share of good lines."""
-    x, weight, starts = line_features(data, at)
+    return _share(model, *line_features(data, at))
+
+
+def _share(model: tuple, x: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
     _, p, _ = Chains(starts).run(x @ model[0], model[1])
     total = np.concatenate((np.zeros((2, 1)), np.cumsum(np.stack((weight, weight * p)), 1)), 1)
     size, wrong = total[:, starts[1:]] - total[:, starts[:-1]]
@@ -150,12 +153,13 @@ def fit(docs: DataFrame, marks: DataFrame) -> tuple | None:
     y = sample["label"].to_numpy()
     if len(set(y)) < 2:
         return None
-    raw = [t.encode() for t in sample["text"]]
-    at = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    x, _, starts = line_features(data, at)
+    import pyarrow as pa
+
+    parts = [line_features(data, at) for _, _, data, at in C.chunks(pa.array(sample["text"]))]
+    x, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    starts = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
     weights, trans = train(x, starts, y == 0)
-    z = _evidence(good_share((weights, trans), data, at))
+    z = _evidence(_share((weights, trans), x, weight, starts))
     w = np.where(y == 1, GOOD_WEIGHT, 1.0)
     slope, offset = 1.0, 0.0
     for _ in range(50):  # Newton's method, slightly damped
