@@ -87,8 +87,10 @@ def statistics(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
             np.minimum(sums(BANG[data], lo, hi) / words, 4),
             np.minimum(sums(PIPE[data], lo, hi) / words, 4),
             sums(UPPER[data], lo, hi) / letters,
+            sums(DIGIT[data], lo, hi) / letters,
             out["n_repeat_words"] / words,
             out["n_dup_lines"] / all_lines,
+            np.minimum(out["word_chars"] / words, 40),
         ],
         1,
     )
