@@ -166,6 +166,9 @@ def texts() -> dict[str, str]:
         "cube_audit": "SELECT count(*) AS n, count(DISTINCT u) AS n_units, bool_and(x IS NOT NULL) AS finite, bool_and(x >= 0 AND x <= 1) AS bounded, count(*) = count(DISTINCT concat(g, '|', t, '|', u)) AS unique_keys FROM ux",
         "mask_counts": "SELECT tt.g, count(*) AS n_total, CAST(sum(m) AS BIGINT) AS n_excluded, CAST(sum(y) AS BIGINT) AS ccc_total, CAST(sum(y * (1 - m)) AS BIGINT) AS ccc_retained, CAST(sum((1 - y) * (1 - m)) AS BIGINT) AS other_retained, sum(y * (1 - m)) > 0 AND sum((1 - y) * (1 - m)) > 0 AS both_classes FROM (SELECT tt.*, CASE WHEN greatest(v0, v1, v2) > 150 THEN 1 ELSE 0 END AS m FROM tt) tt GROUP BY tt.g",
         "key_integrity": "SELECT g, p, count(*) AS n, max(t) + 1 = count(DISTINCT t) AS complete, count(*) = count(DISTINCT t) AS no_duplicates FROM tr GROUP BY g, p",
+        "block_allocations": "SELECT g, b, n1, n0, CAST(round(factorial(CAST(n1 + n0 AS INT)) * 1e0 / (factorial(CAST(n1 AS INT)) * 1e0 * factorial(CAST(n0 AS INT))), 0) AS BIGINT) AS allocations FROM bw",
+        "balanced_labels": "SELECT tt.g, tt.t, CASE WHEN k <= floor(n / 2) THEN 1 ELSE 0 END AS label FROM tt JOIN (SELECT t, row_number() OVER (PARTITION BY b ORDER BY md5(concat('53|', t)), t) AS k, count(*) OVER (PARTITION BY b) AS n FROM (SELECT DISTINCT t, b FROM tt) a) q ON q.t = tt.t",
+        "flag_sources": "SELECT g, t, count(*) AS n, TEXTS(p) AS participants FROM tr WHERE v > 150 GROUP BY g, t",
         "attrition_funnel": (LABEL_NULL + MAXT, "SELECT count(*) AS searched, CAST(sum(CASE WHEN p_raw < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS raw_pass, CAST(sum(CASE WHEN p_max < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS family_pass FROM mt"),
         "pvalue_matrix": (LABEL_NULL + MAXT, "SELECT split_part(u, '|', 1) AS dyad, round(max(CASE WHEN u LIKE '%closeness' THEN p_max END), 6) AS closeness, round(max(CASE WHEN u LIKE '%ratio' THEN p_max END), 6) AS ratio, round(max(-log10(greatest(p_max, 1e-12))), 6) AS strongest FROM mt GROUP BY split_part(u, '|', 1)"),
     }

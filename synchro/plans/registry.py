@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import dialect, inference, reports, signals
+from . import connectivity, dialect, inference, reports, signals
 
 
 def _texts() -> dict[str, str]:
-    return {**inference.texts(), **signals.texts(), **reports.texts()}
+    return {**inference.texts(), **signals.texts(), **connectivity.texts(), **reports.texts()}
 
 
 def _run(sql: str) -> Callable:
