@@ -80,7 +80,7 @@ NULLS = {"label": LABEL, "time": TIME, "partner": PARTNER, "dyad": DYAD}
 
 def _own_names(sql: str, null: str) -> str:
     """The null's last steps under names of their own, so that several nulls fit one text."""
-    return re.sub(r"\b(nu|st|nz|mx|oz|un|fw|mt)\b", rf"\1_{null}", sql)
+    return re.sub(r"\b(xw|pm|pk|dg|pick|nw|nm|nu|st|nz|mx|mt)\b", rf"\1_{null}", sql)
 
 
 #: A unit passes if each null rejects it; a null that gives it no value does not.
@@ -97,12 +97,9 @@ def texts() -> dict[str, str]:
     out = {name: ("WITH" + BASE + text).replace("DRAWS", str(DRAWS)) for name, text in q.items()}
 
     # the nulls of pair12|closeness and its family on the event stream, held against one another
-    events = {"label": inference.LABEL_NULL, "time": inference.TIME_NULL, "partner": inference.PARTNER_NULL, "dyad": inference.DYAD_NULL}
+    events = {"label": inference.LABEL_NULL, "time": inference.TIME_NULL, "partner": inference.PARTNER_NULL, "dyad": inference.DYAD_UNITS}
     steps = inference.BASE
     for null, sql in events.items():
-        maxt = inference.MAXT
-        if null == "dyad":
-            sql = sql.replace("nu AS (", "nm AS (") + ", nu AS (SELECT r, ob.u, e FROM nm JOIN ob ON split_part(ob.u, '|', 2) = nm.u\n)"
-        steps += _own_names(sql + maxt, null)
+        steps += _own_names(sql + inference.MAXT, null)
     out["four_layers"] = ("WITH" + steps + "\n" + LAYERS).replace("DRAWS", str(inference.DRAWS))
     return out

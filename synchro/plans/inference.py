@@ -7,6 +7,8 @@ and a measure of how close their values are.  Randomness is an MD5 order, so eng
 
 from __future__ import annotations
 
+#: A trial carries the counts n1 and n0 of its block, its unnormalised coefficient kw (0 in a block without
+#: both classes) and wn, its part of the block's weight: effects are sum(x * kw) / sum(wn), without a join.
 BASE = """
 tr AS (
   SELECT CAST(floor(user_id / 3) AS BIGINT) AS g, user_id % 3 AS p,
@@ -17,49 +19,71 @@ tr AS (
   SELECT g, t, CAST(floor(t / 10) AS BIGINT) AS b, min(c) AS y, max(CASE WHEN p = 0 THEN v END) AS v0,
     max(CASE WHEN p = 1 THEN v END) AS v1, max(CASE WHEN p = 2 THEN v END) AS v2
   FROM tr GROUP BY g, t HAVING count(*) = 3
+), tn AS (
+  SELECT g, t, b, y, v0, v1, v2, CAST(sum(y) OVER (PARTITION BY g, b) AS BIGINT) AS n1, CAST(count(*) OVER (PARTITION BY g, b) - sum(y) OVER (PARTITION BY g, b) AS BIGINT) AS n0 FROM tt
+), tw AS (
+  SELECT g, t, b, y, v0, v1, v2, n1, n0, CASE WHEN y = 1 THEN n0 ELSE -n1 END * 1e0 / (n1 + n0) AS kw, n1 * n0 * 1e0 / (n1 + n0) / (n1 + n0) AS wn FROM tn
 ), bw AS (
   SELECT g, b, CAST(sum(y) AS BIGINT) AS n1, CAST(count(*) - sum(y) AS BIGINT) AS n0 FROM tt GROUP BY g, b
 ), w AS (
   SELECT g, b, n1, n0, n1 * n0 * 1e0 / (n1 + n0) AS w FROM bw WHERE n1 > 0 AND n0 > 0
-), tot AS (SELECT sum(w) AS w_all FROM w
-), pr AS (
-  SELECT g, t, b, y, 'pair12' AS d, v0 AS a, v1 AS z FROM tt UNION ALL
-  SELECT g, t, b, y, 'pair13' AS d, v0 AS a, v2 AS z FROM tt UNION ALL
-  SELECT g, t, b, y, 'pair23' AS d, v1 AS a, v2 AS z FROM tt
+), tot AS (SELECT sum(wn) AS w_all FROM tw
 ), ux AS (
-  SELECT g, t, b, y, d, concat(d, '|closeness') AS u, 1e0 / (1e0 + abs(a - z)) AS x FROM pr UNION ALL
-  SELECT g, t, b, y, d, concat(d, '|ratio') AS u, (least(a, z) + 1e0) / (greatest(a, z) + 1e0) AS x FROM pr
-), co AS (
-  SELECT tt.g, tt.t, tt.b, tt.y, w.w / w_all * CASE WHEN y = 1 THEN 1e0 / n1 ELSE -1e0 / n0 END AS k
-  FROM tt JOIN w ON tt.g = w.g AND tt.b = w.b CROSS JOIN tot
+  SELECT g, t, b, y, n1, n0, kw, wn, d, concat(d, '|', measure) AS u,
+    CASE WHEN measure = 'closeness' THEN 1e0 / (1e0 + abs(a - z)) ELSE (least(a, z) + 1e0) / (greatest(a, z) + 1e0) END AS x
+  FROM (
+    SELECT tw.*, CASE WHEN r % 3 = 0 THEN 'pair12' WHEN r % 3 = 1 THEN 'pair13' ELSE 'pair23' END AS d,
+      CASE WHEN r < 3 THEN 'closeness' ELSE 'ratio' END AS measure, CASE WHEN r % 3 = 2 THEN v1 ELSE v0 END AS a, CASE WHEN r % 3 = 0 THEN v1 ELSE v2 END AS z
+    FROM tw CROSS JOIN SERIES(6) k) q
+), co AS (SELECT g, t, b, y, v0, kw / w_all AS k FROM tw CROSS JOIN tot WHERE n1 > 0 AND n0 > 0
 ), gw AS (
   SELECT g, CAST(sum(y) AS BIGINT) AS n1, CAST(count(*) - sum(y) AS BIGINT) AS n0 FROM tt GROUP BY g
 ), gi AS (SELECT g, n1, n0, n1 * n0 * 1e0 / (n1 + n0) AS w FROM gw WHERE n1 > 0 AND n0 > 0
 ), be AS (
-  SELECT ux.u, ux.g, ux.b, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, max(w.w) AS w
-  FROM ux JOIN w ON ux.g = w.g AND ux.b = w.b GROUP BY ux.u, ux.g, ux.b
+  SELECT u, g, b, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, max(n1 * n0 * 1e0 / (n1 + n0)) AS w
+  FROM ux WHERE n1 > 0 AND n0 > 0 GROUP BY u, g, b
 ), ge AS (SELECT u, g, sum(e * w) / sum(w) AS effect, sum(w) AS w FROM be GROUP BY u, g
-), ob AS (SELECT u, sum(effect * w) / sum(w) AS effect FROM ge GROUP BY u
+), ob AS (SELECT u, sum(x * kw) / sum(wn) AS effect FROM ux GROUP BY u
 )"""
 
 #: Realizations of each null here; a parameter of the texts below.
 DRAWS = 60
 
-LABEL_NULL = """, pm AS (
-  SELECT r, tt.g, tt.t, w.w, w.n1, w.n0,
-    row_number() OVER (PARTITION BY r, tt.g, tt.b ORDER BY md5(concat('3100|', r, '|', tt.g, '|', tt.t)), tt.t) AS k
-  FROM tt JOIN w ON tt.g = w.g AND tt.b = w.b CROSS JOIN SERIES(DRAWS) s
-), pk AS (SELECT r, g, t, w / w_all * CASE WHEN k <= n1 THEN 1e0 / n1 ELSE -1e0 / n0 END AS k FROM pm CROSS JOIN tot
-), nu AS (SELECT r, u, sum(x * k) AS e FROM pk JOIN ux ON pk.g = ux.g AND pk.t = ux.t GROUP BY r, u
+#: The six values of a trial, as columns: draws multiply trials, and units come back after the sums.
+UNITS = [(d, m) for m in ("closeness", "ratio") for d in ("pair12", "pair13", "pair23")]
+VALUE = {
+    (d, m): f"1e0 / (1e0 + abs({a} - {z}))" if m == "closeness" else f"(least({a}, {z}) + 1e0) / (greatest({a}, {z}) + 1e0)"
+    for (d, m), (a, z) in zip(UNITS, [("v0", "v1"), ("v0", "v2"), ("v1", "v2")] * 2, strict=True)
+}
+WIDE = "SELECT g, t, b, n1, n0, kw, wn, " + ", ".join(f"{VALUE[u]} AS x{i}" for i, u in enumerate(UNITS)) + " FROM tw WHERE n1 > 0 AND n0 > 0"
+
+
+def _tall(n: int, names: list[str]) -> str:
+    """Columns e0.. of table nw as rows (r, u, e)."""
+    pick = " ".join(f"WHEN i.r = {k} THEN" + " {}" for k in range(n))
+    unit, value = pick.format(*(f"'{x}'" for x in names)), pick.format(*(f"e{k}" for k in range(n)))
+    return f"SELECT nw.r AS r, CASE {unit} END AS u, CASE {value} END AS e FROM nw CROSS JOIN SERIES({n}) i"
+
+
+LABEL_NULL = f""", xw AS ({WIDE}
+), pm AS (
+  SELECT s.r AS r, xw.*, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('3100|', s.r, '|', g, '|', t)), t) AS k
+  FROM xw CROSS JOIN SERIES(DRAWS) s
+), pk AS (SELECT pm.*, CASE WHEN k <= n1 THEN n0 ELSE -n1 END * 1e0 / (n1 + n0) AS c FROM pm
+), nw AS (SELECT r, {", ".join(f"sum(x{i} * c) / sum(wn) AS e{i}" for i in range(6))} FROM pk GROUP BY r
+), nu AS ({_tall(6, ["|".join(u) for u in UNITS])}
 )"""
 
-DYAD_NULL = """, pick AS (
-  SELECT r, g, t, b, y, measure, x FROM (
-    SELECT r, g, t, b, y, split_part(u, '|', 2) AS measure, x,
-      row_number() OVER (PARTITION BY r, g, t, split_part(u, '|', 2) ORDER BY md5(concat('950001|', r, '|', g, '|', t, '|', d)), d) AS k
-    FROM ux CROSS JOIN SERIES(DRAWS) s) q WHERE k = 1
-), nu AS (
-  SELECT r, measure AS u, sum(x * k) AS e FROM pick JOIN co ON pick.g = co.g AND pick.t = co.t GROUP BY r, measure
+#: One pair of three by the least of three digests; both measures of a trial take the same pair.
+DYAD_NULL = f""", xw AS ({WIDE}
+), dg AS (
+  SELECT s.r AS r, xw.*, {", ".join(f"md5(concat('950001|', s.r, '|', g, '|', t, '|pair{d}')) AS m{d}" for d in (12, 13, 23))} FROM xw CROSS JOIN SERIES(DRAWS) s
+), pick AS (SELECT dg.*, CASE WHEN m12 <= m13 AND m12 <= m23 THEN 0 WHEN m13 <= m23 THEN 1 ELSE 2 END AS i FROM dg
+), nw AS (
+  SELECT r, {", ".join(f"sum(kw * CASE WHEN i = 0 THEN x{o} WHEN i = 1 THEN x{o + 1} ELSE x{o + 2} END) / sum(wn) AS e{k}" for k, o in enumerate((0, 3)))} FROM pick GROUP BY r
+), nm AS ({_tall(2, ["closeness", "ratio"])}
+)"""
+DYAD_UNITS = DYAD_NULL + """, nu AS (SELECT r, ob.u, e FROM nm JOIN ob ON split_part(ob.u, '|', 2) = nm.u
 )"""
 
 #: Hash-ordered permutations of the groups; those with a fixed point are dropped.
@@ -72,35 +96,36 @@ DERANGE = """, gs AS (SELECT DISTINCT g FROM tt
 
 PARTNER_NULL = DERANGE + """, nu AS (
   SELECT de.r, 'pair12|closeness' AS u, sum(k / (1e0 + abs(me.v0 - other.v1))) AS e
-  FROM de JOIN co ON co.g = de.g JOIN tt me ON me.g = de.g AND me.t = co.t JOIN tt other ON other.g = de.h AND other.t = co.t
+  FROM de JOIN co me ON me.g = de.g JOIN tt other ON other.g = de.h AND other.t = me.t
   GROUP BY de.r
 )"""
 
 #: Trials of the second participant move by a lag of at least two within the block, per realization.
-TIME_NULL = """, sz AS (SELECT g, b, count(*) AS n, min(t) AS t0 FROM tt GROUP BY g, b
+#: A block's sum for each lag comes before the draws, which then only pick among sums.
+TIME_NULL = """, bl AS (
+  SELECT me.g, me.b, l.r AS l, sum(me.kw / (1e0 + abs(me.v0 - other.v1))) AS x, sum(me.wn) AS wb
+  FROM (SELECT tw.*, min(t) OVER (PARTITION BY g, b) AS t0 FROM tw WHERE n1 > 0 AND n0 > 0) me JOIN SERIES(10) l ON least(l.r, n1 + n0 - l.r) >= 2
+  JOIN tt other ON other.g = me.g AND other.b = me.b AND other.t = t0 + (me.t - t0 + l.r) % (n1 + n0)
+  GROUP BY me.g, me.b, l.r
 ), lag AS (
-  SELECT r, g, b, n, t0, l FROM (
-    SELECT s.r AS r, g, b, n, t0, l.r AS l, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('1|', s.r, '|', g, '|', b, '|', l.r)), l.r) AS k
-    FROM sz CROSS JOIN SERIES(DRAWS) s JOIN SERIES(10) l ON least(l.r, n - l.r) >= 2) q WHERE k = 1
-), nu AS (
-  SELECT lag.r, 'pair12|closeness' AS u, sum(co.k / (1e0 + abs(me.v0 - other.v1))) AS e
-  FROM lag JOIN co ON co.g = lag.g AND co.b = lag.b JOIN tt me ON me.g = co.g AND me.t = co.t
-  JOIN tt other ON other.g = co.g AND other.b = co.b AND other.t = t0 + (co.t - t0 + l) % n
-  GROUP BY lag.r
+  SELECT r, x, wb FROM (
+    SELECT s.r AS r, x, wb, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('1|', s.r, '|', g, '|', b, '|', l)), l) AS k
+    FROM bl CROSS JOIN SERIES(DRAWS) s) q WHERE k = 1
+), nu AS (SELECT r, 'pair12|closeness' AS u, sum(x) / max(w_all) AS e FROM lag CROSS JOIN tot GROUP BY r
 )"""
 
-#: Studentized max-statistic: z uses the null's mean and sd; a unit without spread has p = 1.
-MAXT = """, st AS (SELECT u, avg(e) AS m, stddev_samp(e) AS s, count(*) AS draws FROM nu GROUP BY u
-), nz AS (SELECT r, nu.u, round(abs((e - m) / s), 9) AS z FROM nu JOIN st ON nu.u = st.u WHERE s > 1e-12
-), mx AS (SELECT r, max(z) AS z FROM nz GROUP BY r
-), oz AS (SELECT ob.u, effect, m, s, draws, CASE WHEN s > 1e-12 THEN round((effect - m) / s, 9) END AS z FROM ob JOIN st ON ob.u = st.u
-), un AS (SELECT oz.u, count(*) AS n FROM oz JOIN nz ON nz.u = oz.u WHERE nz.z >= abs(oz.z) GROUP BY oz.u
-), fw AS (SELECT oz.u, count(*) AS n FROM oz JOIN mx ON mx.z >= abs(oz.z) GROUP BY oz.u
+#: Studentized max-statistic: z uses the null's mean and sd; a unit without spread has p = 1.  The null is read once.
+MAXT = """, st AS (
+  SELECT r, nu.u, e, effect, avg(e) OVER (PARTITION BY nu.u) AS m, stddev_samp(e) OVER (PARTITION BY nu.u) AS s, count(*) OVER (PARTITION BY nu.u) AS draws
+  FROM nu JOIN ob ON ob.u = nu.u
+), nz AS (
+  SELECT r, u, effect, m, s, draws, CASE WHEN s > 1e-12 THEN round(abs((e - m) / s), 9) END AS z, CASE WHEN s > 1e-12 THEN round((effect - m) / s, 9) END AS own FROM st
+), mx AS (SELECT nz.*, max(z) OVER (PARTITION BY r) AS top FROM nz
 ), mt AS (
-  SELECT oz.u, effect, m, s, oz.z, draws,
-    CASE WHEN oz.z IS NULL THEN 1e0 ELSE (1 + coalesce(un.n, 0)) * 1e0 / (draws + 1) END AS p_raw,
-    CASE WHEN oz.z IS NULL THEN 1e0 ELSE (1 + coalesce(fw.n, 0)) * 1e0 / (draws + 1) END AS p_max
-  FROM oz LEFT JOIN un ON un.u = oz.u LEFT JOIN fw ON fw.u = oz.u
+  SELECT u, max(effect) AS effect, max(m) AS m, max(s) AS s, max(own) AS z, max(draws) AS draws,
+    CASE WHEN max(own) IS NULL THEN 1e0 ELSE (1 + sum(CASE WHEN z >= abs(own) THEN 1 ELSE 0 END)) * 1e0 / (max(draws) + 1) END AS p_raw,
+    CASE WHEN max(own) IS NULL THEN 1e0 ELSE (1 + sum(CASE WHEN top >= abs(own) THEN 1 ELSE 0 END)) * 1e0 / (max(draws) + 1) END AS p_max
+  FROM mx GROUP BY u
 )"""
 SHOW_MAXT = "SELECT u AS unit, round(effect, 6) AS effect, round(m, 6) AS null_mean, round(s, 6) AS null_sd, round(z, 5) AS z, round(p_raw, 6) AS p_unadjusted, round(p_max, 6) AS p_maxt, p_max < 0.05 AS candidate FROM mt"
 SHOW_NULL = "SELECT u AS unit, CAST(r AS BIGINT) AS realization, round(e, 6) AS null_effect FROM nu"
@@ -137,17 +162,17 @@ def texts() -> dict[str, str]:
         "coeff_triad": "SELECT tt.g, tt.t, round(gi.w / (SELECT sum(w) FROM gi) * CASE WHEN y = 1 THEN 1e0 / n1 ELSE -1e0 / n0 END, 9) AS coeff FROM tt JOIN gi ON gi.g = tt.g",
         "coeff_equal": "SELECT tt.g, tt.t, round(CASE WHEN y = 1 THEN 1e0 / n1 ELSE -1e0 / n0 END / (SELECT count(*) FROM gi), 9) AS coeff FROM tt JOIN gi ON gi.g = tt.g",
         "coeff_algebra_checks": "SELECT abs(sum(k)) < 1e-9 AS sums_to_zero, abs(sum(CASE WHEN k > 0 THEN k ELSE 0 END) - 1) < 1e-9 AS positive_is_one, abs(sum(CASE WHEN k < 0 THEN k ELSE 0 END) + 1) < 1e-9 AS negative_is_one, count(*) AS n FROM co",
-        "observed_effects": "SELECT ux.u AS unit, round(sum(x * k), 6) AS block_effect FROM ux JOIN co ON co.g = ux.g AND co.t = ux.t GROUP BY ux.u",
+        "observed_effects": "SELECT u AS unit, round(effect, 6) AS block_effect FROM ob",
         "secondary_effects": "SELECT u AS unit, round(sum(e * w) / sum(w), 6) AS triad_effect, round(avg(e), 6) AS equal_effect FROM (SELECT ux.u, ux.g, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, max(gi.w) AS w FROM ux JOIN gi ON gi.g = ux.g GROUP BY ux.u, ux.g) q GROUP BY u",
         "group_block_effects": "SELECT u AS unit, g, round(effect, 6) AS effect, round(w, 6) AS weight FROM ge",
         "masked_effects": "SELECT u AS unit, round(sum(e * w) / sum(w), 6) AS effect FROM (SELECT u, g, b, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, sum(y) * (count(*) - sum(y)) * 1e0 / count(*) AS w FROM (SELECT ux.* FROM ux LEFT JOIN (SELECT DISTINCT g, t FROM tr WHERE v > 150) f ON f.g = ux.g AND f.t = ux.t WHERE f.g IS NULL) m GROUP BY u, g, b HAVING sum(y) > 0 AND sum(y) < count(*)) q GROUP BY u",
-        "label_perm_coefficients": (LABEL_NULL, "SELECT r AS realization, count(*) AS n, round(sum(k), 6) AS total, round(sum(CASE WHEN k > 0 THEN k ELSE 0 END), 6) AS positive FROM pk GROUP BY r"),
+        "label_perm_coefficients": (LABEL_NULL, "SELECT r AS realization, count(*) AS n, round(sum(c) / sum(wn), 6) AS total, round(sum(CASE WHEN c > 0 THEN c ELSE 0 END) / sum(wn), 6) AS positive FROM pk GROUP BY r"),
         "label_null": (LABEL_NULL, SHOW_NULL),
         "label_null_maxt": (LABEL_NULL + MAXT, SHOW_MAXT),
         "pvalue_grid_checks": (LABEL_NULL + MAXT, "SELECT u AS unit, abs(p_max * (draws + 1) - round(p_max * (draws + 1))) < 1e-6 AS on_grid, p_max >= p_raw - 1e-12 AS monotone FROM mt"),
         "null_separation": (LABEL_NULL, SUMMARY),
-        "dyad_null": (DYAD_NULL, SHOW_NULL),
-        "dyad_null_maxt": (DYAD_NULL + MAXT.replace("FROM ob JOIN st ON ob.u = st.u", "FROM ob JOIN st ON split_part(ob.u, '|', 2) = st.u").replace("JOIN nz ON nz.u = oz.u", "JOIN nz ON nz.u = split_part(oz.u, '|', 2)"), SHOW_MAXT),
+        "dyad_null": (DYAD_NULL, SHOW_NULL.replace("FROM nu", "FROM nm")),
+        "dyad_null_maxt": (DYAD_UNITS + MAXT, SHOW_MAXT),
         "derangements": (DERANGE, "SELECT CAST(r AS BIGINT) AS realization, g, h AS partner FROM de"),
         "partner_null": (PARTNER_NULL, SHOW_NULL),
         "partner_null_maxt": (PARTNER_NULL + MAXT, SHOW_MAXT),
