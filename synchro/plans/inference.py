@@ -20,7 +20,8 @@ tr AS (
     max(CASE WHEN p = 1 THEN v END) AS v1, max(CASE WHEN p = 2 THEN v END) AS v2
   FROM tr GROUP BY g, t HAVING count(*) = 3
 ), tn AS (
-  SELECT g, t, b, y, v0, v1, v2, CAST(sum(y) OVER (PARTITION BY g, b) AS BIGINT) AS n1, CAST(count(*) OVER (PARTITION BY g, b) - sum(y) OVER (PARTITION BY g, b) AS BIGINT) AS n0 FROM tt
+  SELECT g, t, b, y, v0, v1, v2, CAST(sum(y) OVER (PARTITION BY g, b) AS BIGINT) AS n1, CAST(count(*) OVER (PARTITION BY g, b) - sum(y) OVER (PARTITION BY g, b) AS BIGINT) AS n0
+  FROM (SELECT SPREAD(g, b) g, t, b, y, v0, v1, v2 FROM tt) q
 ), tw AS (
   SELECT g, t, b, y, v0, v1, v2, n1, n0, CASE WHEN y = 1 THEN n0 ELSE -n1 END * 1e0 / (n1 + n0) AS kw, n1 * n0 * 1e0 / (n1 + n0) / (n1 + n0) AS wn FROM tn
 ), bw AS (
@@ -110,7 +111,7 @@ TIME_NULL = """, bl AS (
 ), lag AS (
   SELECT r, x, wb FROM (
     SELECT s.r AS r, x, wb, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('1|', s.r, '|', g, '|', b, '|', l)), l) AS k
-    FROM bl CROSS JOIN SERIES(DRAWS) s) q WHERE k = 1
+    FROM (SELECT SPREAD(g, b) * FROM bl) a CROSS JOIN SERIES(DRAWS) s) q WHERE k = 1
 ), nu AS (SELECT r, 'pair12|closeness' AS u, sum(x) / max(w_all) AS e FROM lag CROSS JOIN tot GROUP BY r
 )"""
 
