@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import connectivity, dialect, inference, reports, signals
+from . import connectivity, cube, dialect, inference, reports, signals
 
 
 def _texts() -> dict[str, str]:
@@ -16,8 +16,8 @@ def _run(sql: str) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames()
+    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | {"cube_label_null_maxt": cube.cube_label_null}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()}
+    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | {"cube_label_null_maxt": cube.ORACLE}
