@@ -51,6 +51,7 @@ TIME = (
 )
 
 #: The first of a pair meets the second of another group at the same trial; labels stay with the first.
+#: A pair of groups is summed over trials once, before the realizations that it comes up in.
 PARTNER = inference.DERANGE + """, hp AS (SELECT DISTINCT g, h FROM de
 ), xs AS (
   SELECT hp.g, hp.h, a.t, concat('pair', a.p + 1, b.p + 1) AS d, avg(a.pre * b.pre + a.pim * b.pim) AS re, avg(a.pim * b.pre - a.pre * b.pim) AS im,
@@ -59,8 +60,8 @@ PARTNER = inference.DERANGE + """, hp AS (SELECT DISTINCT g, h FROM de
 ), xv AS (
   SELECT g, h, t, concat(d, '|plv') AS u, sqrt(re * re + im * im) AS x FROM xs UNION ALL
   SELECT g, h, t, concat(d, '|imcoh') AS u, CASE WHEN e > 1e-20 THEN least(abs(c) / sqrt(e), 1e0) ELSE 0e0 END AS x FROM xs
-), nu AS (
-  SELECT de.r, u, sum(x * k) AS e FROM de JOIN co ON co.g = de.g JOIN xv ON xv.g = de.g AND xv.h = de.h AND xv.t = co.t GROUP BY de.r, u
+), hs AS (SELECT xv.g, h, u, sum(x * k) AS x FROM xv JOIN co ON co.g = xv.g AND co.t = xv.t GROUP BY xv.g, h, u
+), nu AS (SELECT de.r, u, sum(x) AS e FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r, u
 )"""
 PARTNER = """, zz AS (
   SELECT an.g, an.t, an.p, an.i, an.re, an.im, ph.re AS pre, ph.im AS pim FROM an JOIN ph ON ph.g = an.g AND ph.t = an.t AND ph.p = an.p AND ph.i = an.i

@@ -87,18 +87,24 @@ DYAD_NULL = f""", xw AS ({WIDE}
 DYAD_UNITS = DYAD_NULL + """, nu AS (SELECT r, ob.u, e FROM nm JOIN ob ON split_part(ob.u, '|', 2) = nm.u
 )"""
 
-#: Hash-ordered permutations of the groups; those with a fixed point are dropped.
-DERANGE = """, gs AS (SELECT DISTINCT g FROM tt
+#: Realizations of the partner nulls, and the hash permutations that they are drawn from: a third of those of three
+#: groups and about 1/e of those of more have no fixed point, so 3,500 hold at least 1,000 but for a chance below 1e-8.
+PARTNERS, PERMUTATIONS = 1_000, 3_500
+
+#: Hash-ordered permutations of the groups without a fixed point, renumbered by r; the first PARTNERS of them.
+DERANGE = f""", gs AS (SELECT DISTINCT g FROM tt
 ), ra AS (SELECT g, row_number() OVER (ORDER BY g) AS i FROM gs
-), pe AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY md5(concat('17|', r, '|', g)), g) AS i FROM gs CROSS JOIN SERIES(DRAWS) s
-), mp AS (SELECT pe.r, ra.g, pe.g AS h FROM pe JOIN ra ON pe.i = ra.i
-), de AS (SELECT r, g, h FROM mp WHERE r IN (SELECT r FROM mp GROUP BY r HAVING sum(CASE WHEN g = h THEN 1 ELSE 0 END) = 0)
+), pe AS (SELECT s.r AS r, g, ra.i AS own, row_number() OVER (PARTITION BY s.r ORDER BY md5(concat('17|', s.r, '|', g)), g) AS i FROM ra CROSS JOIN SERIES({PERMUTATIONS}) s
+), ok AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS place FROM (SELECT r FROM pe GROUP BY r HAVING sum(CASE WHEN own = i THEN 1 ELSE 0 END) = 0) q
+), de AS (SELECT ok.place AS r, ra.g, pe.g AS h FROM pe JOIN ok ON ok.r = pe.r JOIN ra ON ra.i = pe.i WHERE ok.place < {PARTNERS}
 )"""
 
-PARTNER_NULL = DERANGE + """, nu AS (
-  SELECT de.r, 'pair12|closeness' AS u, sum(k / (1e0 + abs(me.v0 - other.v1))) AS e
-  FROM de JOIN co me ON me.g = de.g JOIN tt other ON other.g = de.h AND other.t = me.t
-  GROUP BY de.r
+#: A pair of groups comes up in many realizations: its sum over trials is taken once, before the draws.
+PARTNER_NULL = DERANGE + """, hs AS (
+  SELECT hp.g, hp.h, sum(k / (1e0 + abs(me.v0 - other.v1))) AS x
+  FROM (SELECT DISTINCT g, h FROM de) hp JOIN co me ON me.g = hp.g JOIN tt other ON other.g = hp.h AND other.t = me.t
+  GROUP BY hp.g, hp.h
+), nu AS (SELECT de.r, 'pair12|closeness' AS u, sum(x) AS e FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r
 )"""
 
 #: Trials of the second participant move by a lag of at least two within the block, per realization.
