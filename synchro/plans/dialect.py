@@ -3,7 +3,8 @@
 `{name}` stands for a table.  A few constructs differ by engine and are written as markers:
 SERIES(n) is a table of r = 0..n-1, UNROLL(table, key, array) one of (key, i, x), and
 PCT(x, q) an exact, interpolated percentile, TEXTS(x) a group's few values as
-sorted texts joined by commas, sha256_of(text) a hex digest.  SPREAD(columns) after SELECT spreads
+sorted texts joined by commas, sha256_of(text) a hex digest, INT32(digest) the integer of a hex
+digest's first eight digits.  SPREAD(columns) after SELECT spreads
 few rows, which draws are about to multiply, over all shuffle partitions (adaptive execution would
 put them into one); it stands for nothing in DuckDB.
 """
@@ -22,6 +23,7 @@ def spark_text(sql: str, partitions: int) -> str:
     sql = re.sub(r"SERIES\((\d+)\)", r"(SELECT id AS r FROM range(\1))", sql)
     sql = re.sub(r"UNROLL\((\S+), (\w+), (\w+)\)", r"(SELECT \2, i, CAST(x AS DOUBLE) AS x FROM \1 LATERAL VIEW posexplode(\3) e AS i, x)", sql)
     sql = re.sub(r"TEXTS\((\w+)\)", r"array_join(array_sort(collect_list(CAST(\1 AS STRING))), ',')", sql)
+    sql = re.sub(r"INT32\((\w+)\)", r"CAST(conv(substr(\1, 1, 8), 16, 10) AS BIGINT)", sql)
     return sql.replace("PCT(", "percentile(").replace("sha256_of(text)", "sha2(text, 256)")
 
 
@@ -31,6 +33,7 @@ def duckdb_text(sql: str) -> str:
     sql = re.sub(r"SERIES\((\d+)\)", r"(SELECT range AS r FROM range(\1))", sql)
     sql = re.sub(r"UNROLL\((\S+), (\w+), (\w+)\)", r"(SELECT \2, generate_subscripts(\3, 1) - 1 AS i, CAST(unnest(\3) AS DOUBLE) AS x FROM \1)", sql)
     sql = re.sub(r"TEXTS\((\w+)\)", r"string_agg(CAST(\1 AS VARCHAR), ',' ORDER BY CAST(\1 AS VARCHAR))", sql)
+    sql = re.sub(r"INT32\((\w+)\)", r"CAST('0x' || substr(\1, 1, 8) AS BIGINT)", sql)
     return sql.replace("PCT(", "quantile_cont(").replace("sha256_of(", "sha256(")
 
 

@@ -32,6 +32,20 @@ ce AS (SELECT l_returnflag AS scenario, l_linestatus AS cell, l_suppkey AS rep,
   FROM cs
 )"""
 
+#: Resamples of each cell, a parameter of the text below.
+RESAMPLES = 2_000
+
+#: Each slot of a resample takes any of the cell's n rows, by an integer of its own digest modulo n.
+BOOTSTRAP = f""", ix AS (
+  SELECT scenario, cell, score, row_number() OVER (PARTITION BY scenario, cell ORDER BY rep) - 1 AS i, count(*) OVER (PARTITION BY scenario, cell) AS n FROM ce
+), dg AS (
+  SELECT a.scenario, a.cell, a.n, s.r AS r, md5(concat('990000|', s.r, '|', a.scenario, '|', a.cell, '|', a.i)) AS digest
+  FROM (SELECT SPREAD(scenario, cell, i) scenario, cell, i, n FROM ix) a CROSS JOIN SERIES({RESAMPLES}) s
+), dr AS (SELECT scenario, cell, r, INT32(digest) % n AS i FROM dg
+), bm AS (
+  SELECT dr.scenario, dr.cell, dr.r, avg(score) AS m FROM dr JOIN ix ON ix.scenario = dr.scenario AND ix.cell = dr.cell AND ix.i = dr.i GROUP BY dr.scenario, dr.cell, dr.r
+)"""
+
 
 def texts() -> dict[str, str]:
     q = {
@@ -51,7 +65,7 @@ def texts() -> dict[str, str]:
         "cell_summary": (CELLS, "SELECT scenario, cell, n, round(rate, 6) AS any_detection, round(score, 6) AS score FROM wi"),
         "scenario_rollup": (CELLS, "SELECT scenario, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS repetitions, round(avg(rate), 6) AS mean_rate, round(avg(score), 6) AS mean_score FROM wi GROUP BY scenario"),
         "stress_summary": (CELLS, "SELECT scenario, cell, round(avg(detected * 1e0), 6) AS current_rate, round(avg(CASE WHEN detected = 1 AND score > 25 THEN 1e0 ELSE 0e0 END), 6) AS augmented_rate FROM ce GROUP BY scenario, cell"),
-        "bootstrap_mean_ci": (CELLS + ", ix AS (SELECT scenario, cell, score, row_number() OVER (PARTITION BY scenario, cell ORDER BY rep) - 1 AS i, count(*) OVER (PARTITION BY scenario, cell) AS n FROM ce), dr AS (SELECT a.scenario, a.cell, s.r, (a.i * 7919 + s.r * 104729 + a.i * s.r * 31) % a.n AS i FROM ix a CROSS JOIN SERIES(50) s), bm AS (SELECT dr.scenario, dr.cell, dr.r, avg(score) AS m FROM dr JOIN ix ON ix.scenario = dr.scenario AND ix.cell = dr.cell AND ix.i = dr.i GROUP BY dr.scenario, dr.cell, dr.r)", "SELECT scenario, cell, count(*) AS draws, round(PCT(m, 0.025), 6) AS low, round(PCT(m, 0.975), 6) AS high FROM bm GROUP BY scenario, cell"),
+        "bootstrap_mean_ci": (CELLS + BOOTSTRAP, "SELECT scenario, cell, count(*) AS draws, round(PCT(m, 0.025), 6) AS low, round(PCT(m, 0.975), 6) AS high FROM bm GROUP BY scenario, cell"),
         "choice_normalise": "SELECT event_id, CASE WHEN upper(trim(event_type)) IN ('CLICK', 'PURCHASE', 'SIGNUP') THEN 'C' WHEN upper(event_type) LIKE '%ERR%' OR upper(event_type) LIKE '%VIEW%' THEN 'D' END AS choice FROM {events}",
         "role_counts": "SELECT lower(trim(role)) AS role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM {conversations} GROUP BY lower(trim(role))",
         "priority_decode": "SELECT o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, count(*) AS n FROM {orders} GROUP BY o_orderpriority",

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from synchro.plans import inference, registry
@@ -29,3 +30,17 @@ def test_partner_nulls_can_reject(spark, sf_dir, name):
     """p is a multiple of 1 / 1001, so a strong effect can fall below 0.05."""
     for x in registry.queries()[name](spark, sf_dir).collect():
         assert x.p_maxt * 1001 == pytest.approx(round(x.p_maxt * 1001), abs=1e-2)
+
+
+def test_bootstrap_of_means_resamples(spark, sf_dir, tmp_path):
+    """Intervals are those of independent draws of rows, also where the number of rows is a large prime."""
+    rng, n = np.random.default_rng(3), 211
+    score = rng.normal(25, 8, n).tolist()
+    rows = [("A", "F", i, 0.0, x) for i, x in enumerate(score)] + [("N", "O", 7, 0.0, 25.0)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_suppkey long, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {x.scenario: x for x in registry.queries()["bootstrap_mean_ci"](spark, str(tmp_path)).collect()}
+    draws = [np.mean([score[int(_md5(990000, r, "A", "F", i)[:8], 16) % n] for i in range(n)]) for r in range(2_000)]
+    assert got["A"].draws == 2_000 and (got["A"].low, got["A"].high) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=1e-6)
+    wide = 2 * 1.96 * np.std(score) / n**0.5
+    assert 0.9 * wide < got["A"].high - got["A"].low < 1.1 * wide
+    assert got["N"].low == got["N"].high == 25  # one row is all that a resample can hold
