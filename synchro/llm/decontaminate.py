@@ -7,7 +7,9 @@ inverted index of the test items.  Impacts are BM25 term weights divided by the
 blocks of BLOCK items with the largest impact of each block.  A passage's bound for a block is the
 sum of its words' block maxima - running sums, so all passages of a chunk of texts are bounded at
 once; only blocks whose bound reaches the threshold are scored, exactly as WAND skips the others.
-All items at or above the threshold are retrieved.
+All items at or above the threshold are retrieved.  An item of more than PART words is indexed as
+overlapping parts of PART words, each divided by its own score: any PART words in a row lie whole
+in some passage, so an item's length doesn't matter.  Its best part counts as the item.
 
 Retrieved pairs are verified on the document's whole text: an item's last ANSWER_PART of words is its
 answer, the rest its question (its words before the last sentence mark that leaves an answer of at
@@ -15,8 +17,9 @@ least three words, where there is one).  A document leaks an item if it holds at
 of the question's and of the answer's five-word shingles; a shingle belongs to the part in which its
 last word lies.
 
-The index holds the test items only.  Items go in blocks of ITEMS_AT_ONCE by a hash of their id, so
-what is broadcast has a bound whatever the size of the benchmark; each block reads the texts once.
+The index holds the test items only.  Items go in blocks of ITEMS_AT_ONCE parts by a hash of their id, so
+what is broadcast has a bound whatever the size of the benchmark (an item of more parts has a block
+of its own); each block reads the texts once.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z folded; so punctuation, symbols,
 case and white space don't hide a leak.  Null or empty texts leak nothing; null or wordless items
@@ -38,7 +41,9 @@ PASSAGE, SHINGLE, PAIR, BLOCK = 128, 5, 2, 4
 K1, B = 1.2, 0.75
 #: Share of the item's own score that retrieves it, and of shingles that verifies it.
 THRESHOLD, OVERLAP, ANSWER_PART = 0.4, 0.5, 0.25
-#: Items that one index (one broadcast) holds at most.
+#: Words of an item's parts, and from one part's first word to the next one's.
+PART, PART_STEP = PASSAGE // 2, PASSAGE // 4
+#: Parts of items (short ones are one part) that one index (one broadcast) holds at most.
 ITEMS_AT_ONCE = 2_000
 
 
@@ -63,19 +68,27 @@ def _answer_from(text: bytes, s: np.ndarray, e: np.ndarray) -> int:
     return min(cut, max(n - 1, 0))
 
 
+def _parts(h: np.ndarray) -> list[np.ndarray]:
+    """The words of an item by overlapping parts."""
+    return [h[i : i + PART] for i in [*range(0, len(h) - PART, PART_STEP), max(len(h) - PART, 0)]]
+
+
 class Index:
-    """Impact-ordered blocks of a BM25 inverted index; rows of `matrix` are terms, columns items."""
+    """Impact-ordered blocks of a BM25 inverted index; rows of `matrix` are terms, columns parts of items."""
 
     def __init__(self, ids: list, texts: list[str]):
         raw = [(i, t.encode()) for i, t in zip(ids, texts, strict=True)]
-        self.ids, self.question, self.answer, words = [], [], [], []
+        self.ids, self.question, self.answer, self.owner, words, whole = [], [], [], [], [], []
         for i, t in raw:
             data = np.frombuffer(t, np.uint8)
             s, e, _, h = tokens(data, np.array([0, len(data)]))
             if len(h):
                 cut = _answer_from(t, s, e)
+                own = [_shingles(part, PAIR) for part in _parts(h)]
+                self.owner += [len(self.ids)] * len(own)
                 self.ids.append(i)
-                words.append(_shingles(h, PAIR))
+                words += own
+                whole.append(_shingles(h, PAIR))
                 own = _shingles(h)  # a shingle belongs to the part its last word lies in
                 cut = min(max(cut - SHINGLE + 1, 1), len(own))
                 self.question.append(np.unique(own[:cut]))
@@ -84,9 +97,9 @@ class Index:
         self.terms = np.unique(np.concatenate(words)) if n else np.zeros(0, np.uint64)
         counts = [np.unique(np.searchsorted(self.terms, h), return_counts=True) for h in words]
         df = np.zeros(len(self.terms))
-        for t, _ in counts:
-            df[t] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        for h in whole:  # a term is as rare as the items that hold it, whatever their parts
+            df[np.searchsorted(self.terms, np.unique(h))] += 1
+        idf = np.log(1 + (len(whole) - df + 0.5) / (df + 0.5))
         mean = np.mean([len(h) for h in words]) if n else 1
         term, item, impact = [], [], []
         for k, (t, c) in enumerate(counts):
@@ -114,7 +127,7 @@ class Index:
         return at[ok], term[ok]
 
     def retrieve(self, mine: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
-        """Items of the blocks at or above the threshold for a passage of these distinct terms."""
+        """Parts of the blocks at or above the threshold for a passage of these distinct terms."""
         score = np.zeros(self.blocks * BLOCK)
         live = np.zeros(self.blocks, bool)
         live[blocks] = True
@@ -154,8 +167,8 @@ class Index:
             mine = np.unique(term[starts[m] : starts[min(m + 1, last[m]) + 1]])
             blocks = np.flatnonzero(self.block_max[mine].sum(0) >= THRESHOLD - 1e-6)
             if len(blocks):
-                for item, score in self.retrieve(mine, blocks):
-                    key = (int(row[m]), item)
+                for part, score in self.retrieve(mine, blocks):
+                    key = (int(row[m]), self.owner[part])
                     best[key] = max(best.get(key, 0.0), score)
         return [(r, i, s) for (r, i), s in best.items()]
 
@@ -164,6 +177,26 @@ def _share(part: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(part, there).mean()) if len(part) else 1.0
 
 
+def _blocks(items: DataFrame) -> Iterator:
+    """The items (item_id, text) in blocks of at most ITEMS_AT_ONCE parts, or one item, on the driver."""
+    count = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    items = items.withColumn("parts", F.greatest(F.ceil((count - PART) / PART_STEP) + 1, F.lit(1)))
+    hashes = max(1, -(-(items.agg(F.sum("parts")).first()[0] or 0) // (ITEMS_AT_ONCE // 2)))
+    for k in range(hashes):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(hashes)) == k) if hashes > 1 else items
+        own = own.limit(ITEMS_AT_ONCE + 1).toPandas()  # bounded; a block over the bound fails below instead of losing items
+        if len(own) > ITEMS_AT_ONCE:
+            raise ValueError("a block of benchmark items is larger than ITEMS_AT_ONCE")
+        own = own.sort_values(["item_id", "text"])
+        first = held = 0
+        for i, n in enumerate(own["parts"]):
+            if held and held + n > ITEMS_AT_ONCE:  # long items met by hash
+                yield own[first:i]
+                first, held = i, 0
+            held += n
+        yield own[first:]
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, bm25 (share of the item's own score), question_overlap, answer_overlap for every leak."""
     spark = docs.sparkSession
@@ -171,14 +204,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select("item_id", "text").where(F.col("text").isNotNull())
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, bm25 double, question_overlap double, answer_overlap double"
-    parts = max(1, -(-items.count() // (ITEMS_AT_ONCE // 2)))
     out = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        own = own.limit(ITEMS_AT_ONCE + 1).toPandas()  # bounded; a part over the bound fails below instead of losing items
-        if len(own) > ITEMS_AT_ONCE:
-            raise ValueError("a block of benchmark items is larger than ITEMS_AT_ONCE")
-        own = own.sort_values(["item_id", "text"])
+    for own in _blocks(items):
         sent = spark.sparkContext.broadcast(Index(list(own["item_id"]), list(own["text"])))
 
         def run(batches: Iterator, sent=sent) -> Iterator:

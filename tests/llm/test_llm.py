@@ -275,6 +275,19 @@ def test_decontamination_finds_whole_items(spark, odd, docs, texts, sf_dir):
     assert decontaminate.leaks(odd, none).count() == 0
 
 
+def test_decontamination_finds_long_items(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    items = {i: draw(n) for i, n in enumerate([500, 64, 65, 129, 322, 2_000, 12, 5_000])}
+    texts = {i: " ".join([*draw(17 * i + 5), *x, *draw(40)]) for i, x in items.items()}
+    texts |= {100: " ".join(draw(900)), 101: " ".join([*draw(50), *items[0][100:160], *draw(50)]), 102: " ".join([*items[0], *draw(300), *items[5]])}
+    frames = [spark.createDataFrame([(i, x if isinstance(x, str) else " ".join(x)) for i, x in rows.items()], f"{name} long, text string") for rows, name in ((texts, "doc_id"), (items, "item_id"))]
+    want = {(i, i) for i in items} | {(102, 0), (102, 5)}
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(*frames).collect()) == sorted(want)
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 20)  # items of 60 and 155 parts have a block of their own
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(*frames).collect()) == sorted(want)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
