@@ -91,16 +91,25 @@ LAYERS = """SELECT label.u AS unit, round(label.effect, 6) AS effect, round(labe
   label.p_max < 0.05 AND coalesce(time_.p_max < 0.05 AND partner.p_max < 0.05 AND dyad.p_max < 0.05, false) AS all_pass
 FROM mt_label label LEFT JOIN mt_time time_ ON time_.u = label.u LEFT JOIN mt_partner partner ON partner.u = label.u LEFT JOIN mt_dyad dyad ON dyad.u = label.u"""
 
+#: Units that are left after each layer, in the order of the layers.
+FUNNEL = """SELECT count(*) AS searched, CAST(sum(CASE WHEN label.p_raw < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS raw_pass,
+  CAST(sum(CASE WHEN label.p_max < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS label_pass,
+  CAST(sum(CASE WHEN label.p_max < 0.05 AND time_.p_max < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS time_pass,
+  CAST(sum(CASE WHEN label.p_max < 0.05 AND time_.p_max < 0.05 AND partner.p_max < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS partner_pass,
+  CAST(sum(CASE WHEN label.p_max < 0.05 AND time_.p_max < 0.05 AND partner.p_max < 0.05 AND dyad.p_max < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS dyad_pass
+FROM mt_label label LEFT JOIN mt_time time_ ON time_.u = label.u LEFT JOIN mt_partner partner ON partner.u = label.u LEFT JOIN mt_dyad dyad ON dyad.u = label.u"""
+
 
 def texts() -> dict[str, str]:
     q = {f"connectivity_{null}_null_maxt": sql + inference.MAXT + "\n" + inference.SHOW_MAXT for null, sql in NULLS.items()}
     q["connectivity_effects"] = "\nSELECT u AS unit, round(effect, 6) AS effect FROM ob"
     out = {name: ("WITH" + BASE + text).replace("DRAWS", str(DRAWS)) for name, text in q.items()}
 
-    # the nulls of pair12|closeness and its family on the event stream, held against one another
-    events = {"label": inference.LABEL_NULL, "time": inference.TIME_NULL, "partner": inference.PARTNER_NULL, "dyad": inference.DYAD_UNITS}
+    # the four nulls of all units on the event stream, held against one another
+    events = {"label": inference.LABEL_NULL, "time": inference.time_null(inference.UNITS), "partner": inference.partner_null(inference.UNITS), "dyad": inference.DYAD_UNITS}
     steps = inference.BASE
     for null, sql in events.items():
         steps += _own_names(sql + inference.MAXT, null)
-    out["four_layers"] = ("WITH" + steps + "\n" + LAYERS).replace("DRAWS", str(inference.DRAWS))
+    for name, show in (("four_layers", LAYERS), ("attrition_funnel", FUNNEL)):
+        out[name] = ("WITH" + steps + "\n" + show).replace("DRAWS", str(inference.DRAWS))
     return out

@@ -36,7 +36,7 @@ tr AS (
     SELECT tw.*, CASE WHEN r % 3 = 0 THEN 'pair12' WHEN r % 3 = 1 THEN 'pair13' ELSE 'pair23' END AS d,
       CASE WHEN r < 3 THEN 'closeness' ELSE 'ratio' END AS measure, CASE WHEN r % 3 = 2 THEN v1 ELSE v0 END AS a, CASE WHEN r % 3 = 0 THEN v1 ELSE v2 END AS z
     FROM tw CROSS JOIN SERIES(6) k) q
-), co AS (SELECT g, t, b, y, v0, kw / w_all AS k FROM tw CROSS JOIN tot WHERE n1 > 0 AND n0 > 0
+), co AS (SELECT g, t, b, y, v0, v1, kw / w_all AS k FROM tw CROSS JOIN tot WHERE n1 > 0 AND n0 > 0
 ), gw AS (
   SELECT g, CAST(sum(y) AS BIGINT) AS n1, CAST(count(*) - sum(y) AS BIGINT) AS n0 FROM tt GROUP BY g
 ), gi AS (SELECT g, n1, n0, n1 * n0 * 1e0 / (n1 + n0) AS w FROM gw WHERE n1 > 0 AND n0 > 0
@@ -52,11 +52,16 @@ DRAWS = 60
 
 #: The six values of a trial, as columns: draws multiply trials, and units come back after the sums.
 UNITS = [(d, m) for m in ("closeness", "ratio") for d in ("pair12", "pair13", "pair23")]
-VALUE = {
-    (d, m): f"1e0 / (1e0 + abs({a} - {z}))" if m == "closeness" else f"(least({a}, {z}) + 1e0) / (greatest({a}, {z}) + 1e0)"
-    for (d, m), (a, z) in zip(UNITS, [("v0", "v1"), ("v0", "v2"), ("v1", "v2")] * 2, strict=True)
-}
-WIDE = "SELECT g, t, b, n1, n0, kw, wn, " + ", ".join(f"{VALUE[u]} AS x{i}" for i, u in enumerate(UNITS)) + " FROM tw WHERE n1 > 0 AND n0 > 0"
+PAIRS = {"pair12": ("v0", "v1"), "pair13": ("v0", "v2"), "pair23": ("v1", "v2")}
+
+
+def _value(unit: tuple[str, str], first: str = "", second: str = "") -> str:
+    """A unit's value; first and second prefix the columns of the pair's two participants."""
+    a, z = (p + v for p, v in zip((first, second), PAIRS[unit[0]], strict=True))
+    return f"1e0 / (1e0 + abs({a} - {z}))" if unit[1] == "closeness" else f"(least({a}, {z}) + 1e0) / (greatest({a}, {z}) + 1e0)"
+
+
+WIDE = "SELECT g, t, b, n1, n0, kw, wn, " + ", ".join(f"{_value(u)} AS x{i}" for i, u in enumerate(UNITS)) + " FROM tw WHERE n1 > 0 AND n0 > 0"
 
 
 def _tall(n: int, names: list[str]) -> str:
@@ -99,28 +104,47 @@ DERANGE = f""", gs AS (SELECT DISTINCT g FROM tt
 ), de AS (SELECT ok.place AS r, ra.g, pe.g AS h FROM pe JOIN ok ON ok.r = pe.r JOIN ra ON ra.i = pe.i WHERE ok.place < {PARTNERS}
 )"""
 
-#: A pair of groups comes up in many realizations: its sum over trials is taken once, before the draws.
-PARTNER_NULL = DERANGE + """, hs AS (
-  SELECT hp.g, hp.h, sum(k / (1e0 + abs(me.v0 - other.v1))) AS x
+
+def _sums(text: str, units: list) -> str:
+    return ", ".join(text.format(i=i, v=_value(u, "me.", "other.")) for i, u in enumerate(units))
+
+
+def _names(units: list) -> list[str]:
+    return ["|".join(u) for u in units]
+
+
+def partner_null(units: list) -> str:
+    """A pair of groups comes up in many realizations: its sums over trials are taken once, before the draws."""
+    return DERANGE + f""", hs AS (
+  SELECT hp.g, hp.h, {_sums("sum(k * ({v})) AS x{i}", units)}
   FROM (SELECT DISTINCT g, h FROM de) hp JOIN co me ON me.g = hp.g JOIN tt other ON other.g = hp.h AND other.t = me.t
   GROUP BY hp.g, hp.h
-), nu AS (SELECT de.r, 'pair12|closeness' AS u, sum(x) AS e FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r
+), nw AS (SELECT de.r AS r, {_sums("sum(x{i}) AS e{i}", units)} FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r
+), nu AS ({_tall(len(units), _names(units))}
 )"""
 
-#: Trials of the second participant move by a lag of at least two within the block, per realization.
-#: A block's sum for each lag comes before the draws, which then only pick among sums.
-TIME_NULL = """, bl AS (
-  SELECT me.g, me.b, l.r AS l, sum(me.kw / (1e0 + abs(me.v0 - other.v1))) AS x, sum(me.wn) AS wb
+
+def time_null(units: list) -> str:
+    """Trials of a pair's second participant move by a lag of at least two within the block, per realization.
+
+    A block's sums for each lag come before the draws, which then only pick among sums.
+    """
+    return f""", bl AS (
+  SELECT me.g, me.b, l.r AS l, {_sums("sum(me.kw * ({v})) AS x{i}", units)}
   FROM (SELECT tw.*, min(t) OVER (PARTITION BY g, b) AS t0 FROM tw WHERE n1 > 0 AND n0 > 0) me JOIN SERIES(10) l ON least(l.r, n1 + n0 - l.r) >= 2
   JOIN tt other ON other.g = me.g AND other.b = me.b AND other.t = t0 + (me.t - t0 + l.r) % (n1 + n0)
   GROUP BY me.g, me.b, l.r
 ), lag AS (
-  SELECT r, x, wb FROM (
-    SELECT s.r AS r, x, wb, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('1|', s.r, '|', g, '|', b, '|', l)), l) AS k
+  SELECT * FROM (
+    SELECT s.r AS r, a.*, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('1|', s.r, '|', g, '|', b, '|', l)), l) AS k
     FROM (SELECT SPREAD(g, b) * FROM bl) a CROSS JOIN SERIES(DRAWS) s) q WHERE k = 1
-), nu AS (SELECT r, 'pair12|closeness' AS u, sum(x) / max(w_all) AS e FROM lag CROSS JOIN tot GROUP BY r
+), nw AS (SELECT r, {_sums("sum(x{i}) / max(w_all) AS e{i}", units)} FROM lag CROSS JOIN tot GROUP BY r
+), nu AS ({_tall(len(units), _names(units))}
 )"""
 
+
+PARTNER_NULL, TIME_NULL = partner_null(UNITS[:1]), time_null(UNITS[:1])
+
 #: Studentized max-statistic: z uses the null's mean and sd; a unit without spread has p = 1.  The null is read once.
 MAXT = """, st AS (
   SELECT r, nu.u, e, effect, avg(e) OVER (PARTITION BY nu.u) AS m, stddev_samp(e) OVER (PARTITION BY nu.u) AS s, count(*) OVER (PARTITION BY nu.u) AS draws
@@ -201,7 +225,6 @@ def texts() -> dict[str, str]:
         "block_allocations": "SELECT g, b, n1, n0, CAST(round(factorial(CAST(n1 + n0 AS INT)) * 1e0 / (factorial(CAST(n1 AS INT)) * 1e0 * factorial(CAST(n0 AS INT))), 0) AS BIGINT) AS allocations FROM bw",
         "balanced_labels": "SELECT tt.g, tt.t, CASE WHEN k <= floor(n / 2) THEN 1 ELSE 0 END AS label FROM tt JOIN (SELECT t, row_number() OVER (PARTITION BY b ORDER BY md5(concat('53|', t)), t) AS k, count(*) OVER (PARTITION BY b) AS n FROM (SELECT DISTINCT t, b FROM tt) a) q ON q.t = tt.t",
         "flag_sources": "SELECT g, t, count(*) AS n, TEXTS(p) AS participants FROM tr WHERE v > 150 GROUP BY g, t",
-        "attrition_funnel": (LABEL_NULL + MAXT, "SELECT count(*) AS searched, CAST(sum(CASE WHEN p_raw < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS raw_pass, CAST(sum(CASE WHEN p_max < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS family_pass FROM mt"),
         "pvalue_matrix": (LABEL_NULL + MAXT, "SELECT split_part(u, '|', 1) AS dyad, round(max(CASE WHEN u LIKE '%closeness' THEN p_max END), 6) AS closeness, round(max(CASE WHEN u LIKE '%ratio' THEN p_max END), 6) AS ratio, round(max(-log10(greatest(p_max, 1e-12))), 6) AS strongest FROM mt GROUP BY split_part(u, '|', 1)"),
     }
     out = {}

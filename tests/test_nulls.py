@@ -44,3 +44,18 @@ def test_bootstrap_of_means_resamples(spark, sf_dir, tmp_path):
     wide = 2 * 1.96 * np.std(score) / n**0.5
     assert 0.9 * wide < got["A"].high - got["A"].low < 1.1 * wide
     assert got["N"].low == got["N"].high == 25  # one row is all that a resample can hold
+
+
+@pytest.mark.parametrize("alike, want", [((0, 1), (6, 2, 2, 2, 2, 2)), ((0, 1, 2), (6, 6, 6, 6, 6, 0)), ((), (6, 0, 0, 0, 0, 0))])
+def test_funnel_passes_all_layers(spark, tmp_path, alike, want):
+    """Participants who are alike in positive trials pass; where all three are, no pair stands out of its group."""
+    rng, rows = np.random.default_rng(4), []
+    for g in range(24):
+        for t in range(40):
+            y, common = t % 10 in (1, 2, 5, 8), rng.uniform(0, 100)
+            for p in range(3):
+                v = common if y and p in alike else rng.uniform(0, 100)
+                rows.append((len(rows), 3 * g + p, t, "click" if y else "view", float(v)))
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = registry.queries()["attrition_funnel"](spark, str(tmp_path)).first()
+    assert (x.searched, x.raw_pass, x.label_pass, x.time_pass, x.partner_pass, x.dyad_pass) == want
