@@ -50,7 +50,7 @@ def texts() -> dict[str, str]:
         "plv_pairs": "SELECT g, t, d AS dyad, round(plv, 6) AS plv FROM plv",
         "plv_channel_matrix": "SELECT a.g, a.t, a.p AS channel1, b.p AS channel2, round(sqrt(pow(avg(a.re * b.re + a.im * b.im), 2) + pow(avg(a.im * b.re - a.re * b.im), 2)), 6) AS plv FROM ph a JOIN ph b ON a.g = b.g AND a.t = b.t AND a.i = b.i GROUP BY a.g, a.t, a.p, b.p",
         "plv_all_lags": (LAGS.replace("SRC", "ph"), "SELECT g, t, d AS dyad, CAST(l AS BIGINT) AS lag, round(sqrt(re * re + im * im), 6) AS plv FROM lg"),
-        "valid_lags": f"SELECT r AS lag FROM SERIES({N}) s WHERE least(r, {N} - r) >= 10",
+        "valid_lags": "SELECT g, t, p, CAST(i AS BIGINT) AS lag FROM (SELECT g, t, p, i, count(*) OVER (PARTITION BY g, t, p) AS n FROM sg) s WHERE least(i, n - i) >= 10",
         "imcoh_pairs": (COHERENCY, "SELECT g, t, d AS dyad, round(icoh, 6) AS imcoh FROM ic"),
         "imcoh_all_lags": (LAGS.replace("SRC", "an") + COHERENCY.replace(", ic AS", ", ic_unused AS"), f"SELECT lg.g, lg.t, lg.d AS dyad, CAST(l AS BIGINT) AS lag, round(least(abs(lg.im) * {N} / sqrt(x.e * y.e), 1e0), 6) AS imcoh FROM lg JOIN en x ON x.g = lg.g AND x.t = lg.t AND x.p = CAST(substr(lg.d, 5, 1) AS BIGINT) - 1 JOIN en y ON y.g = lg.g AND y.t = lg.t AND y.p = CAST(substr(lg.d, 6, 1) AS BIGINT) - 1 WHERE x.e * y.e > 1e-20"),
         "edge_index": "SELECT a.p AS channel1, b.p AS channel2, a.p * 3 + b.p AS edge FROM (SELECT DISTINCT p FROM sg) a CROSS JOIN (SELECT DISTINCT p FROM sg) b",

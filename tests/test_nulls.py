@@ -59,3 +59,10 @@ def test_funnel_passes_all_layers(spark, tmp_path, alike, want):
     spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     x = registry.queries()["attrition_funnel"](spark, str(tmp_path)).first()
     assert (x.searched, x.raw_pass, x.label_pass, x.time_pass, x.partner_pass, x.dyad_pass) == want
+
+
+def test_valid_lags_follow_each_signal(spark, tmp_path):
+    lengths = {0: 64, 1: 30, 2: 20, 31: 19, 32: 0}
+    spark.createDataFrame([(i, [0.5] * n) for i, n in lengths.items()], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((x.g, x.t, x.p, x.lag) for x in registry.queries()["valid_lags"](spark, str(tmp_path)).collect())
+    assert got == sorted((i // 30, i % 30 // 3, i % 3, lag) for i, n in lengths.items() for lag in range(10, n - 9))
