@@ -172,11 +172,13 @@ LOTO = """, al AS (SELECT u, g, effect, w, sum(effect * w) OVER (PARTITION BY u)
 ), lo AS (SELECT u, g, effect, w, sw / ws AS full_effect, (sw - w * effect) / (ws - w) AS loto, (se - effect) / (n - 1) AS equal_loto, se / n AS equal_full, w / ws AS share FROM al WHERE ws > w
 )"""
 
-BOOT = """, gn AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM ge) q
+#: Resamples of the cluster bootstrap; each slot takes any of the n groups by an integer of its own digest.
+RESAMPLES = 10_000
+
+BOOT = f""", gn AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM ge) q
 ), dr AS (
-  SELECT s.r, a.i AS slot, row_number() OVER (PARTITION BY s.r, a.i ORDER BY md5(concat('990200|', s.r, '|', a.i, '|', c.r)), c.r) AS k, c.r AS c, a.n
-  FROM gn a CROSS JOIN SERIES(DRAWS) s CROSS JOIN SERIES(97) c
-), pd AS (SELECT r, slot, (c * 1009 + slot * 31 + r * 7) % n AS i FROM dr WHERE k = 1
+  SELECT s.r AS r, a.n, md5(concat('990200|', s.r, '|', a.i)) AS digest FROM (SELECT SPREAD(i) i, n FROM gn) a CROSS JOIN SERIES({RESAMPLES}) s
+), pd AS (SELECT r, INT32(digest) % n AS i FROM dr
 ), bs AS (SELECT pd.r, ge.u, sum(effect * w) / sum(w) AS e FROM pd JOIN gn ON gn.i = pd.i JOIN ge ON ge.g = gn.g GROUP BY pd.r, ge.u
 )"""
 

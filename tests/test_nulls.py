@@ -66,3 +66,20 @@ def test_valid_lags_follow_each_signal(spark, tmp_path):
     spark.createDataFrame([(i, [0.5] * n) for i, n in lengths.items()], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((x.g, x.t, x.p, x.lag) for x in registry.queries()["valid_lags"](spark, str(tmp_path)).collect())
     assert got == sorted((i // 30, i % 30 // 3, i % 3, lag) for i, n in lengths.items() for lag in range(10, n - 9))
+
+
+def test_cluster_bootstrap_reaches_every_group(spark, tmp_path):
+    """1009 groups, all of one effect but for sampling: the interval is that of independent draws of groups."""
+    rng = np.random.default_rng(6)
+    effect = rng.normal(0, 20, 1009)
+    rows = []
+    for g, e in enumerate(effect):
+        for t in range(10):
+            for p in range(3):
+                v = 50.0 if p != 1 else 50.0 + (abs(e) if t < 5 else 1.0)
+                rows.append((len(rows), 3 * g + p, t, "click" if t < 5 else "view", float(v)))
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = {x.unit: x for x in registry.queries()["cluster_bootstrap"](spark, str(tmp_path)).collect()}["pair12|closeness"]
+    own = 1 / (1 + abs(effect)) - 0.5
+    wide = 2 * 1.96 * own.std() / 1009**0.5
+    assert x.draws == 10_000 and 0.93 * wide < x.high - x.low < 1.07 * wide and x.low < own.mean() < x.high
