@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bytes of labelled texts that a model is fitted on at most.
+TRAIN_BYTES = 64 << 20
 #: Bytes of text that the numpy helpers take at a time (one longer document is taken whole).
 CHUNK_BYTES = 1 << 19
 
@@ -32,12 +35,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only on a local master without such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -72,7 +77,8 @@ def fold(doc_id: str, parts: int):
 
 def training_sample(docs: DataFrame, marks: DataFrame, mark: str, parts: int, held: int, bound: int) -> DataFrame:
     """At most `bound` labelled rows outside the held-out fold, chosen by a hash of their id,
-    half of them of either label as far as there are so many.  Columns doc_id, text, label.
+    half of them of either label as far as there are so many, and at most TRAIN_BYTES of texts.
+    Columns doc_id, text, label.
 
     Rows without id, label or text are no training rows; of rows that repeat an id one counts.
     """
@@ -85,14 +91,20 @@ def training_sample(docs: DataFrame, marks: DataFrame, mark: str, parts: int, he
     both = [chosen.where(F.col("label") == k).orderBy(order, "doc_id").limit(bound // 2) for k in (0, 1)]
     ids = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.min("label").alias("label"))
     ids = F.broadcast(ids)  # at most `bound` rows
-    return (
+    rows = (
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull())
         .join(ids, "doc_id")
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.min("label").alias("label"))
-        .orderBy("doc_id")
     )
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(order, "doc_id"))  # over at most `bound` rows
+    return rows.withColumn("bytes", so_far).where(F.col("bytes") <= TRAIN_BYTES).drop("bytes").orderBy("doc_id")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id the column doc_id of gone lacks; docs may have any other columns."""
+    return docs.join(gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 # ---------------------------------------------------------------- UTF-8 buffers

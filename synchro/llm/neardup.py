@@ -298,9 +298,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs)
-    dropped = kept.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return C.without(docs, near_duplicates(docs).where(~F.col("kept")))
 
 
 ORACLE = """

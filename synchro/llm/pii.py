@@ -6,7 +6,7 @@ every candidate: the base patterns, a checksum, gazetteers (top-level domains, c
 issuers), the words before it and its grouping.  Votes and a candidate's shape have a few values
 each, so all candidates of the corpus fold into a bounded table of counts; on it expectation-
 maximisation estimates the labelers' reliabilities without labels, and a logistic span classifier is
-trained on the shapes with the posteriors as soft labels.  Its weights go back into the plan as
+trained on shapes and votes (all but the base patterns', which know no further span) with the posteriors as soft labels.  Its weights go back into the plan as
 literals.  Candidates that it accepts and that touch no base span become spans of kind `other`.
 
 Patterns are the same as given ones but possessive where nothing can be given back, so Java's
@@ -37,7 +37,16 @@ PATTERNS = {
 }
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Loose candidates, gazetteers and cue words of the labelers.
-CANDIDATES = {"mail": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++", "number": r"(?<![0-9A-Za-z+])\+?[0-9](?:[\x20().-]{0,2}[0-9]){7,}+(?![0-9A-Za-z])"}
+CANDIDATES = {
+    "mail": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++",
+    "number": "|".join(
+        (
+            r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])",
+            r"(?<![0-9A-Za-z+])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9A-Za-z])",
+            r"(?<![0-9A-Za-z+])\+?[0-9](?:(?:[).-]|\)?\x20(?=\(?[0-9]{1,4}(?![0-9])))?\(?[0-9]){7,}+(?![0-9A-Za-z])",
+        )
+    ),
+}
 DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu"]
 CALLING = ["1", "7", "20", "30", "31", "32", "33", "34", "36", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91"]
 ISSUERS = "^(?:4|5[1-5]|2[2-7]|6011|65|3[47]).*"
@@ -48,14 +57,18 @@ CONTEXT = 24
 #: P(no opinion, against, for) that labelers are expected to have by class, and the weight of that.
 EXPECTED, BELIEF = ((0.55, 0.35, 0.1), (0.45, 0.1, 0.45)), 0.2
 VOTES = ("pattern", "checksum", "gazetteer", "context", "grouping")
+#: What the span classifier sees: a candidate's shape, and the votes but for that of the base patterns.
 SHAPES = ("mail", "plus", "parens", "dots", "spaced", "d8", "d10", "d13", "d16", "d20", "glued")
 
+OPINIONS = [(f"v_{k}", vote) for k in VOTES[1:] for vote in (1, 2)]
+
 _SPAN = "array<struct<s:int,e:int,x:string>>"
 
 
 def plain(text: Column) -> Column:
-    """The text with its own mark characters replaced, one for one."""
-    return F.translate(F.coalesce(text, F.lit("")), _OPEN + _SHUT, _SPARE * 2)
+    """The text with its own mark characters, if it has any, replaced one for one."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains(_OPEN) | text.contains(_SHUT), F.translate(text, _OPEN + _SHUT, _SPARE * 2)).otherwise(text)
 
 
 def matches(text: Column, pattern: str, hint: Column) -> Column:
@@ -171,12 +184,11 @@ def judged(m: Column, base: Column) -> Column:
     )
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with columns email, ip, card, phone (spans), all base spans, and judged candidates."""
-    docs = docs.withColumn("_t", plain(F.col("text")))
-    docs = docs.withColumns({f"_{k}": v for k, v in base_spans(F.col("_t")).items()})
-    docs = docs.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in KINDS[:4]])).withColumn("_found", _candidates(F.col("_t")))
-    return docs.withColumn("_judged", F.transform("_found", lambda m: judged(m, F.col("_base"))))
+def _steps(docs: DataFrame, keep: Column) -> DataFrame:
+    """keep (as `row`), base spans by kind (as a struct `base`) and together (`all`), and candidates (`found`) of docs' texts."""
+    docs = docs.select(keep.alias("row"), plain(F.col("text")).alias("t"))
+    docs = docs.select("row", "t", F.struct(*[v.alias(k) for k, v in base_spans(F.col("t")).items()]).alias("base"), _candidates(F.col("t")).alias("found"))
+    return docs.select("row", "base", F.concat(*[F.col(f"base.{k}") for k in KINDS[:4]]).alias("all"), "found")
 
 
 def reliabilities(table: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list, list[float]]:
@@ -204,12 +216,13 @@ def reliabilities(table: list[tuple[tuple[int, ...], int]], rounds: int = 50) ->
     return prior, odds, post
 
 
-def span_classifier(shapes: list[tuple[tuple[bool, ...], int, float]], rounds: int = 400, rate: float = 1.0) -> tuple[float, list[float]]:
-    """Bias and weights of a logistic model of shapes, from (shape, count, posterior)."""
-    bias, weights, total = 0.0, [0.0] * len(SHAPES), sum(n for _, n, _ in shapes)
+def span_classifier(rows: list[tuple[tuple[bool, ...], int, float]], rounds: int = 600, rate: float = 1.0) -> tuple[float, list[float]]:
+    """Bias and weights of a logistic model of features, from (features, count, posterior)."""
+    size = len(rows[0][0])
+    bias, weights, total = 0.0, [0.0] * size, sum(n for _, n, _ in rows)
     for _ in range(rounds):
-        gb, gw = 0.0, [1e-3 * w for w in weights]
-        for f, n, p in shapes:
+        gb, gw = 0.0, [1e-4 * w for w in weights]
+        for f, n, p in rows:
             d = (1 / (1 + math.exp(-(bias + sum(w for w, on in zip(weights, f, strict=True) if on)))) - p) * n / total
             gb += d
             for j, on in enumerate(f):
@@ -222,24 +235,27 @@ def span_classifier(shapes: list[tuple[tuple[bool, ...], int, float]], rounds: i
 def fit(docs: DataFrame) -> tuple[float, list[float]] | None:
     """The span classifier trained on all candidates of docs, or None if there are none."""
     names = [f"v_{k}" for k in VOTES] + [f"f_{k}" for k in SHAPES]
-    each = _with_spans(docs.select("text")).select(F.explode("_judged").alias("j")).select("j.*")
-    rows = each.groupBy(names).count().collect()  # at most 3**5 votes by the few shapes there are
+    each = _steps(docs.select("text"), F.lit(0))
+    # outer: the filter that an inner explode implies would find all candidates a second time
+    each = each.select("all", F.explode_outer("found").alias("m")).where(F.col("m").isNotNull())
+    each = each.select(judged(F.col("m"), F.col("all")).alias("j")).select("j.*")
+    rows = sorted(each.groupBy(names).count().collect())  # at most 3**5 votes by the few shapes there are
     if not rows:
         return None
-    table = [(tuple(int(r[f"v_{k}"]) for k in VOTES), r["count"]) for r in sorted(rows)]
-    _, _, post = reliabilities(table)
-    return span_classifier([(tuple(bool(r[f"f_{k}"]) for k in SHAPES), r["count"], p) for r, p in zip(sorted(rows), post, strict=True)])
+    _, _, post = reliabilities([(tuple(int(r[f"v_{k}"]) for k in VOTES), r["count"]) for r in rows])
+    features = [tuple(bool(r[f"f_{k}"]) for k in SHAPES) + tuple(r[v] == vote for v, vote in OPINIONS) for r in rows]
+    return span_classifier([(f, r["count"], p) for f, r, p in zip(features, rows, post, strict=True)])
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """docs with `spans`: array of (kind, s, e), by kind as listed, then start."""
+def _found(docs: DataFrame, keep: Column) -> DataFrame:
+    """keep (as `row`), spans: array of (kind, s, e), by kind as listed, then start."""
     model = fit(docs)
-    out = _with_spans(docs)
+    out = _steps(docs, keep)
 
     def tagged(kind: str, column) -> Column:
         return F.transform(column, lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e")))
 
-    base = [tagged(k, F.col(f"_{k}")) for k in KINDS[:4]]
+    base = [tagged(k, F.col(f"base.{k}")) for k in KINDS[:4]]
     if model is None:
         other = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     else:
@@ -247,13 +263,19 @@ def spans(docs: DataFrame) -> DataFrame:
 
         def accepted(m):
             score = F.lit(bias)
-            for k, w in zip(SHAPES, weights, strict=True):
-                score = score + F.when(m[f"f_{k}"], w).otherwise(0.0)
+            on = [m[f"f_{k}"] for k in SHAPES] + [m[v] == vote for v, vote in OPINIONS]
+            for x, w in zip(on, weights, strict=True):
+                score = score + F.when(x, w).otherwise(0.0)
             return (score > 0) & (m["v_pattern"] == 0)
 
-        other = F.array_sort(tagged("other", F.filter("_judged", accepted)))
-    out = out.withColumn("spans", F.concat(*base, other)).withColumn("n_base", F.size("_base"))
-    return out.drop("_t", "_base", "_found", "_judged", *[f"_{k}" for k in KINDS[:4]])
+        found = F.transform("found", lambda m: judged(m, F.col("all")))
+        other = F.array_sort(tagged("other", F.filter(found, accepted)))
+    return out.select("row", F.concat(*base, other).alias("spans"))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id and spans: array of (kind, s, e), by kind as listed, then start."""
+    return _found(docs.select("doc_id", "text"), F.col("doc_id")).select(F.col("row").alias("doc_id"), "spans")
 
 
 def _written(s: Column) -> Column:
@@ -287,10 +309,15 @@ def redacted(text: Column, found: Column) -> Column:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; spans in their texts give way to their kind, and n_chars follows."""
-    found = spans(docs)
-    text = F.when(F.col("text").isNull() | (F.size("spans") == 0), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    found = _found(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))  # one struct, so that no name of theirs is in the way
+    none, text = F.size("spans") == 0, F.col("row")["text"]
+    out = found.select("row", none.alias("none"), F.when(text.isNull() | none, text).otherwise(redacted(text, F.col("spans"))).alias("text"))
+    columns = []
+    for field in docs.schema.fields:
+        own = F.col("row")[field.name]
+        if field.name == "text":
+            own = F.col("text")
+        elif field.name == "n_chars":
+            own = F.when(F.col("none"), own).otherwise(F.length("text").cast(field.dataType))
+        columns.append(own.alias(field.name))
+    return out.select(*columns)

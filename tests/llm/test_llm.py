@@ -165,26 +165,30 @@ def test_rule_counts(spark, odd, docs, texts):
             assert tuple(r[k] for k in quality_rules.COUNTS) == n and r.base_failed == failed and r.kept == (not failed)
 
 
-def _accuracy(spark, sf_dir, name, label):
+def _held_out(spark, sf_dir, name, label):
+    """Held-out rows of a label: predicted, label."""
     got = {r.doc_id: r for r in registry.QUERIES[name](spark, sf_dir).collect()}
-    marks = [(got[r.doc_id], r[label]) for r in common.labels(spark, sf_dir).collect()]
-    return np.mean([r.predicted == y for r, y in marks if r.held_out])
+    return np.array([(got[r.doc_id].predicted, r[label]) for r in common.labels(spark, sf_dir).collect() if got[r.doc_id].held_out])
 
 
 def test_quality_held_out(spark):
-    assert _accuracy(spark, "/root/testdata/sf0.01", "op1_crf_quality", "quality") > 0.95
+    p, y = _held_out(spark, "/root/testdata/sf0.01", "op1_crf_quality", "quality").T
+    assert p[y == 1].mean() > 0.95 and p[y == 0].mean() < 0.2
 
 
 def test_toxicity_held_out(spark):
-    assert _accuracy(spark, "/root/testdata/sf0.01", "op5_cnn_toxicity", "toxic") > 0.9
+    """97 toxic rows, of which some 6 in 100 have no sign of it in their texts; 4-fold recall on training rows is 0.93."""
+    p, y = _held_out(spark, "/root/testdata/sf0.1", "op5_cnn_toxicity", "toxic").T
+    assert p[y == 1].mean() >= 0.85 and y[p == 1].mean() >= 0.9
 
 
-def test_forest_keeps_good_rows(spark):
-    sf_dir = "/root/testdata/sf0.01"
+def test_forest_on_held_out_rows(spark):
+    """Labels of the fold 1 of 3 were seen neither by the threshold nor in choosing the shares."""
+    sf_dir = "/root/testdata/sf0.1"
     kept = {r.doc_id: r.kept for r in registry.QUERIES["op10_forest_rules"](spark, sf_dir).collect()}
-    good = [kept[r.doc_id] for r in common.labels(spark, sf_dir).collect() if r.quality == 1]
-    bad = [kept[r.doc_id] for r in common.labels(spark, sf_dir).collect() if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
+    rows = [(kept[r.doc_id], r.quality) for r in common.labels(spark, sf_dir).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    k, y = np.array(rows).T
+    assert k[y == 1].mean() > 0.95 and k[y == 0].mean() < 0.3
 
 
 def test_models_score_odd_rows(spark, odd, docs, sf_dir):
@@ -248,14 +252,6 @@ def test_secret_base_spans(spark, odd, docs, texts):
             assert [(m.kind, m.start, m.end) for m in r.spans] == brute(of[r.doc_id])
 
 
-def test_automata_prefer_their_own():
-    rng = np.random.default_rng(2)
-    keys = [b"AKIA" + bytes(rng.choice(list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16).tolist()) for _ in range(60)]
-    words = [b"ordinarywordswithoutanydigits"[: 20 + k % 9] for k in range(60)]
-    model = {"good": [secret_scan.Automaton(keys[:40])], "plain": secret_scan.Automaton(words)}
-    assert min(secret_scan.score(model, k) for k in keys[40:]) > max(secret_scan.score(model, w) for w in words)
-
-
 def test_warc_of_odd_pages(spark, tmp_path):
     rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u\r\nx", ""), (5, "http://c", "é\r\n\r\nWARC/1.1\r\n"), (2, "http://b", "same"), (7, "http://d", "x" * 70_000)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
@@ -284,23 +280,9 @@ def test_decontamination_finds_long_items(spark, monkeypatch):
     frames = [spark.createDataFrame([(i, x if isinstance(x, str) else " ".join(x)) for i, x in rows.items()], f"{name} long, text string") for rows, name in ((texts, "doc_id"), (items, "item_id"))]
     want = {(i, i) for i in items} | {(102, 0), (102, 5)}
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(*frames).collect()) == sorted(want)
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 20)  # items of 60 and 155 parts have a block of their own
+    monkeypatch.setattr(decontaminate, "INDEX_WORDS", 1_000)  # the longer items have an index of their own
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(*frames).collect()) == sorted(want)
 
 
-def test_pipeline_stages(spark, sf_dir):
-    import corpus_pipeline
-
-    docs, seen = common.documents(spark, sf_dir), []
-    for name, stage in corpus_pipeline.STAGES:
-        out = common.saved(stage(spark, docs, sf_dir), f"test-{name}")
-        if name != "packing":
-            assert out.columns == docs.columns
-        seen.append(out.select("doc_id").distinct().count())
-        docs = out
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0
-    assert seen[2] == seen[3] == seen[4]
-
-
 def test_digest_of_no_spans():
     assert secret_scan.digest([]) == hashlib.sha256(b"").hexdigest()
