@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out accuracy on small tables."""
 
 import collections
+import gzip
 import hashlib
 import re
 import zlib
@@ -84,6 +85,28 @@ def test_family_of_edits_loses_no_link(spark):
     assert {r.doc_id: r.component_id for r in got} == comp
 
 
+def test_no_link_of_a_sample_is_lost(spark):
+    """sf0.1: documents whose id is divisible by 100 against all documents, by their full sets."""
+    sf_dir, lower = "/root/testdata/sf0.1", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for r in common.documents(spark, sf_dir).select("doc_id", "text").collect():
+        w = SPLIT.findall((r.text or "").translate(lower))
+        sets[r.doc_id] = {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))} if w else set()
+    holds = collections.defaultdict(list)
+    for i, own in sets.items():
+        if i % 100 == 0:
+            for x in own:
+                holds[x].append(i)
+    comp = {r.doc_id: r.component_id for r in neardup.query(spark, sf_dir).collect()}
+    links = lost = 0
+    for i, own in sets.items():
+        for j, shared in collections.Counter(j for x in own & holds.keys() for j in holds[x]).items():
+            if i != j and 100 * shared >= 75 * (len(own) + len(sets[j]) - shared):
+                links += 1
+                lost += comp[i] != comp[j]
+    assert links > 20 and lost == 0
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -252,13 +275,48 @@ def test_secret_base_spans(spark, odd, docs, texts):
             assert [(m.kind, m.start, m.end) for m in r.spans] == brute(of[r.doc_id])
 
 
-def test_warc_of_odd_pages(spark, tmp_path):
-    rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "u\r\nx", ""), (5, "http://c", "é\r\n\r\nWARC/1.1\r\n"), (2, "http://b", "same"), (7, "http://d", "x" * 70_000)]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+def test_warc_of_odd_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_PAGE", 1 << 12)  # pages of three classes of size
+    rows = [(1, "http://a", "same"), (1, "http://z", "same"), (2, "http://b", "same"), (3, None, None), (4, "u\r\nx", ""), (5, "http://c", "é\r\n\r\nWARC/1.1\r\n"), (2, "http://b", "same"), (7, "http://d", "x" * 70_000), (8, "http://d", "y" * 9_000)]
+    rows += [(None, "http://n", "same"), (None, "http://n", "same")]
+    rows = [(*r, "extra", "extra") for r in rows]
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest string, own string").write.parquet(str(tmp_path / "pages.parquet"))
     got = collections.defaultdict(list)
     for r in warc.query(spark, str(tmp_path)).collect():
         got[r.page_id].append((r.payload_bytes, r.record_type, r.refers_to))
-    assert got == {1: [(4, "response", None)], 2: [(4, "revisit", 1)] * 2, 3: [(0, "response", None)], 4: [(0, "revisit", 3)], 5: [(16, "response", None)], 7: [(70_000, "response", None)]}
+    got = {k: sorted(v, key=str) for k, v in got.items()}
+    assert got == {
+        1: [(4, "response", None), (4, "revisit", 1)], 2: [(4, "revisit", 1)] * 2, 3: [(0, "response", None)], 4: [(0, "revisit", 3)], 5: [(16, "response", None)],
+        7: [(70_000, "response", None)], 8: [(9_000, "response", None)], None: [(4, "response", None)] * 2,
+    }
+
+
+def test_warc_records_are_whole(spark, tmp_path):
+    """Every id is a URI of its own, every reference names a record that is there, blocks are HTTP messages."""
+    rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", "other")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    found = []
+    for file in sorted((tmp_path / "w").rglob("*.gz")):
+        with gzip.open(file) as stream:
+            found += list(warc.parse(stream))
+    ids = [r["warc-record-id"] for r in found]
+    assert len(set(ids)) == len(ids) == 9 and all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", i) for i in ids)
+    responses = {r["warc-record-id"]: r for r in found if r["warc-type"] == "response"}
+    for r in found:
+        if r["warc-type"] == "revisit":
+            assert r["warc-refers-to"] in responses and r["warc-profile"].endswith("identical-payload-digest") and r["warc-refers-to-target-uri"] == "http://a"
+        if r["warc-type"] in ("request", "metadata"):
+            assert r["warc-concurrent-to"] in ids
+        if r["warc-type"] == "response":
+            head, _, payload = r["body"].partition(b"\r\n\r\n")
+            assert head.startswith(b"HTTP/1.1 200 OK") and f"Content-Length: {len(payload)}".encode() in head
+    t = warc.transactions(warc.read(spark, str(tmp_path / "w"))).collect()
+    assert len(t) == 3 and all(x.request.payload == f"GET {x.url} HTTP/1.1\r\n\r\n" for x in t)
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.query(spark, str(tmp_path)).count() == 0
 
 
 def test_decontamination_finds_whole_items(spark, odd, docs, texts, sf_dir):
