@@ -48,20 +48,16 @@ def bandpass(df: DataFrame, key: str, samples: str, rate: float, low: float, hig
         import pyarrow as pa
 
         for batch in batches:
-            out: list = [None] * batch.num_rows
-            by_size: dict[int, list[int]] = {}
-            rows = batch.column("x").to_pylist()
-            for k, x in enumerate(rows):
-                if x:
-                    by_size.setdefault(len(x), []).append(k)
-                else:
-                    out[k] = x
-            for where in by_size.values():
-                x = np.array([rows[k] for k in where], float)
-                y = filtered(filtered(x, b, a)[:, ::-1], b, a)[:, ::-1]
-                for k, row in zip(where, y, strict=True):
-                    out[k] = row.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64()))], names=[key, "filtered"])
+            column = batch.column("x")
+            out = np.zeros(len(column.values), float)
+            first = column.offsets.to_numpy()
+            flat = column.values.to_numpy(zero_copy_only=False)
+            size = np.diff(first)
+            for n in np.unique(size[size > 0]):
+                at = first[:-1][size == n][:, None] + np.arange(n)
+                out[at] = filtered(filtered(flat[at], b, a)[:, ::-1], b, a)[:, ::-1]
+            lists = pa.ListArray.from_arrays(column.offsets, pa.array(out), mask=column.is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], names=[key, "filtered"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(samples).cast("array<double>").alias("x")).mapInArrow(run, f"{key} {kind}, filtered array<double>")

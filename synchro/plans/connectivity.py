@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import re
 
-from . import inference, signals
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import phase
+from . import dialect, inference, signals
 
 DRAWS = 40
 N = signals.N
 
-BASE = signals.BASE + signals.COHERENCY + """, tt AS (
+LABELS = """, tt AS (
   SELECT CAST(floor(vec_id / 30) AS BIGINT) AS g, CAST(floor(vec_id % 30 / 3) AS BIGINT) AS t, min(CASE WHEN label < 7 THEN 1 ELSE 0 END) AS y
   FROM {embeddings} GROUP BY 1, 2 HAVING count(*) = 3
 ), w AS (
@@ -28,6 +32,8 @@ BASE = signals.BASE + signals.COHERENCY + """, tt AS (
 ), ob AS (SELECT u, sum(x * k) AS effect FROM ux JOIN co ON co.g = ux.g AND co.t = ux.t GROUP BY u
 )"""
 
+BASE = signals.BASE + signals.COHERENCY + LABELS
+
 LABEL = """, pm AS (
   SELECT s.r AS r, tt.g, tt.t, w, n1, n0, row_number() OVER (PARTITION BY s.r, tt.g ORDER BY md5(concat('41|', s.r, '|', tt.g, '|', tt.t)), tt.t) AS k
   FROM tt JOIN w ON w.g = tt.g CROSS JOIN SERIES(DRAWS) s
@@ -113,3 +119,56 @@ def texts() -> dict[str, str]:
     for name, show in (("four_layers", LAYERS), ("attrition_funnel", FUNNEL)):
         out[name] = ("WITH" + steps + "\n" + show).replace("DRAWS", str(inference.DRAWS))
     return out
+
+
+#: The same steps for Spark: values of pairs come from FFT over arrays.
+_PAIRS = """
+plv AS (SELECT g, t, d, plv FROM {pair_values}), ic AS (SELECT g, t, d, imcoh AS icoh FROM {pair_values})"""
+_TIME = TIME[TIME.index("la AS (") : TIME.index("), nu AS (")] + """
+), pick AS (SELECT r, d, k, element_at(plv, CAST(l AS INT) + 1) AS x, element_at(imcoh, CAST(l AS INT) + 1) AS y FROM la JOIN {lag_values} lv ON lv.g = la.g AND lv.t = la.t WHERE pick = 1
+), nw AS (SELECT r, d, sum(x * k) AS e, sum(coalesce(nullif(y, double('NaN')), 0e0) * k) AS f FROM pick GROUP BY r, d
+), nu AS (SELECT r, concat(d, '|plv') AS u, e FROM nw UNION ALL SELECT r, concat(d, '|imcoh') AS u, f AS e FROM nw
+)"""
+_PARTNER = """, hs AS (
+  SELECT v.g, h, d, sum(plv * k) AS x, sum(imcoh * k) AS y FROM {met} v JOIN co ON co.g = v.g AND co.t = v.t GROUP BY v.g, h, d
+), nw AS (SELECT de.r, d, sum(x) AS e, sum(y) AS f FROM {derangements} de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r, d
+), nu AS (SELECT r, concat(d, '|plv') AS u, e FROM nw UNION ALL SELECT r, concat(d, '|imcoh') AS u, f AS e FROM nw
+)"""
+
+
+def _partners(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Derangements of the groups, and values of all pairs of groups that one of them brings together."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    groups = "WITH tt AS (SELECT CAST(floor(vec_id / 30) AS BIGINT) AS g FROM {embeddings} GROUP BY CAST(floor(vec_id / 30) AS BIGINT), CAST(floor(vec_id % 30 / 3) AS BIGINT) HAVING count(*) = 3)"
+    de = spark.sql(dialect.spark_text(groups + inference.DERANGE + " SELECT r, g, h FROM de", partitions), embeddings=table)
+    trials = signals.trials(spark, sf_dir)
+    mine, theirs = (trials.select(F.col("g").alias(name), "t", *(F.col(f"v{p}").alias(f"{name}{p}") for p in range(3))) for name in ("g", "h"))
+    # each pair of groups meets once, spread over all tasks before the arrays come to it
+    met = de.select("g", "h").distinct().repartition(partitions, "g", "h").join(mine, "g").join(theirs, ["h", "t"])
+    return {"derangements": de, "met": phase.pairs(signals.dyads(met, ["g", "h", "t"], "g", "h"), ["g", "h", "t", "d"], "a", "z")}
+
+
+def frames() -> dict:
+    """The nulls in the form for Spark."""
+
+    def run(text: str, lags: bool = False, partners: bool = False):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            given = {"embeddings": spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "pair_values": signals.pair_values(spark, sf_dir)}
+            if lags:
+                given["lag_values"] = signals.pair_values(spark, sf_dir, True)
+            if partners:
+                given |= _partners(spark, sf_dir)
+            sql = dialect.spark_text(("WITH" + _PAIRS + LABELS + text).replace("DRAWS", str(DRAWS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+            return spark.sql(sql, **given)
+
+        return query
+
+    show = inference.MAXT + "\n" + inference.SHOW_MAXT
+    return {
+        "connectivity_label_null_maxt": run(LABEL + show),
+        "connectivity_time_null_maxt": run(", " + _TIME + show, lags=True),
+        "connectivity_partner_null_maxt": run(_PARTNER + show, partners=True),
+        "connectivity_dyad_null_maxt": run(DYAD + show),
+        "connectivity_effects": run("\nSELECT u AS unit, round(effect, 6) AS effect FROM ob"),
+    }

@@ -16,7 +16,7 @@ def _run(sql: str) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | {"cube_label_null_maxt": cube.cube_label_null}
+    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | connectivity.frames() | {"cube_label_null_maxt": cube.cube_label_null}
 
 
 def oracle_sql() -> dict[str, str]:

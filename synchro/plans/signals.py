@@ -1,7 +1,16 @@
-"""Signal and connectivity queries; a signal is an embedding, of trial t and participant p of group g."""
+"""Signal and connectivity queries; a signal is an embedding, of trial t and participant p of group g.
+
+Texts run in both engines, sample by sample; `frames` has the form for Spark of those that transform signals: arrays through
+FFT in Arrow batches.  Their texts stay as the oracles, which share no code with them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import filters, phase
+
 N = 64
 BASE = f"""
 sg AS (
@@ -56,11 +65,106 @@ def texts() -> dict[str, str]:
         "edge_index": "SELECT a.p AS channel1, b.p AS channel2, a.p * 3 + b.p AS edge FROM (SELECT DISTINCT p FROM sg) a CROSS JOIN (SELECT DISTINCT p FROM sg) b",
         "plv_descriptives": "SELECT d AS dyad, count(*) AS n, round(avg(plv), 6) AS mean, round(PCT(plv, 0.5), 6) AS median, round(stddev_samp(plv), 6) AS sd, bool_and(plv >= 0 AND plv <= 1 + 1e-9) AS bounded FROM plv GROUP BY d",
     }
-    return {k: "WITH" + BASE + (v[0] + "\n" + v[1] if isinstance(v, tuple) else "\n" + v) for k, v in q.items()}
+    out = {k: "WITH" + BASE + (v[0] + "\n" + v[1] if isinstance(v, tuple) else "\n" + v) for k, v in q.items()}
+    out["plv_sensor_edges"] = "WITH" + SENSORS + f"""
+SELECT a.g, a.t, concat('pair', a.p + 1, b.p + 1) AS dyad, a.c AS channel1, b.c AS channel2, a.c * {CHANNELS} + b.c AS edge,
+  round(sqrt(pow(avg(a.re * b.re + a.im * b.im), 2) + pow(avg(a.im * b.re - a.re * b.im), 2)), 6) AS plv
+FROM ph a JOIN ph b ON a.g = b.g AND a.t = b.t AND a.i = b.i AND a.p < b.p GROUP BY a.g, a.t, a.p, b.p, a.c, b.c"""
+    return out
 
 
-def frames() -> dict:
-    """Queries that SQL cannot express: recursive filters."""
-    from ..operators import filters
+#: The sensor form of a signal: CHANNELS channels of as many samples, one after the other.
+CHANNELS = 4
+#: The composed chain: bands and window of 64-sample signals at 64 Hz.
+RATE, BANDS, ANCHOR, WINDOW, PAD = 64.0, {"theta": (4.0, 8.0), "alpha": (8.0, 13.0)}, 8, (0.125, 0.625), 0.5
+
+#: PLV of every channel of one participant with every channel of another, by DFT sums of a channel's samples.
+SENSORS = f"""
+sg AS (
+  SELECT CAST(floor(vec_id / 30) AS BIGINT) AS g, CAST(floor(vec_id % 30 / 3) AS BIGINT) AS t, vec_id % 3 AS p, CAST(floor(i / {N // CHANNELS}) AS BIGINT) AS c, i % {N // CHANNELS} AS i, x FROM UNROLL({{embeddings}}, vec_id, embedding) e
+), hk AS (
+  SELECT r AS n, CASE WHEN r % 2 = 1 THEN 2e0 / {N // CHANNELS} * cos(pi() * r / {N // CHANNELS}) / sin(pi() * r / {N // CHANNELS}) ELSE 0e0 END AS h FROM SERIES({N // CHANNELS}) s
+), an AS (
+  SELECT a.g, a.t, a.p, a.c, a.i, max(a.x) AS re, sum(b.x * h) AS im
+  FROM sg a JOIN sg b ON a.g = b.g AND a.t = b.t AND a.p = b.p AND a.c = b.c JOIN hk ON hk.n = (a.i - b.i + {N // CHANNELS}) % {N // CHANNELS} GROUP BY a.g, a.t, a.p, a.c, a.i
+), ph AS (SELECT g, t, p, c, i, re / sqrt(re * re + im * im) AS re, im / sqrt(re * re + im * im) AS im FROM an
+)"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, t, p, x: one row a signal."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = F.col("vec_id")
+    return e.select(F.floor(v / 30).alias("g"), F.floor(v % 30 / 3).alias("t"), (v % 3).alias("p"), F.col("embedding").alias("x"))
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, t, v0, v1, v2: one row a trial, the signals of its three participants (null where one is missing)."""
+    return signals(spark, sf_dir).groupBy("g", "t").agg(*(F.max(F.when(F.col("p") == p, F.col("x"))).alias(f"v{p}") for p in range(3)))
+
+
+def dyads(rows: DataFrame, keys: list[str], first: str = "v", second: str = "v", every: bool = False) -> DataFrame:
+    """keys, d, a, z: one row for each pair of participants (with `every` also of one with itself, in both orders)."""
+    of = [(a, z) for a in range(3) for z in range(3) if every or a < z]
+    both = F.array(*(F.struct(F.lit(f"pair{a + 1}{z + 1}").alias("d"), F.col(f"{first}{a}").alias("a"), F.col(f"{second}{z}").alias("z")) for a, z in of))
+    return rows.select(*keys, F.explode(both).alias("q")).select(*keys, "q.d", "q.a", "q.z")
+
 
-    return {"butterworth_bandpass": lambda spark, sf_dir: filters.bandpass(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 64.0, 4.0, 8.0)}
+def pair_values(spark: SparkSession, sf_dir: str, lags: bool = False) -> DataFrame:
+    """g, t, d, plv, imcoh of every pair of a trial; arrays by lag with lags."""
+    return phase.pairs(dyads(trials(spark, sf_dir), ["g", "t"]), ["g", "t", "d"], "a", "z", lags)
+
+
+def _samples(df: DataFrame) -> DataFrame:
+    return df.select("g", "t", "p", F.posexplode(F.arrays_zip("re", "im")).alias("i", "z")).select("g", "t", "p", "i", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+
+
+def _lags(df: DataFrame, value: str) -> DataFrame:
+    each = df.select("g", "t", F.col("d").alias("dyad"), F.posexplode(value).alias("lag", "x")).where(~F.isnan("x"))
+    return each.select("g", "t", "dyad", F.col("lag").cast("long").alias("lag"), F.round("x", 6).alias(value))
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, got = F.col("d"), phase.pairs(dyads(trials(spark, sf_dir), ["g", "t"], every=True), ["g", "t", "d"], "a", "z")
+    at = lambda k: (F.substring(d, k, 1).cast("long") - 1)
+    return got.select("g", "t", at(5).alias("channel1"), at(6).alias("channel2"), F.round("plv", 6).alias("plv"))
+
+
+def _sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = phase.sensor_edges(dyads(trials(spark, sf_dir), ["g", "t"]), ["g", "t", "d"], "a", "z", CHANNELS)
+    each = edges.select("g", "t", F.col("d").alias("dyad"), F.posexplode("edges").alias("edge", "plv"))
+    one, two = F.floor(F.col("edge") / CHANNELS), F.col("edge") % CHANNELS
+    return each.select("g", "t", "dyad", one.alias("channel1"), two.cast("long").alias("channel2"), F.col("edge").cast("long").alias("edge"), F.round("plv", 6).alias("plv"))
+
+
+def tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, t, p, band, re, im: padded, filtered, transformed, cut and normalised in one pass."""
+    return phase.phase_tensor(signals(spark, sf_dir), ["g", "t", "p"], "x", RATE, BANDS, ANCHOR, WINDOW, pad_seconds=PAD)
+
+
+def _band_plv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PLV of each pair in each band, from the phases of the chain."""
+    rows = tensor(spark, sf_dir).groupBy("g", "t", "band").agg(*(F.max(F.when(F.col("p") == p, F.struct("re", "im"))).alias(f"v{p}") for p in range(3)))
+    q = dyads(rows, ["g", "t", "band"])
+    dot = lambda x, y: F.aggregate(F.zip_with(F.col(x), F.col(y), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    re, im = dot("a.re", "z.re") + dot("a.im", "z.im"), dot("a.im", "z.re") - dot("a.re", "z.im")
+    return q.select("g", "t", "band", F.col("d").alias("dyad"), F.round(F.sqrt(re * re + im * im) / F.size("a.re"), 6).alias("plv"))
+
+
+def frames() -> dict:
+    """Queries in the form for Spark."""
+    table = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pair = lambda spark, sf_dir, name: pair_values(spark, sf_dir).select("g", "t", F.col("d").alias("dyad"), F.round(name, 6).alias(name))
+    return {
+        "butterworth_bandpass": lambda spark, sf_dir: filters.bandpass(table(spark, sf_dir), "vec_id", "embedding", 64.0, 4.0, 8.0),
+        "hilbert_phase": lambda spark, sf_dir: _samples(phase.analytic_signals(signals(spark, sf_dir), ["g", "t", "p"], "x", phase=True)),
+        "band_analytic": lambda spark, sf_dir: _samples(phase.analytic_signals(signals(spark, sf_dir), ["g", "t", "p"], "x", 4, 8)),
+        "plv_pairs": lambda spark, sf_dir: pair(spark, sf_dir, "plv"),
+        "imcoh_pairs": lambda spark, sf_dir: pair(spark, sf_dir, "imcoh"),
+        "plv_all_lags": lambda spark, sf_dir: _lags(pair_values(spark, sf_dir, True), "plv"),
+        "imcoh_all_lags": lambda spark, sf_dir: _lags(pair_values(spark, sf_dir, True), "imcoh"),
+        "plv_channel_matrix": _channels,
+        "plv_sensor_edges": _sensors,
+        "phase_tensor": tensor,
+        "band_plv_pairs": _band_plv,
+    }
