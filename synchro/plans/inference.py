@@ -190,13 +190,15 @@ def texts() -> dict[str, str]:
         "block_balance": "SELECT g, b, n1 AS ccc, n0 AS other, least(n1, n0) AS minority, round(n1 * n0 * 1e0 / (n1 + n0), 6) AS information_weight, n1 > 0 AND n0 > 0 AS informative FROM bw",
         "block_triad_ratio": "SELECT bl.g, round(bl.w, 6) AS block_information, round(gi.w, 6) AS triad_information, round(bl.w / gi.w, 6) AS ratio FROM (SELECT g, sum(w) AS w FROM w GROUP BY g) bl JOIN gi ON gi.g = bl.g",
         "class_balance": "SELECT g, n1, n0, least(n1, n0) AS minority, CASE WHEN least(n1, n0) > 0 THEN round(greatest(n1, n0) * 1e0 / least(n1, n0), 6) END AS imbalance, round(n1 * n0 * 4e0 / (n1 + n0) / (n1 + n0), 6) AS versus_even FROM gw",
-        "balance_thresholds": "SELECT k.r AS most, CAST(sum(CASE WHEN least(n1, n0) <= k.r THEN 1 ELSE 0 END) AS BIGINT) AS n_groups FROM gw CROSS JOIN SERIES(12) k GROUP BY k.r",
+        "balance_thresholds": "SELECT k.most, count(g) AS n_groups, coalesce(TEXTS(g), '') AS ids FROM (SELECT CASE r WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 5 ELSE 10 END AS most FROM SERIES(5) s) k LEFT JOIN gw ON least(n1, n0) <= k.most GROUP BY k.most",
+        "flagged_balance": "SELECT tt.g, count(*) AS n_flagged, CAST(sum(y) AS BIGINT) AS ccc, CAST(count(*) - sum(y) AS BIGINT) AS other, round(avg(y * 1e0), 6) AS ccc_share FROM tt WHERE greatest(v0, v1, v2) > 150 GROUP BY tt.g",
         "coeff_block": "SELECT g, t, round(k, 9) AS coeff FROM co",
         "coeff_triad": "SELECT tt.g, tt.t, round(gi.w / (SELECT sum(w) FROM gi) * CASE WHEN y = 1 THEN 1e0 / n1 ELSE -1e0 / n0 END, 9) AS coeff FROM tt JOIN gi ON gi.g = tt.g",
         "coeff_equal": "SELECT tt.g, tt.t, round(CASE WHEN y = 1 THEN 1e0 / n1 ELSE -1e0 / n0 END / (SELECT count(*) FROM gi), 9) AS coeff FROM tt JOIN gi ON gi.g = tt.g",
         "coeff_algebra_checks": "SELECT abs(sum(k)) < 1e-9 AS sums_to_zero, abs(sum(CASE WHEN k > 0 THEN k ELSE 0 END) - 1) < 1e-9 AS positive_is_one, abs(sum(CASE WHEN k < 0 THEN k ELSE 0 END) + 1) < 1e-9 AS negative_is_one, count(*) AS n FROM co",
         "observed_effects": "SELECT u AS unit, round(effect, 6) AS block_effect FROM ob",
         "secondary_effects": "SELECT u AS unit, round(sum(e * w) / sum(w), 6) AS triad_effect, round(avg(e), 6) AS equal_effect FROM (SELECT ux.u, ux.g, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, max(gi.w) AS w FROM ux JOIN gi ON gi.g = ux.g GROUP BY ux.u, ux.g) q GROUP BY u",
+        "effects_bundle": "SELECT u AS unit, round(sum(k) / sum(wn), 6) AS block_effect, round(sum(CASE WHEN n1 > 0 AND n0 > 0 THEN (s1 / n1 - s0 / n0) * n1 * n0 / (n1 + n0) END) / sum(CASE WHEN n1 > 0 AND n0 > 0 THEN n1 * n0 * 1e0 / (n1 + n0) END), 6) AS triad_effect, round(avg(CASE WHEN n1 > 0 AND n0 > 0 THEN s1 / n1 - s0 / n0 END), 6) AS equal_effect, count(*) AS n_groups FROM (SELECT u, g, sum(x * kw) AS k, sum(wn) AS wn, sum(y) * 1e0 AS n1, (count(*) - sum(y)) * 1e0 AS n0, sum(x * y) AS s1, sum(x * (1 - y)) AS s0 FROM ux GROUP BY u, g) q GROUP BY u",
         "group_block_effects": "SELECT u AS unit, g, round(effect, 6) AS effect, round(w, 6) AS weight FROM ge",
         "masked_effects": "SELECT u AS unit, round(sum(e * w) / sum(w), 6) AS effect FROM (SELECT u, g, b, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, sum(y) * (count(*) - sum(y)) * 1e0 / count(*) AS w FROM (SELECT ux.* FROM ux LEFT JOIN (SELECT DISTINCT g, t FROM tr WHERE v > 150) f ON f.g = ux.g AND f.t = ux.t WHERE f.g IS NULL) m GROUP BY u, g, b HAVING sum(y) > 0 AND sum(y) < count(*)) q GROUP BY u",
         "label_perm_coefficients": (LABEL_NULL, "SELECT r AS realization, count(*) AS n, round(sum(c) / sum(wn), 6) AS total, round(sum(CASE WHEN c > 0 THEN c ELSE 0 END) / sum(wn), 6) AS positive FROM pk GROUP BY r"),
@@ -220,10 +222,10 @@ def texts() -> dict[str, str]:
         "cluster_bootstrap": (BOOT, "SELECT bs.u AS unit, count(*) AS draws, round(PCT(e, 0.5), 6) AS median, round(PCT(e, 0.025), 6) AS low, round(PCT(e, 0.975), 6) AS high, round(avg(CASE WHEN sign(round(e, 9)) = sign(round(effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS same_direction FROM bs JOIN ob ON ob.u = bs.u GROUP BY bs.u"),
         "rank_stability": (LOTO, "SELECT a.u AS unit_a, b.u AS unit_b, round(corr(a.k, b.k), 6) AS rank_correlation FROM (SELECT u, g, CAST(row_number() OVER (PARTITION BY u ORDER BY round(effect, 9), g) AS DOUBLE) AS k FROM lo) a JOIN (SELECT u, g, CAST(row_number() OVER (PARTITION BY u ORDER BY round(effect, 9), g) AS DOUBLE) AS k FROM lo) b ON a.g = b.g AND a.u < b.u GROUP BY a.u, b.u"),
         "direction_agreement": "SELECT a.d AS dyad, round(a.effect, 6) AS closeness, round(b.effect, 6) AS ratio, sign(round(a.effect, 9)) = sign(round(b.effect, 9)) AS agrees FROM (SELECT split_part(u, '|', 1) AS d, effect FROM ob WHERE u LIKE '%closeness') a JOIN (SELECT split_part(u, '|', 1) AS d, effect FROM ob WHERE u LIKE '%ratio') b ON a.d = b.d",
-        "cube_descriptives": "SELECT u AS unit, count(*) AS n, round(min(x), 6) AS low, round(PCT(x, 0.01), 6) AS p01, round(PCT(x, 0.5), 6) AS median, round(avg(x), 6) AS mean, round(PCT(x, 0.99), 6) AS p99, round(max(x), 6) AS high, round(stddev_pop(x), 6) AS sd, round(avg(CASE WHEN x >= 0.95 THEN 1e0 ELSE 0e0 END), 6) AS near_one FROM ux GROUP BY u",
-        "cube_audit": "SELECT count(*) AS n, count(DISTINCT u) AS n_units, bool_and(x IS NOT NULL) AS finite, bool_and(x >= 0 AND x <= 1) AS bounded, count(*) = count(DISTINCT concat(g, '|', t, '|', u)) AS unique_keys FROM ux",
+        "cube_descriptives": "SELECT a.*, round(median_sd, 6) AS median_group_sd, round(min_sd, 6) AS min_group_sd FROM (SELECT u AS unit, count(*) AS n, round(min(x), 6) AS low, round(PCT(x, 0.01), 6) AS p01, round(PCT(x, 0.5), 6) AS median, round(avg(x), 6) AS mean, round(PCT(x, 0.99), 6) AS p99, round(max(x), 6) AS high, round(stddev_pop(x), 6) AS sd, round(avg(CASE WHEN x >= 0.95 THEN 1e0 ELSE 0e0 END), 6) AS near_one FROM ux GROUP BY u) a JOIN (SELECT u, PCT(sd, 0.5) AS median_sd, min(sd) AS min_sd FROM (SELECT u, g, stddev_pop(x) AS sd FROM ux GROUP BY u, g) q GROUP BY u) b ON b.u = a.unit",
+        "cube_audit": "SELECT count(*) AS n, count(DISTINCT u) AS n_units, count(DISTINCT g) AS n_groups, count(*) = count(x) AS finite, bool_and(x >= 0) AS not_below, bool_and(x <= 1) AS not_above, count(*) = count(DISTINCT concat(g, '|', t, '|', u)) AS unique_keys, count(*) = 6 * count(DISTINCT concat(g, '|', t)) AS all_units_in_trials, stddev_pop(x) > 0 AS varies, min(sd) > 0 AS every_unit_varies, bool_and(y IN (0, 1)) AS labels_binary, bool_and(n1 + n0 <= 10) AS blocks_bounded, min(t) = 0 AS starts_at_0, bool_and(abs(wn * (n1 + n0) * (n1 + n0) - n1 * n0) < 1e-9) AS weights_match FROM (SELECT ux.*, stddev_pop(x) OVER (PARTITION BY u) AS sd FROM ux) q",
         "mask_counts": "SELECT tt.g, count(*) AS n_total, CAST(sum(m) AS BIGINT) AS n_excluded, CAST(sum(y) AS BIGINT) AS ccc_total, CAST(sum(y * (1 - m)) AS BIGINT) AS ccc_retained, CAST(sum((1 - y) * (1 - m)) AS BIGINT) AS other_retained, sum(y * (1 - m)) > 0 AND sum((1 - y) * (1 - m)) > 0 AS both_classes FROM (SELECT tt.*, CASE WHEN greatest(v0, v1, v2) > 150 THEN 1 ELSE 0 END AS m FROM tt) tt GROUP BY tt.g",
-        "key_integrity": "SELECT g, p, count(*) AS n, max(t) + 1 = count(DISTINCT t) AS complete, count(*) = count(DISTINCT t) AS no_duplicates FROM tr GROUP BY g, p",
+        "key_integrity": "SELECT 'turns' AS keys, CAST(conv_id AS BIGINT) AS owner, count(*) AS n, count(*) = count(DISTINCT turn) AS no_duplicates, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AS complete, count(DISTINCT concat(turn, '|', role)) = count(DISTINCT turn) AS no_conflict FROM {conversations} GROUP BY conv_id UNION ALL SELECT 'times', CAST(user_id AS BIGINT), count(*), count(*) = count(DISTINCT ts), count(ts) = count(*), count(DISTINCT concat(CAST(ts AS STRING), '|', event_type)) = count(DISTINCT ts) FROM {events} GROUP BY user_id",
         "block_allocations": "SELECT g, b, n1, n0, CAST(round(factorial(CAST(n1 + n0 AS INT)) * 1e0 / (factorial(CAST(n1 AS INT)) * 1e0 * factorial(CAST(n0 AS INT))), 0) AS BIGINT) AS allocations FROM bw",
         "balanced_labels": "SELECT tt.g, tt.t, CASE WHEN k <= floor(n / 2) THEN 1 ELSE 0 END AS label FROM tt JOIN (SELECT t, row_number() OVER (PARTITION BY b ORDER BY md5(concat('53|', t)), t) AS k, count(*) OVER (PARTITION BY b) AS n FROM (SELECT DISTINCT t, b FROM tt) a) q ON q.t = tt.t",
         "flag_sources": "SELECT g, t, count(*) AS n, TEXTS(p) AS participants FROM tr WHERE v > 150 GROUP BY g, t",

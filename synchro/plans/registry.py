@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import connectivity, cube, dialect, inference, reports, signals
+from . import connectivity, cube, detection, dialect, evidence, inference, reports, signals
 
 
 def _texts() -> dict[str, str]:
-    return {**inference.texts(), **signals.texts(), **connectivity.texts(), **reports.texts()}
+    return {**inference.texts(), **signals.texts(), **connectivity.texts(), **reports.texts(), **detection.texts()}
 
 
 def _run(sql: str) -> Callable:
@@ -16,8 +16,8 @@ def _run(sql: str) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | connectivity.frames() | {"cube_label_null_maxt": cube.cube_label_null}
+    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | connectivity.frames() | evidence.frames() | {"cube_label_null_maxt": cube.cube_label_null}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | {"cube_label_null_maxt": cube.ORACLE}
+    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | evidence.oracles() | {"cube_label_null_maxt": cube.ORACLE}
