@@ -83,7 +83,7 @@ def _partial(seed: int, draws: int):
 
         def close_block() -> None:
             nonlocal size
-            trials, y = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+            trials, y = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows])
             n1 = int(y.sum())
             if 0 < n1 < len(y):
                 key = (at[2], trials.tobytes(), y.tobytes())
@@ -92,7 +92,7 @@ def _partial(seed: int, draws: int):
                     size += kept[key].nbytes
                     while size > CACHE_BYTES and len(kept) > 1:
                         size -= kept.popitem(last=False)[1].nbytes
-                sums.add(kept[key], np.stack([r[2] for r in rows]), n1 * (len(y) - n1) / len(y))
+                sums.add(kept[key], np.concatenate([r[2] for r in rows]), n1 * (len(y) - n1) / len(y))
             rows.clear()
 
         def close_part() -> list:
@@ -103,9 +103,13 @@ def _partial(seed: int, draws: int):
             return [pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([sums.weight]), cells], names=["part", "weight", "cells"])]
 
         for batch in batches:
-            keys = zip(batch.column("part").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            t, y = batch.column("t").to_pylist(), batch.column("y").to_pylist()
-            for k, (key, x) in enumerate(zip(keys, _values(batch.column("xs")), strict=True)):
+            names = batch.column("part").dictionary_encode().indices.to_numpy()
+            salt, block, t, y = (batch.column(k).to_numpy() for k in ("salt", "b", "t", "y"))
+            fresh = np.ones(len(names), bool)  # the first row of a block of a part
+            fresh[1:] = (names[1:] != names[:-1]) | (salt[1:] != salt[:-1]) | (block[1:] != block[:-1])
+            edges = np.append(np.flatnonzero(fresh), len(names))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                key = (batch.column("part")[i].as_py(), int(salt[i]), int(block[i]))
                 if key != at:
                     if at is not None:
                         close_block()
@@ -114,7 +118,7 @@ def _partial(seed: int, draws: int):
                     if at is None or key[:2] != at[:2]:
                         sums = _Sums(draws)
                     at = key
-                rows.append((t[k], y[k], x))
+                rows.append((t[i:j], y[i:j], _values(batch.column("xs").slice(i, j - i))))
         if at is not None:
             close_block()
             yield from close_part()

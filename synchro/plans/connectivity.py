@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..operators import phase
 from . import dialect, inference, signals
 
-DRAWS = 40
+#: Realizations of each null, as published for candidates, and samples that a lag moves at least.
+DRAWS, NEAR = 1_000, 10
 N = signals.N
 
 LABELS = """, tt AS (
@@ -36,12 +37,12 @@ BASE = signals.BASE + signals.COHERENCY + LABELS
 
 LABEL = """, pm AS (
   SELECT s.r AS r, tt.g, tt.t, w, n1, n0, row_number() OVER (PARTITION BY s.r, tt.g ORDER BY md5(concat('41|', s.r, '|', tt.g, '|', tt.t)), tt.t) AS k
-  FROM tt JOIN w ON w.g = tt.g CROSS JOIN SERIES(DRAWS) s
+  FROM (SELECT SPREAD(g) g, t FROM tt) tt JOIN w ON w.g = tt.g CROSS JOIN SERIES(DRAWS) s
 ), pk AS (SELECT r, g, t, w / w_all * CASE WHEN k <= n1 THEN 1e0 / n1 ELSE -1e0 / n0 END AS k FROM pm CROSS JOIN tot
 ), nu AS (SELECT r, u, sum(x * k) AS e FROM pk JOIN ux ON ux.g = pk.g AND ux.t = pk.t GROUP BY r, u
 )"""
 
-#: One lag for each realization and trial; lags nearer than 10 samples to no shift are not valid.
+#: One lag for each realization and trial, by an integer of its digest; lags nearer than NEAR samples to no shift are not valid.
 TIME = (
     signals.LAGS.replace("SRC", "ph").replace("lg AS", "lp AS")
     + signals.LAGS.replace("SRC", "an").replace("lg AS", "lc AS")
@@ -49,10 +50,10 @@ TIME = (
   SELECT g, t, concat(d, '|plv') AS u, l, sqrt(re * re + im * im) AS x FROM lp UNION ALL
   SELECT lc.g, lc.t, concat(d, '|imcoh') AS u, l, CASE WHEN a.e * b.e > 1e-20 THEN least(abs(im) * {N} / sqrt(a.e * b.e), 1e0) ELSE 0e0 END AS x
   FROM lc JOIN en a ON a.g = lc.g AND a.t = lc.t AND lc.d LIKE concat('pair', a.p + 1, '_') JOIN en b ON b.g = lc.g AND b.t = lc.t AND lc.d LIKE concat('pair_', b.p + 1)
-), la AS (
-  SELECT s.r AS r, co.g, co.t, co.k, l.r AS l, row_number() OVER (PARTITION BY s.r, co.g, co.t ORDER BY md5(concat('43|', s.r, '|', co.g, '|', co.t, '|', l.r)), l.r) AS pick
-  FROM co CROSS JOIN SERIES(DRAWS) s JOIN SERIES({N}) l ON least(l.r, {N} - l.r) >= 10
-), nu AS (SELECT r, u, sum(x * k) AS e FROM la JOIN lv ON lv.g = la.g AND lv.t = la.t AND lv.l = la.l WHERE pick = 1 GROUP BY r, u
+), lb AS (
+  SELECT s.r AS r, co.g, co.t, co.k, md5(concat('43|', s.r, '|', co.g, '|', co.t)) AS digest FROM (SELECT SPREAD(g, t) g, t, k FROM co) co CROSS JOIN SERIES(DRAWS) s
+), la AS (SELECT r, g, t, k, {NEAR} + INT32(digest) % {N - 2 * NEAR + 1} AS l FROM lb
+), nu AS (SELECT r, u, sum(x * k) AS e FROM la JOIN lv ON lv.g = la.g AND lv.t = la.t AND lv.l = la.l GROUP BY r, u
 )"""
 )
 
@@ -124,8 +125,8 @@ def texts() -> dict[str, str]:
 #: The same steps for Spark: values of pairs come from FFT over arrays.
 _PAIRS = """
 plv AS (SELECT g, t, d, plv FROM {pair_values}), ic AS (SELECT g, t, d, imcoh AS icoh FROM {pair_values})"""
-_TIME = TIME[TIME.index("la AS (") : TIME.index("), nu AS (")] + """
-), pick AS (SELECT r, d, k, element_at(plv, CAST(l AS INT) + 1) AS x, element_at(imcoh, CAST(l AS INT) + 1) AS y FROM la JOIN {lag_values} lv ON lv.g = la.g AND lv.t = la.t WHERE pick = 1
+_TIME = TIME[TIME.index("lb AS (") : TIME.index("), nu AS (")] + """
+), pick AS (SELECT r, d, k, element_at(plv, CAST(l AS INT) + 1) AS x, element_at(imcoh, CAST(l AS INT) + 1) AS y FROM la JOIN {lag_values} lv ON lv.g = la.g AND lv.t = la.t
 ), nw AS (SELECT r, d, sum(x * k) AS e, sum(coalesce(nullif(y, double('NaN')), 0e0) * k) AS f FROM pick GROUP BY r, d
 ), nu AS (SELECT r, concat(d, '|plv') AS u, e FROM nw UNION ALL SELECT r, concat(d, '|imcoh') AS u, f AS e FROM nw
 )"""

@@ -1,24 +1,48 @@
 """The sensor cube: every value of one participant against every value of another, and its label null.
 
 Groups, trials and participants are those of `signals`; a trial is positive if its three labels are
-below 7, a group is one block.  A part is a pair of participants with a sample of the first; its units
-are the samples of the second, so 64-sample signals make 12,288 units.
+below 7, a group is one block.  A part is a pair of participants with PART_SAMPLES samples of the first; its units
+are these with every sample of the second, so 64-sample signals make 12,288 units.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import label_null as nulls
+from ..operators.phase import by_length
+
+DRAWS, SEED, PART_SAMPLES = 30, 3100, 4
+PAIRS = ((0, 1), (0, 2), (1, 2))
+
+
+def _closeness(batches: Iterator) -> Iterator:
+    """Per trial and part the closeness of each sample of the part to each sample of the other participant, as one array."""
+    import pyarrow as pa
 
-DRAWS, SEED = 30, 3100
+    for batch in batches:
+        found = [{x.shape[1]: (rows, x) for rows, x in by_length(batch.column(f"v{p}"))} for p in range(3)]
+        for a, z in PAIRS:
+            for n in sorted(found[a].keys() & found[z].keys()):
+                (rows_a, xa), (rows_z, xz) = found[a][n], found[z][n]
+                rows = np.intersect1d(rows_a, rows_z)
+                xa, xz = xa[np.searchsorted(rows_a, rows)], xz[np.searchsorted(rows_z, rows)]
+                keep = [batch.column(k).take(pa.array(rows)) for k in ("b", "t", "y")]
+                for i in range(0, n, PART_SAMPLES):
+                    m = (1 / (1 + np.abs(xa[:, i : i + PART_SAMPLES, None] - xz[:, None, :]))).reshape(len(rows), -1)
+                    xs = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * m.shape[1], pa.array(m.reshape(-1)))
+                    names = pa.array([f"pair{a + 1}{z + 1}|{i}|{n}"] * len(rows))
+                    yield pa.RecordBatch.from_arrays([names, *keep, xs], names=["part", "b", "t", "y", "xs"])
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part, b, t, y, xs: closeness of the part's sample to each sample of the other participant."""
+    """part (pair, its first sample, samples a signal), b, t, y, xs."""
     who = F.col("vec_id") % 3
-    signal = F.transform("embedding", lambda v: v.cast("double"))
+    signal = F.col("embedding").cast("array<double>")
     trials = (
         spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         .select("*", F.floor(F.col("vec_id") / 30).alias("b"), F.floor(F.col("vec_id") % 30 / 3).alias("t"))
@@ -28,15 +52,16 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min((F.col("label") < 7).cast("int")).alias("y"), F.count("*").alias("n"), *(F.max(F.when(who == p, signal)).alias(f"v{p}") for p in range(3)))
         .where("n = 3")
     )
-    pairs = F.array(*(F.struct(F.lit(f"pair{a + 1}{z + 1}").alias("d"), F.col(f"v{a}").alias("a"), F.col(f"v{z}").alias("z")) for a, z in ((0, 1), (0, 2), (1, 2))))
-    rows = trials.select("b", "t", "y", F.explode(pairs).alias("q")).select("b", "t", "y", "q.d", "q.z", F.posexplode("q.a").alias("i", "x"))
-    return rows.select(F.concat_ws("|", "d", F.col("i").cast("string")).alias("part"), "b", "t", "y", F.transform("z", lambda v: 1 / (1 + F.abs(F.col("x") - v))).alias("xs"))
+    return trials.select("b", "t", "y", "v0", "v1", "v2").mapInArrow(_closeness, "part string, b long, t long, y int, xs array<double>")
 
 
 def cube_label_null(spark: SparkSession, sf_dir: str, draws: int = DRAWS) -> DataFrame:
     got = nulls.label_null(cube(spark, sf_dir), draws, SEED)
+    at = F.split("part", r"\|")
+    samples = at[2].cast("long")
+    sample = at[1].cast("long") + F.floor(F.col("place") / samples)
     shown = [F.round(c, 6).alias(c) for c in ("effect", "null_mean", "null_sd", "z", "p_unadjusted", "p_maxt")]
-    return got.select("part", "place", *shown)
+    return got.select(F.concat_ws("|", at[0], sample.cast("string")).alias("part"), (F.col("place") % samples).alias("place"), *shown)
 
 
 _M = nulls.mix_sql

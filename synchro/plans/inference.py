@@ -92,6 +92,9 @@ DYAD_NULL = f""", xw AS ({WIDE}
 DYAD_UNITS = DYAD_NULL + """, nu AS (SELECT r, ob.u, e FROM nm JOIN ob ON split_part(ob.u, '|', 2) = nm.u
 )"""
 
+#: Realizations of the time-shift nulls.
+SHIFTS = 1_000
+
 #: Realizations of the partner nulls, and the hash permutations that they are drawn from: a third of those of three
 #: groups and about 1/e of those of more have no fixed point, so 3,500 hold at least 1,000 but for a chance below 1e-8.
 PARTNERS, PERMUTATIONS = 1_000, 3_500
@@ -127,17 +130,17 @@ def partner_null(units: list) -> str:
 def time_null(units: list) -> str:
     """Trials of a pair's second participant move by a lag of at least two within the block, per realization.
 
-    A block's sums for each lag come before the draws, which then only pick among sums.
+    A block's sums for each lag come before the draws, which then only pick among sums, by an integer of their digest.
     """
     return f""", bl AS (
   SELECT me.g, me.b, l.r AS l, {_sums("sum(me.kw * ({v})) AS x{i}", units)}
   FROM (SELECT tw.*, min(t) OVER (PARTITION BY g, b) AS t0 FROM tw WHERE n1 > 0 AND n0 > 0) me JOIN SERIES(10) l ON least(l.r, n1 + n0 - l.r) >= 2
   JOIN tt other ON other.g = me.g AND other.b = me.b AND other.t = t0 + (me.t - t0 + l.r) % (n1 + n0)
   GROUP BY me.g, me.b, l.r
-), lag AS (
-  SELECT * FROM (
-    SELECT s.r AS r, a.*, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('1|', s.r, '|', g, '|', b, '|', l)), l) AS k
-    FROM (SELECT SPREAD(g, b) * FROM bl) a CROSS JOIN SERIES(DRAWS) s) q WHERE k = 1
+), ld AS (
+  SELECT s.r AS r, a.g, a.b, n, md5(concat('1|', s.r, '|', a.g, '|', a.b)) AS digest
+  FROM (SELECT SPREAD(g, b) g, b, n1 + n0 AS n FROM bw WHERE n1 > 0 AND n0 > 0 AND n1 + n0 >= 4) a CROSS JOIN SERIES({SHIFTS}) s
+), lag AS (SELECT q.r, bl.* FROM (SELECT r, g, b, 2 + INT32(digest) % (n - 3) AS l FROM ld) q JOIN bl ON bl.g = q.g AND bl.b = q.b AND bl.l = q.l
 ), nw AS (SELECT r, {_sums("sum(x{i}) / max(w_all) AS e{i}", units)} FROM lag CROSS JOIN tot GROUP BY r
 ), nu AS ({_tall(len(units), _names(units))}
 )"""
