@@ -233,8 +233,14 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = each.join(often, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("o"))
     prefix = prefix.withColumn("n", F.size("o")).select("rep", F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("place", "s"))
     prefix = prefix.where("s.f > 1").select("rep", "place", F.col("s.item").alias("item")).join(docs, "rep")
+    prefix = C.saved(prefix, "prefixes")
+    # a partner has as many shingles as the item's smallest set at least: rows that could not even meet that one go.
+    # So a shingle of a whole family stays only in the sets that have it early, and these are mostly one component.
+    smallest = prefix.groupBy("item").agg(F.min("n_shingles").alias("smallest"))
+    can = (100 + PERCENT) * (F.col("n_shingles") - F.col("place")) >= PERCENT * (F.col("n_shingles") + F.col("smallest"))
+    prefix = prefix.join(smallest, "item").where(can).drop("smallest")
     mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return _across(C.saved(prefix.join(mixed.select("item"), "item"), "prefixes"), "item", _place_fits)
+    return _across(C.saved(prefix.join(mixed.select("item"), "item"), "early"), "item", _place_fits)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
