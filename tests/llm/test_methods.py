@@ -189,7 +189,7 @@ def test_convolution_and_pooling_against_loops():
     h, first = toxicity.keys(data, at)
     stems = {w[:4] for t in texts for w in re.findall(r"\w+", t.lower()) if len(w) > 4}
     assert len(np.unique(h[:, 1])) == len(stems) + 1 and not h[len("one two".split()) - 2, 1:].any()
-    tags = toxicity.tagged([h.reshape(-1)], least=1)
+    tags = toxicity.tagged(*np.unique(h, return_counts=True), least=1)
     net = toxicity.Net(rng.normal(0, 1, toxicity.BUCKETS))
     ids = toxicity.word_ids(h, first, tags)
     got = toxicity.logits(net.tables(), ids, toxicity._padded_first(first))
