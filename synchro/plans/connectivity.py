@@ -166,10 +166,37 @@ def frames() -> dict:
         return query
 
     show = inference.MAXT + "\n" + inference.SHOW_MAXT
-    return {
+    nulls = {
         "connectivity_label_null_maxt": run(LABEL + show),
         "connectivity_time_null_maxt": run(", " + _TIME + show, lags=True),
         "connectivity_partner_null_maxt": run(_PARTNER + show, partners=True),
         "connectivity_dyad_null_maxt": run(DYAD + show),
         "connectivity_effects": run("\nSELECT u AS unit, round(effect, 6) AS effect FROM ob"),
     }
+
+    def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Per pair of participants both measures' effects, whether their signs agree, and each measure's passes."""
+        rows = nulls["connectivity_label_null_maxt"](spark, sf_dir).select("unit", "effect", F.col("p_maxt").alias("label"))
+        for null in ("time", "partner", "dyad"):
+            rows = rows.join(nulls[f"connectivity_{null}_null_maxt"](spark, sf_dir).select("unit", F.col("p_maxt").alias(null)), "unit", "left")
+        passed = [F.coalesce(F.col(n) < 0.05, F.lit(False)).alias(n) for n in NULLS]
+        rows = rows.select(F.split_part("unit", F.lit("|"), F.lit(1)).alias("dyad_of"), F.split_part("unit", F.lit("|"), F.lit(2)).alias("m"), "effect", *passed)
+        of = lambda m, x: F.max(F.when(F.col("m") == m, F.col(x)))
+        flags = [of(m, n).alias(f"{m}_{n}_pass") for m in ("plv", "imcoh") for n in NULLS]
+        return rows.groupBy(F.col("dyad_of").alias("pair")).agg(of("plv", "effect").alias("plv"), of("imcoh", "effect").alias("imcoh"), (F.signum(of("plv", "effect")) == F.signum(of("imcoh", "effect"))).alias("agrees"), *flags)
+
+    return nulls | {"metric_agreement": agreement}
+
+
+def oracles() -> dict[str, str]:
+    own = texts()
+    joins = " ".join(f"LEFT JOIN ({dialect.duckdb_text(own[f'connectivity_{n}_null_maxt'])}) {n}_ ON {n}_.unit = label_.unit" for n in ("time", "partner", "dyad"))
+    flags = ", ".join(f"bool_or(m = '{m}' AND {n}) AS {m}_{n}_pass" for m in ("plv", "imcoh") for n in NULLS)
+    passed = ", ".join(f"coalesce({n}_.p_maxt < 0.05, false) AS {n}" for n in NULLS)
+    return {
+        "metric_agreement": f"""WITH r AS (
+  SELECT split_part(label_.unit, '|', 1) AS pair, split_part(label_.unit, '|', 2) AS m, label_.effect, {passed} FROM ({dialect.duckdb_text(own["connectivity_label_null_maxt"])}) label_ {joins}
+)
+SELECT pair, max(CASE WHEN m = 'plv' THEN effect END) AS plv, max(CASE WHEN m = 'imcoh' THEN effect END) AS imcoh, sign(max(CASE WHEN m = 'plv' THEN effect END)) = sign(max(CASE WHEN m = 'imcoh' THEN effect END)) AS agrees, {flags}
+FROM r GROUP BY pair"""
+    }

@@ -170,8 +170,9 @@ SUMMARY = """SELECT nu.u AS unit, count(*) AS draws, round(avg(e), 6) AS null_me
   round((1 + sum(CASE WHEN round(abs(e - m), 9) >= round(abs(effect - m), 9) THEN 1 ELSE 0 END)) * 1e0 / (count(*) + 1), 6) AS p_two_sided
 FROM nu JOIN (SELECT u, avg(e) AS m FROM nu GROUP BY u) c ON c.u = nu.u JOIN ob ON ob.u = nu.u GROUP BY nu.u"""
 
-LOTO = """, al AS (SELECT u, g, effect, w, sum(effect * w) OVER (PARTITION BY u) AS sw, sum(w) OVER (PARTITION BY u) AS ws,
-  sum(effect) OVER (PARTITION BY u) AS se, count(*) OVER (PARTITION BY u) AS n FROM ge
+#: A unit's totals come from a sum by unit and are joined to its groups, so no task holds all groups of a unit.
+LOTO = """, ta AS (SELECT u, sum(effect * w) AS sw, sum(w) AS ws, sum(effect) AS se, count(*) AS n FROM ge GROUP BY u
+), al AS (SELECT ge.u, g, effect, w, sw, ws, se, n FROM ge JOIN ta ON ta.u = ge.u
 ), lo AS (SELECT u, g, effect, w, sw / ws AS full_effect, (sw - w * effect) / (ws - w) AS loto, (se - effect) / (n - 1) AS equal_loto, se / n AS equal_full, w / ws AS share FROM al WHERE ws > w
 )"""
 
@@ -222,6 +223,15 @@ def texts() -> dict[str, str]:
         "dominant_group": (LOTO, "SELECT unit, g, share FROM (SELECT u AS unit, g, round(abs(effect * w) / sum(abs(effect * w)) OVER (PARTITION BY u), 6) AS share, row_number() OVER (PARTITION BY u ORDER BY round(abs(effect * w), 9) DESC, g) AS k FROM lo) q WHERE k = 1"),
         "equal_weight_stability": (LOTO, "SELECT u AS unit, round(max(equal_full), 6) AS equal_effect, round(min(equal_loto), 6) AS loto_min, round(max(equal_loto), 6) AS loto_max, round(avg(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS same_share FROM lo GROUP BY u"),
         "candidate_audit": (LOTO, "SELECT u AS unit, count(*) AS n_groups, round(max(full_effect), 6) AS effect, round(min(loto), 6) AS loto_min, round(max(loto), 6) AS loto_max, CAST(sum(CASE WHEN round(effect, 9) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_groups, round(sum(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN share ELSE 0 END), 6) AS supporting_weight FROM lo GROUP BY u"),
+        "stability_bundle": (LOTO + BOOT, """SELECT a.*, draws, median, low, high, boot_same, low > 0 OR high < 0 AS excludes_zero FROM (
+  SELECT u AS unit, count(*) AS n_groups, round(max(full_effect), 6) AS effect, CAST(sum(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS same_groups,
+    CAST(sum(CASE WHEN round(effect, 9) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_groups, round(sum(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN share ELSE 0 END), 6) AS same_weight,
+    CAST(sum(CASE WHEN sign(round(loto, 9)) = sign(round(full_effect, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS loto_same, round(min(loto), 6) AS loto_min, round(max(loto), 6) AS loto_max,
+    max_by(g, round(abs(loto - full_effect), 12)) AS most_influential, round(max(abs(loto - full_effect)), 6) AS largest_change, round(max(share), 6) AS largest_share,
+    round(max(equal_full), 6) AS equal_effect, sign(round(max(equal_full), 9)) = sign(round(max(full_effect), 9)) AS equal_agrees, round(min(equal_loto), 6) AS equal_min, round(max(equal_loto), 6) AS equal_max
+  FROM lo GROUP BY u) a JOIN (
+  SELECT bs.u, count(*) AS draws, round(PCT(e, 0.5), 6) AS median, round(PCT(e, 0.025), 6) AS low, round(PCT(e, 0.975), 6) AS high, round(avg(CASE WHEN sign(round(e, 9)) = sign(round(effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS boot_same
+  FROM bs JOIN ob ON ob.u = bs.u GROUP BY bs.u) b ON b.u = a.unit"""),
         "cluster_bootstrap": (BOOT, "SELECT bs.u AS unit, count(*) AS draws, round(PCT(e, 0.5), 6) AS median, round(PCT(e, 0.025), 6) AS low, round(PCT(e, 0.975), 6) AS high, round(avg(CASE WHEN sign(round(e, 9)) = sign(round(effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS same_direction FROM bs JOIN ob ON ob.u = bs.u GROUP BY bs.u"),
         "rank_stability": (LOTO, "SELECT a.u AS unit_a, b.u AS unit_b, round(corr(a.k, b.k), 6) AS rank_correlation FROM (SELECT u, g, CAST(row_number() OVER (PARTITION BY u ORDER BY round(effect, 9), g) AS DOUBLE) AS k FROM lo) a JOIN (SELECT u, g, CAST(row_number() OVER (PARTITION BY u ORDER BY round(effect, 9), g) AS DOUBLE) AS k FROM lo) b ON a.g = b.g AND a.u < b.u GROUP BY a.u, b.u"),
         "direction_agreement": "SELECT a.d AS dyad, round(a.effect, 6) AS closeness, round(b.effect, 6) AS ratio, sign(round(a.effect, 9)) = sign(round(b.effect, 9)) AS agrees FROM (SELECT split_part(u, '|', 1) AS d, effect FROM ob WHERE u LIKE '%closeness') a JOIN (SELECT split_part(u, '|', 1) AS d, effect FROM ob WHERE u LIKE '%ratio') b ON a.d = b.d",

@@ -83,3 +83,9 @@ def test_cluster_bootstrap_reaches_every_group(spark, tmp_path):
     own = 1 / (1 + abs(effect)) - 0.5
     wide = 2 * 1.96 * own.std() / 1009**0.5
     assert x.draws == 10_000 and 0.93 * wide < x.high - x.low < 1.07 * wide and x.low < own.mean() < x.high
+
+
+@pytest.mark.parametrize("name", ["connectivity_time_null_maxt", "connectivity_partner_null_maxt", "connectivity_dyad_null_maxt", "metric_agreement", "plv_all_lags", "phase_tensor", "cube_label_null_maxt"])
+def test_an_empty_family_has_no_rows(spark, tmp_path, name):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.queries()[name](spark, str(tmp_path)).count() == 0
