@@ -8,12 +8,16 @@ both classes has no weight.  A trial that a surrogate partner lacks adds nothing
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import phase
-from . import dialect, inference, signals
+from ..operators import derange, draws, phase
+from ..operators.ranks import numbered
+from ..sources.scratch import saved
+from . import dialect, inference, nulls, signals
 
 #: Realizations of each null, as published for candidates, and samples that a lag moves at least.
 DRAWS, NEAR = 1_000, 10
@@ -35,14 +39,24 @@ LABELS = """, tt AS (
 
 BASE = signals.BASE + signals.COHERENCY + LABELS
 
-LABEL = """, pm AS (
-  SELECT s.r AS r, tt.g, tt.t, w, n1, n0, row_number() OVER (PARTITION BY s.r, tt.g ORDER BY md5(concat('41|', s.r, '|', tt.g, '|', tt.t)), tt.t) AS k
-  FROM (SELECT SPREAD(g) g, t FROM tt) tt JOIN w ON w.g = tt.g CROSS JOIN SERIES(DRAWS) s
-), pk AS (SELECT r, g, t, w / w_all * CASE WHEN k <= n1 THEN 1e0 / n1 ELSE -1e0 / n0 END AS k FROM pm CROSS JOIN tot
+SEEDS = {"label": 41, "time": 43, "partner": 19, "dyad": 47}
+NAMES = [f"{d}|{m}" for m in ("plv", "imcoh") for d in inference.PAIRS]
+_UNIT = "CASE {} " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(NAMES)) + " END"
+
+# The nulls as SQL, what DuckDB runs; `frames` has the form for Spark.
+
+#: Allocation number h % c of a group's c label allocations, for all units alike.
+LABEL = f""", mk AS (
+  SELECT n, mask, ones, row_number() OVER (PARTITION BY n, ones ORDER BY mask DESC) - 1 AS place, count(*) OVER (PARTITION BY n, ones) AS c
+  FROM (SELECT a.r + 1 AS n, m.r AS mask, bit_count(m.r) AS ones FROM SERIES(10) a JOIN SERIES(1024) m ON m.r < (1 << (a.r + 1)::INT)) q
+), tp AS (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY t) AS place FROM tt
+), {draws.stream_sql("w", SEEDS["label"], ["g"], ["n1", "n0"], DRAWS)}, pk AS (
+  SELECT hs.r, tp.g, tp.t, CASE WHEN (mask >> (hs.n1 + hs.n0 - tp.place)::INT) & 1 = 1 THEN hs.n0 ELSE -hs.n1 END * 1e0 / (hs.n1 + hs.n0) / w_all AS k
+  FROM hs JOIN mk ON mk.n = hs.n1 + hs.n0 AND mk.ones = hs.n1 AND mk.place = h % mk.c JOIN tp ON tp.g = hs.g CROSS JOIN tot
 ), nu AS (SELECT r, u, sum(x * k) AS e FROM pk JOIN ux ON ux.g = pk.g AND ux.t = pk.t GROUP BY r, u
 )"""
 
-#: One lag for each realization and trial, by an integer of its digest; lags nearer than NEAR samples to no shift are not valid.
+#: One lag for each realization, trial and unit; lags nearer than NEAR samples to no shift are not valid.
 TIME = (
     signals.LAGS.replace("SRC", "ph").replace("lg AS", "lp AS")
     + signals.LAGS.replace("SRC", "an").replace("lg AS", "lc AS")
@@ -50,16 +64,15 @@ TIME = (
   SELECT g, t, concat(d, '|plv') AS u, l, sqrt(re * re + im * im) AS x FROM lp UNION ALL
   SELECT lc.g, lc.t, concat(d, '|imcoh') AS u, l, CASE WHEN a.e * b.e > 1e-20 THEN least(abs(im) * {N} / sqrt(a.e * b.e), 1e0) ELSE 0e0 END AS x
   FROM lc JOIN en a ON a.g = lc.g AND a.t = lc.t AND lc.d LIKE concat('pair', a.p + 1, '_') JOIN en b ON b.g = lc.g AND b.t = lc.t AND lc.d LIKE concat('pair_', b.p + 1)
-), lb AS (
-  SELECT s.r AS r, co.g, co.t, co.k, md5(concat('43|', s.r, '|', co.g, '|', co.t)) AS digest FROM (SELECT SPREAD(g, t) g, t, k FROM co) co CROSS JOIN SERIES(DRAWS) s
-), la AS (SELECT r, g, t, k, {NEAR} + INT32(digest) % {N - 2 * NEAR + 1} AS l FROM lb
-), nu AS (SELECT r, u, sum(x * k) AS e FROM la JOIN lv ON lv.g = la.g AND lv.t = la.t AND lv.l = la.l GROUP BY r, u
+), {draws.stream_sql("co", SEEDS["time"], ["g", "t"], ["k"], DRAWS, 6)}, la AS (SELECT r, g, t, k, {_UNIT.format("ui")} AS u, {NEAR} + h % {N - 2 * NEAR + 1} AS l FROM hs
+), nu AS (SELECT r, la.u, sum(x * k) AS e FROM la JOIN lv ON lv.g = la.g AND lv.t = la.t AND lv.l = la.l AND lv.u = la.u GROUP BY r, la.u
 )"""
 )
 
-#: The first of a pair meets the second of another group at the same trial; labels stay with the first.
-#: A pair of groups is summed over trials once, before the realizations that it comes up in.
-PARTNER = inference.DERANGE + """, hp AS (SELECT DISTINCT g, h FROM de
+#: The first of a pair meets the second of another group at the same trial; labels stay with the first.  Every unit has derangements of its own.
+PARTNER = f""", zz AS (
+  SELECT an.g, an.t, an.p, an.i, an.re, an.im, ph.re AS pre, ph.im AS pim FROM an JOIN ph ON ph.g = an.g AND ph.t = an.t AND ph.p = an.p AND ph.i = an.i
+), {derange.derangements_sql("tt", DRAWS, SEEDS["partner"], 6)}, hp AS (SELECT DISTINCT g, h FROM de
 ), xs AS (
   SELECT hp.g, hp.h, a.t, concat('pair', a.p + 1, b.p + 1) AS d, avg(a.pre * b.pre + a.pim * b.pim) AS re, avg(a.pim * b.pre - a.pre * b.pim) AS im,
     sum(a.im * b.re - a.re * b.im) AS c, sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im) AS e
@@ -67,20 +80,14 @@ PARTNER = inference.DERANGE + """, hp AS (SELECT DISTINCT g, h FROM de
 ), xv AS (
   SELECT g, h, t, concat(d, '|plv') AS u, sqrt(re * re + im * im) AS x FROM xs UNION ALL
   SELECT g, h, t, concat(d, '|imcoh') AS u, CASE WHEN e > 1e-20 THEN least(abs(c) / sqrt(e), 1e0) ELSE 0e0 END AS x FROM xs
-), hs AS (SELECT xv.g, h, u, sum(x * k) AS x FROM xv JOIN co ON co.g = xv.g AND co.t = xv.t GROUP BY xv.g, h, u
-), nu AS (SELECT de.r, u, sum(x) AS e FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r, u
+), hv AS (SELECT xv.g, h, u, sum(x * k) AS x FROM xv JOIN co ON co.g = xv.g AND co.t = xv.t GROUP BY xv.g, h, u
+), nu AS (SELECT de.r, u, sum(x) AS e FROM de JOIN hv ON hv.g = de.g AND hv.h = de.h AND hv.u = {_UNIT.format("de.f")} GROUP BY de.r, u
 )"""
-PARTNER = """, zz AS (
-  SELECT an.g, an.t, an.p, an.i, an.re, an.im, ph.re AS pre, ph.im AS pim FROM an JOIN ph ON ph.g = an.g AND ph.t = an.t AND ph.p = an.p AND ph.i = an.i
-)""" + PARTNER
-
-#: Each trial's pair is drawn from the group's three, the observed one included; one null for all pairs.
-DYAD = """, pd AS (
-  SELECT s.r AS r, co.g, co.t, co.k, q.d, row_number() OVER (PARTITION BY s.r, co.g, co.t ORDER BY md5(concat('47|', s.r, '|', co.g, '|', co.t, '|', q.d)), q.d) AS pick
-  FROM co JOIN (SELECT g, t, d FROM plv) q ON q.g = co.g AND q.t = co.t CROSS JOIN SERIES(DRAWS) s
-), nm AS (
-  SELECT r, split_part(u, '|', 2) AS m, sum(x * k) AS e FROM pd JOIN ux ON ux.g = pd.g AND ux.t = pd.t AND split_part(ux.u, '|', 1) = pd.d WHERE pick = 1 GROUP BY r, split_part(u, '|', 2)
-), nu AS (SELECT r, ob.u, e FROM nm JOIN ob ON split_part(ob.u, '|', 2) = m
+
+#: Each trial's pair is drawn from the group's three, the observed one included; every unit draws for itself.
+DYAD = f""", {draws.stream_sql("co", SEEDS["dyad"], ["g", "t"], ["k"], DRAWS, 6)}, pd AS (
+  SELECT r, g, t, k, {_UNIT.format("ui")} AS u, {_UNIT.format("h % 3 + 3 * CAST(floor(ui / 3) AS BIGINT)")} AS taken FROM hs
+), nu AS (SELECT r, pd.u, sum(x * k) AS e FROM pd JOIN ux ON ux.g = pd.g AND ux.t = pd.t AND ux.u = pd.taken GROUP BY r, pd.u
 )"""
 
 NULLS = {"label": LABEL, "time": TIME, "partner": PARTNER, "dyad": DYAD}
@@ -88,7 +95,7 @@ NULLS = {"label": LABEL, "time": TIME, "partner": PARTNER, "dyad": DYAD}
 
 def _own_names(sql: str, null: str) -> str:
     """The null's last steps under names of their own, so that several nulls fit one text."""
-    return re.sub(r"\b(xw|pm|pk|dg|pick|nw|nm|nu|st|nz|mx|mt)\b", rf"\1_{null}", sql)
+    return re.sub(r"\b(xw|mk|pk|pd|bl|nw|nu|hs\w*|st|nz|mx|mt)\b", rf"\1_{null}", sql)
 
 
 #: A unit passes if each null rejects it; a null that gives it no value does not.
@@ -110,82 +117,134 @@ FROM mt_label label LEFT JOIN mt_time time_ ON time_.u = label.u LEFT JOIN mt_pa
 def texts() -> dict[str, str]:
     q = {f"connectivity_{null}_null_maxt": sql + inference.MAXT + "\n" + inference.SHOW_MAXT for null, sql in NULLS.items()}
     q["connectivity_effects"] = "\nSELECT u AS unit, round(effect, 6) AS effect FROM ob"
-    out = {name: ("WITH" + BASE + text).replace("DRAWS", str(DRAWS)) for name, text in q.items()}
+    out = {name: "WITH" + BASE + text for name, text in q.items()}
 
     # the four nulls of all units on the event stream, held against one another
-    events = {"label": inference.LABEL_NULL, "time": inference.time_null(inference.UNITS), "partner": inference.partner_null(inference.UNITS), "dyad": inference.DYAD_UNITS}
-    steps = inference.BASE
-    for null, sql in events.items():
-        steps += _own_names(sql + inference.MAXT, null)
-    for name, show in (("four_layers", LAYERS), ("attrition_funnel", FUNNEL)):
-        out[name] = ("WITH" + steps + "\n" + show).replace("DRAWS", str(inference.DRAWS))
+    out |= layer_texts(inference.STEPS)
     return out
 
 
-#: The same steps for Spark: values of pairs come from FFT over arrays.
+def layer_texts(steps: dict[str, str]) -> dict[str, str]:
+    text = inference.BASE + "".join(_own_names(steps[null] + inference.MAXT, null) for null in NULLS)
+    return {name: "WITH" + text + "\n" + show for name, show in (("four_layers", LAYERS), ("attrition_funnel", FUNNEL))}
+
+
+#: The same steps for Spark: values of pairs come from FFT over arrays, and draws pick among a trial's or a group's sums.
 _PAIRS = """
 plv AS (SELECT g, t, d, plv FROM {pair_values}), ic AS (SELECT g, t, d, imcoh AS icoh FROM {pair_values})"""
-_TIME = TIME[TIME.index("lb AS (") : TIME.index("), nu AS (")] + """
-), pick AS (SELECT r, d, k, element_at(plv, CAST(l AS INT) + 1) AS x, element_at(imcoh, CAST(l AS INT) + 1) AS y FROM la JOIN {lag_values} lv ON lv.g = la.g AND lv.t = la.t
-), nw AS (SELECT r, d, sum(x * k) AS e, sum(coalesce(nullif(y, double('NaN')), 0e0) * k) AS f FROM pick GROUP BY r, d
-), nu AS (SELECT r, concat(d, '|plv') AS u, e FROM nw UNION ALL SELECT r, concat(d, '|imcoh') AS u, f AS e FROM nw
-)"""
-_PARTNER = """, hs AS (
-  SELECT v.g, h, d, sum(plv * k) AS x, sum(imcoh * k) AS y FROM {met} v JOIN co ON co.g = v.g AND co.t = v.t GROUP BY v.g, h, d
-), nw AS (SELECT de.r, d, sum(x) AS e, sum(y) AS f FROM {derangements} de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r, d
-), nu AS (SELECT r, concat(d, '|plv') AS u, e FROM nw UNION ALL SELECT r, concat(d, '|imcoh') AS u, f AS e FROM nw
-)"""
+_GIVEN = ", nu AS (SELECT r, u, e FROM {nu_rows})"
+_VALUES = [f"x{i}" for i in range(len(NAMES))]
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, t, y, kw (the trial's coefficient times the sum of weights), w_all: trials of groups with both classes."""
+    labels = LABELS[LABELS.index("tt AS (") : LABELS.index("), co AS (")] + ")"
+    text = f"WITH {labels} SELECT tt.g, tt.t, tt.y, CASE WHEN y = 1 THEN n0 ELSE -n1 END * 1e0 / (n1 + n0) AS kw, w_all FROM tt JOIN w ON w.g = tt.g CROSS JOIN tot"
+    return dialect.run(spark, sf_dir, text)
+
+
+def _wide(values: DataFrame) -> DataFrame:
+    """g, t, x0..: the units of a trial as columns, numbers or arrays by lag."""
+    of = [(d, m) for m in ("plv", "imcoh") for d in inference.PAIRS]
+    return values.groupBy("g", "t").agg(*(F.max(F.when(F.col("d") == d, F.col(m))).alias(x) for x, (d, m) in zip(_VALUES, of, strict=True)))
+
+
+def _numbers(batch, columns: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
 
 
-def _partners(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Derangements of the groups, and values of all pairs of groups that one of them brings together."""
+def _keys(batch, columns: tuple[str, ...]) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+
+
+def _label_score(batch) -> Iterator[draws.Scored]:
+    for rows, m in nulls.matrices(batch, ("y", *_VALUES)):
+        yield from nulls.by_positives([k[rows] for k in _keys(batch, ("g",))], m["y"], np.stack([m[x] for x in _VALUES], axis=2))
+
+
+def _time_score(batch) -> Iterator[draws.Scored]:
+    kw, keys = batch.column("kw").to_numpy(zero_copy_only=False), _keys(batch, ("g", "t"))
+    for rows, m in nulls.matrices(batch, tuple(_VALUES), "x0"):
+        x = np.nan_to_num(np.stack([m[c] for c in _VALUES], axis=2))  # without energy there is no coherency
+        n = x.shape[1]
+        if n >= 2 * NEAR:
+            yield draws.choices([k[rows] for k in keys], kw[rows][:, None, None] * x[:, NEAR : n - NEAR + 1])
+
+
+def _dyad_score(batch) -> Iterator[draws.Scored]:
+    if batch.num_rows:
+        yield draws.choices(_keys(batch, ("g", "t")), nulls.dyad_sums(_numbers(batch, ["kw"])[:, 0], _numbers(batch, _VALUES)))
+
+
+def _null(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """r, u, e: the realizations of a null, of every unit."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trials = _weighted(spark, sf_dir)
+    if kind == "partner":
+        de, met = _partners(spark, sf_dir)
+        sums = met.join(trials.select("g", "t", "kw"), ["g", "t"]).groupBy("g", "h", "d").agg(F.sum(F.col("plv") * F.col("kw")).alias("plv"), F.sum(F.col("imcoh") * F.col("kw")).alias("imcoh"))
+        tall = sums.select("g", "h", F.explode(F.array(*(F.struct(F.concat("d", F.lit(f"|{m}")).alias("u"), F.col(m).alias("e")) for m in ("plv", "imcoh")))).alias("q")).select("g", "h", "q.u", "q.e")
+        own = de.withColumn("u", F.expr(_UNIT.format("f")))
+        rows = own.join(tall, ["g", "h", "u"]).groupBy("r", "u").agg(F.sum("e").alias("e"))
+    else:
+        blocks = trials.join(_wide(signals.pair_values(spark, sf_dir, kind == "time")), ["g", "t"])
+        if kind == "label":
+            blocks = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("t", "y", *_VALUES))).alias("s"))  # ten trials a group
+            blocks = blocks.select("g", *(F.expr(f"transform(s, x -> CAST(x.{c} AS DOUBLE))").alias(c) for c in ("y", *_VALUES)))
+        score = {"label": _label_score, "time": _time_score, "dyad": _dyad_score}[kind]
+        rows = draws.picked(blocks.repartition(partitions, "g"), score, NAMES, DRAWS, SEEDS[kind], kind == "label")
+    total = trials.select("w_all").limit(1)
+    return rows.crossJoin(F.broadcast(total)).select("r", "u", (F.col("e") / F.col("w_all")).alias("e"))  # total has one row
+
+
+def _partners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Derangements of the groups by unit, and values of all pairs of groups that one of them brings together."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    groups = "WITH tt AS (SELECT CAST(floor(vec_id / 30) AS BIGINT) AS g FROM {embeddings} GROUP BY CAST(floor(vec_id / 30) AS BIGINT), CAST(floor(vec_id % 30 / 3) AS BIGINT) HAVING count(*) = 3)"
-    de = spark.sql(dialect.spark_text(groups + inference.DERANGE + " SELECT r, g, h FROM de", partitions), embeddings=table)
+    text = "WITH" + LABELS[LABELS.index(" tt AS (") : LABELS.index("), w AS (")] + ") SELECT DISTINCT g FROM tt"
+    groups = saved(numbered(dialect.run(spark, sf_dir, text), [F.col("g")]), "groups")
+    de = saved(derange.derangements(groups, DRAWS, SEEDS["partner"], len(NAMES)), "derangements")
     trials = signals.trials(spark, sf_dir)
     mine, theirs = (trials.select(F.col("g").alias(name), "t", *(F.col(f"v{p}").alias(f"{name}{p}") for p in range(3))) for name in ("g", "h"))
     # each pair of groups meets once, spread over all tasks before the arrays come to it
     met = de.select("g", "h").distinct().repartition(partitions, "g", "h").join(mine, "g").join(theirs, ["h", "t"])
-    return {"derangements": de, "met": phase.pairs(signals.dyads(met, ["g", "h", "t"], "g", "h"), ["g", "h", "t", "d"], "a", "z")}
+    return de, phase.pairs(signals.dyads(met, ["g", "h", "t"], "g", "h"), ["g", "h", "t", "d"], "a", "z")
 
 
 def frames() -> dict:
     """The nulls in the form for Spark."""
 
-    def run(text: str, lags: bool = False, partners: bool = False):
+    def run(text: str, kind: str | None = None):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            given = {"embeddings": spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "pair_values": signals.pair_values(spark, sf_dir)}
-            if lags:
-                given["lag_values"] = signals.pair_values(spark, sf_dir, True)
-            if partners:
-                given |= _partners(spark, sf_dir)
-            sql = dialect.spark_text(("WITH" + _PAIRS + LABELS + text).replace("DRAWS", str(DRAWS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-            return spark.sql(sql, **given)
+            given = {"pair_values": signals.pair_values(spark, sf_dir)}
+            if kind:
+                given["nu_rows"] = _null(spark, sf_dir, kind)
+            return dialect.run(spark, sf_dir, "WITH" + _PAIRS + LABELS + text, **given)
+
+        return query
+
+    def layers(text: str):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return dialect.run(spark, sf_dir, text, **{f"{kind}_rows": nulls.null(kind)(spark, sf_dir) for kind in NULLS})
 
         return query
 
     show = inference.MAXT + "\n" + inference.SHOW_MAXT
-    nulls = {
-        "connectivity_label_null_maxt": run(LABEL + show),
-        "connectivity_time_null_maxt": run(", " + _TIME + show, lags=True),
-        "connectivity_partner_null_maxt": run(_PARTNER + show, partners=True),
-        "connectivity_dyad_null_maxt": run(DYAD + show),
-        "connectivity_effects": run("\nSELECT u AS unit, round(effect, 6) AS effect FROM ob"),
-    }
+    maxt = {f"connectivity_{kind}_null_maxt": run(_GIVEN + show, kind) for kind in NULLS}
+    layered = {name: layers(text) for name, text in layer_texts({kind: f", nu AS (SELECT r, u, e FROM {{{kind}_rows}})" for kind in NULLS}).items()}
+    found = maxt | layered | {"connectivity_effects": run("\nSELECT u AS unit, round(effect, 6) AS effect FROM ob")}
 
     def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Per pair of participants both measures' effects, whether their signs agree, and each measure's passes."""
-        rows = nulls["connectivity_label_null_maxt"](spark, sf_dir).select("unit", "effect", F.col("p_maxt").alias("label"))
+        rows = found["connectivity_label_null_maxt"](spark, sf_dir).select("unit", "effect", F.col("p_maxt").alias("label"))
         for null in ("time", "partner", "dyad"):
-            rows = rows.join(nulls[f"connectivity_{null}_null_maxt"](spark, sf_dir).select("unit", F.col("p_maxt").alias(null)), "unit", "left")
+            rows = rows.join(found[f"connectivity_{null}_null_maxt"](spark, sf_dir).select("unit", F.col("p_maxt").alias(null)), "unit", "left")
         passed = [F.coalesce(F.col(n) < 0.05, F.lit(False)).alias(n) for n in NULLS]
         rows = rows.select(F.split_part("unit", F.lit("|"), F.lit(1)).alias("dyad_of"), F.split_part("unit", F.lit("|"), F.lit(2)).alias("m"), "effect", *passed)
         of = lambda m, x: F.max(F.when(F.col("m") == m, F.col(x)))
         flags = [of(m, n).alias(f"{m}_{n}_pass") for m in ("plv", "imcoh") for n in NULLS]
         return rows.groupBy(F.col("dyad_of").alias("pair")).agg(of("plv", "effect").alias("plv"), of("imcoh", "effect").alias("imcoh"), (F.signum(of("plv", "effect")) == F.signum(of("imcoh", "effect"))).alias("agrees"), *flags)
 
-    return nulls | {"metric_agreement": agreement}
+    return found | {"metric_agreement": agreement}
 
 
 def oracles() -> dict[str, str]:

@@ -37,8 +37,8 @@ def duckdb_text(sql: str) -> str:
     return sql.replace("PCT(", "quantile_cont(").replace("sha256_of(", "sha256(")
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The query over the tables of sf_dir that it names."""
+def run(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """The query over the tables of sf_dir that it names, and the given ones."""
     named = {t for t in TABLES if "{" + t + "}" in sql}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.sql(spark_text(sql, partitions), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in named})
+    return spark.sql(spark_text(sql, partitions), **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in named})

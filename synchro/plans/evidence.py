@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import behavior, evidence, ranks
-from . import dialect, inference
+from . import dialect, inference, nulls
 
 #: Raw trial numbers and choices in the spellings that normalisers meet, from the event stream.
 _RAW = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat(CAST(user_id AS STRING), '.5') WHEN 1 THEN concat('trial ', CAST(user_id AS STRING), ' of 9') WHEN 2 THEN '  ' WHEN 3 THEN concat(' ', CAST(user_id AS STRING), '.0 ')
@@ -30,20 +30,24 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGES = {"observed": ("observed_effects", "block_effect"), "label": ("label_null_maxt", "effect"), "dyad": ("dyad_null_maxt", "effect"), "stability": ("candidate_audit", "effect")}
 
 
+def _runs() -> dict:
+    return {name: lambda spark, sf_dir, text=text: dialect.run(spark, sf_dir, text) for name, text in inference.texts().items()} | nulls.frames()
+
+
 def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    texts = inference.texts()
-    return {k: dialect.run(spark, sf_dir, texts[q]).select("unit", F.split_part("unit", F.lit("|"), F.lit(1)).alias("dyad"), F.split_part("unit", F.lit("|"), F.lit(2)).alias("measure"), F.col(x).alias("effect")) for k, (q, x) in STAGES.items()}
+    run = _runs()
+    return {k: run[q](spark, sf_dir).select("unit", F.split_part("unit", F.lit("|"), F.lit(1)).alias("dyad"), F.split_part("unit", F.lit("|"), F.lit(2)).alias("measure"), F.col(x).alias("effect")) for k, (q, x) in STAGES.items()}
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = inference.texts()
-    rule = evidence.patterns(dialect.run(spark, sf_dir, texts["label_null_maxt"]), "unit", {"family_p_not_below_own": "p_maxt >= p_unadjusted"})
-    whole = evidence.patterns(dialect.run(spark, sf_dir, texts["candidate_audit"]), "unit", {"estimates_around_effect": "loto_min <= effect AND effect <= loto_max"})
+    run = _runs()
+    rule = evidence.patterns(run["label_null_maxt"](spark, sf_dir), "unit", {"family_p_not_below_own": "p_maxt >= p_unadjusted"})
+    whole = evidence.patterns(run["candidate_audit"](spark, sf_dir), "unit", {"estimates_around_effect": "loto_min <= effect AND effect <= loto_max"})
     return evidence.compared(stages(spark, sf_dir), "unit", "effect", ["dyad", "measure"]).unionByName(rule).unionByName(whole).select("name", "unit", "ok")
 
 
 def _checks_oracle() -> str:
-    texts = {k: dialect.duckdb_text(v) for k, v in inference.texts().items()}
+    texts = {k: dialect.duckdb_text(v) for k, v in inference.texts().items()} | nulls.oracles()
     rows = " UNION ALL ".join(f"SELECT '{k}' AS stage, unit, {x} AS effect FROM ({texts[q]}) {k}" for k, (q, x) in STAGES.items())
     n = len(STAGES)
     return f"""WITH al AS ({rows}

@@ -7,6 +7,8 @@ and a measure of how close their values are.  Randomness is an MD5 order, so eng
 
 from __future__ import annotations
 
+from ..operators import derange, draws
+
 #: A trial carries the counts n1 and n0 of its block, its unnormalised coefficient kw (0 in a block without
 #: both classes) and wn, its part of the block's weight: effects are sum(x * kw) / sum(wn), without a join.
 BASE = """
@@ -47,8 +49,9 @@ tr AS (
 ), ob AS (SELECT u, sum(x * kw) / sum(wn) AS effect FROM ux GROUP BY u
 )"""
 
-#: Realizations of each null here; a parameter of the texts below.
-DRAWS = 60
+#: Realizations of the label, time, partner and pair nulls.
+LABELS, SHIFTS, PARTNERS, DYADS = 5_000, 1_000, 1_000, 500
+SEEDS = {"label": 3100, "time": 1, "partner": 17, "dyad": 950001}
 
 #: The six values of a trial, as columns: draws multiply trials, and units come back after the sums.
 UNITS = [(d, m) for m in ("closeness", "ratio") for d in ("pair12", "pair13", "pair23")]
@@ -64,89 +67,61 @@ def _value(unit: tuple[str, str], first: str = "", second: str = "") -> str:
 WIDE = "SELECT g, t, b, n1, n0, kw, wn, " + ", ".join(f"{_value(u)} AS x{i}" for i, u in enumerate(UNITS)) + " FROM tw WHERE n1 > 0 AND n0 > 0"
 
 
-def _tall(n: int, names: list[str]) -> str:
-    """Columns e0.. of table nw as rows (r, u, e)."""
-    pick = " ".join(f"WHEN i.r = {k} THEN" + " {}" for k in range(n))
-    unit, value = pick.format(*(f"'{x}'" for x in names)), pick.format(*(f"e{k}" for k in range(n)))
-    return f"SELECT nw.r AS r, CASE {unit} END AS u, CASE {value} END AS e FROM nw CROSS JOIN SERIES({n}) i"
-
+NAMES = ["|".join(u) for u in UNITS]
 
-LABEL_NULL = f""", xw AS ({WIDE}
-), pm AS (
-  SELECT s.r AS r, xw.*, row_number() OVER (PARTITION BY s.r, g, b ORDER BY md5(concat('3100|', s.r, '|', g, '|', t)), t) AS k
-  FROM xw CROSS JOIN SERIES(DRAWS) s
-), pk AS (SELECT pm.*, CASE WHEN k <= n1 THEN n0 ELSE -n1 END * 1e0 / (n1 + n0) AS c FROM pm
-), nw AS (SELECT r, {", ".join(f"sum(x{i} * c) / sum(wn) AS e{i}" for i in range(6))} FROM pk GROUP BY r
-), nu AS ({_tall(6, ["|".join(u) for u in UNITS])}
-)"""
 
-#: One pair of three by the least of three digests; both measures of a trial take the same pair.
-DYAD_NULL = f""", xw AS ({WIDE}
-), dg AS (
-  SELECT s.r AS r, xw.*, {", ".join(f"md5(concat('950001|', s.r, '|', g, '|', t, '|pair{d}')) AS m{d}" for d in (12, 13, 23))} FROM xw CROSS JOIN SERIES(DRAWS) s
-), pick AS (SELECT dg.*, CASE WHEN m12 <= m13 AND m12 <= m23 THEN 0 WHEN m13 <= m23 THEN 1 ELSE 2 END AS i FROM dg
-), nw AS (
-  SELECT r, {", ".join(f"sum(kw * CASE WHEN i = 0 THEN x{o} WHEN i = 1 THEN x{o + 1} ELSE x{o + 2} END) / sum(wn) AS e{k}" for k, o in enumerate((0, 3)))} FROM pick GROUP BY r
-), nm AS ({_tall(2, ["closeness", "ratio"])}
-)"""
-DYAD_UNITS = DYAD_NULL + """, nu AS (SELECT r, ob.u, e FROM nm JOIN ob ON split_part(ob.u, '|', 2) = nm.u
-)"""
+def _of_unit(i: str, values: str) -> str:
+    """The unit's name, and its value among x0.. (values is their pattern), by its number in column i."""
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(NAMES))
+    each = " ".join(f"WHEN {k} THEN {values.format(k)}" for k in range(len(UNITS)))
+    return f"CASE {i} {names} END AS u, CASE {i} {each} END AS x"
 
-#: Realizations of the time-shift nulls.
-SHIFTS = 1_000
 
-#: Realizations of the partner nulls, and the hash permutations that they are drawn from: a third of those of three
-#: groups and about 1/e of those of more have no fixed point, so 3,500 hold at least 1,000 but for a chance below 1e-8.
-PARTNERS, PERMUTATIONS = 1_000, 3_500
+def _sums(text: str) -> str:
+    return ", ".join(text.format(i=i, v=_value(u, "me.", "other.")) for i, u in enumerate(UNITS))
 
-#: Hash-ordered permutations of the groups without a fixed point, renumbered by r; the first PARTNERS of them.
-DERANGE = f""", gs AS (SELECT DISTINCT g FROM tt
-), ra AS (SELECT g, row_number() OVER (ORDER BY g) AS i FROM gs
-), pe AS (SELECT s.r AS r, g, ra.i AS own, row_number() OVER (PARTITION BY s.r ORDER BY md5(concat('17|', s.r, '|', g)), g) AS i FROM ra CROSS JOIN SERIES({PERMUTATIONS}) s
-), ok AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS place FROM (SELECT r FROM pe GROUP BY r HAVING sum(CASE WHEN own = i THEN 1 ELSE 0 END) = 0) q
-), de AS (SELECT ok.place AS r, ra.g, pe.g AS h FROM pe JOIN ok ON ok.r = pe.r JOIN ra ON ra.i = pe.i WHERE ok.place < {PARTNERS}
-)"""
 
+# The nulls as SQL over draws, trials and units: what DuckDB runs.  `nulls` has the form for Spark, where draws pick among sums.
 
-def _sums(text: str, units: list) -> str:
-    return ", ".join(text.format(i=i, v=_value(u, "me.", "other.")) for i, u in enumerate(units))
-
-
-def _names(units: list) -> list[str]:
-    return ["|".join(u) for u in units]
+#: Allocation number h % c of a block's c label allocations, those with early positives first, for all units alike.
+LABEL_STEPS = f""", xw AS ({WIDE}
+), mk AS (
+  SELECT n, mask, ones, row_number() OVER (PARTITION BY n, ones ORDER BY mask DESC) - 1 AS place, count(*) OVER (PARTITION BY n, ones) AS c
+  FROM (SELECT a.r + 1 AS n, m.r AS mask, bit_count(m.r) AS ones FROM SERIES(10) a JOIN SERIES(1024) m ON m.r < (1 << (a.r + 1)::INT)) q
+), {draws.stream_sql("(SELECT DISTINCT g, b, n1, n0 FROM xw) blk", SEEDS["label"], ["g", "b"], ["n1", "n0"], LABELS)}, pk AS (
+  SELECT hs.r, xw.*, CASE WHEN (mask >> (hs.n1 + hs.n0 - 1 - (t - 10 * xw.b))::INT) & 1 = 1 THEN xw.n0 ELSE -xw.n1 END * 1e0 / (xw.n1 + xw.n0) AS c
+  FROM hs JOIN mk ON mk.n = hs.n1 + hs.n0 AND mk.ones = hs.n1 AND mk.place = h % mk.c JOIN xw ON xw.g = hs.g AND xw.b = hs.b
+), nw AS (SELECT r, {", ".join(f"sum(x{i} * c) / sum(wn) AS x{i}" for i in range(6))} FROM pk GROUP BY r
+), nu AS (SELECT nw.r, {_of_unit("i.r", "x{}")[:-5]} AS e FROM nw CROSS JOIN SERIES(6) i
+)"""
 
+#: Each trial takes one pair of its group's three, the observed one included; every unit draws for itself.
+DYAD_STEPS = f""", xw AS ({WIDE}
+), {draws.stream_sql("xw", SEEDS["dyad"], ["g", "t"], ["kw"] + [f"x{i}" for i in range(6)], DYADS, 6)}, pd AS (
+  SELECT r, ui, kw, CASE WHEN h % 3 = 0 THEN x0 WHEN h % 3 = 1 THEN x1 ELSE x2 END AS c, CASE WHEN h % 3 = 0 THEN x3 WHEN h % 3 = 1 THEN x4 ELSE x5 END AS q FROM hs
+), nw AS (SELECT r, ui, sum(kw * CASE WHEN ui < 3 THEN c ELSE q END) AS x FROM pd GROUP BY r, ui
+), nu AS (SELECT r, {_of_unit("ui", "x")[:-5]} / w_all AS e FROM nw CROSS JOIN tot
+)"""
 
-def partner_null(units: list) -> str:
-    """A pair of groups comes up in many realizations: its sums over trials are taken once, before the draws."""
-    return DERANGE + f""", hs AS (
-  SELECT hp.g, hp.h, {_sums("sum(k * ({v})) AS x{i}", units)}
+#: Partners of other groups at the same trial; labels stay with the first.  Every unit has derangements of its own.
+PARTNER_STEPS = ", " + derange.derangements_sql("tt", PARTNERS, SEEDS["partner"], 6) + f""", hs AS (
+  SELECT hp.g, hp.h, {_sums("sum(k * ({v})) AS x{i}")}
   FROM (SELECT DISTINCT g, h FROM de) hp JOIN co me ON me.g = hp.g JOIN tt other ON other.g = hp.h AND other.t = me.t
   GROUP BY hp.g, hp.h
-), nw AS (SELECT de.r AS r, {_sums("sum(x{i}) AS e{i}", units)} FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r
-), nu AS ({_tall(len(units), _names(units))}
+), nw AS (SELECT de.r AS r, de.f AS f, {", ".join(f"sum(x{i}) AS x{i}" for i in range(6))} FROM de JOIN hs ON hs.g = de.g AND hs.h = de.h GROUP BY de.r, de.f
+), nu AS (SELECT r, {_of_unit("f", "x{}")[:-5]} AS e FROM nw
 )"""
 
-
-def time_null(units: list) -> str:
-    """Trials of a pair's second participant move by a lag of at least two within the block, per realization.
-
-    A block's sums for each lag come before the draws, which then only pick among sums, by an integer of their digest.
-    """
-    return f""", bl AS (
-  SELECT me.g, me.b, l.r AS l, {_sums("sum(me.kw * ({v})) AS x{i}", units)}
+#: Trials of a pair's second participant move by a lag of at least two within the block; every unit draws for itself.
+TIME_STEPS = f""", bl AS (
+  SELECT me.g, me.b, l.r AS l, {_sums("sum(me.kw * ({v})) AS x{i}")}
   FROM (SELECT tw.*, min(t) OVER (PARTITION BY g, b) AS t0 FROM tw WHERE n1 > 0 AND n0 > 0) me JOIN SERIES(10) l ON least(l.r, n1 + n0 - l.r) >= 2
   JOIN tt other ON other.g = me.g AND other.b = me.b AND other.t = t0 + (me.t - t0 + l.r) % (n1 + n0)
   GROUP BY me.g, me.b, l.r
-), ld AS (
-  SELECT s.r AS r, a.g, a.b, n, md5(concat('1|', s.r, '|', a.g, '|', a.b)) AS digest
-  FROM (SELECT SPREAD(g, b) g, b, n1 + n0 AS n FROM bw WHERE n1 > 0 AND n0 > 0 AND n1 + n0 >= 4) a CROSS JOIN SERIES({SHIFTS}) s
-), lag AS (SELECT q.r, bl.* FROM (SELECT r, g, b, 2 + INT32(digest) % (n - 3) AS l FROM ld) q JOIN bl ON bl.g = q.g AND bl.b = q.b AND bl.l = q.l
-), nw AS (SELECT r, {_sums("sum(x{i}) / max(w_all) AS e{i}", units)} FROM lag CROSS JOIN tot GROUP BY r
-), nu AS ({_tall(len(units), _names(units))}
+), {draws.stream_sql("(SELECT g, b, n1 + n0 AS n FROM bw WHERE n1 > 0 AND n0 > 0 AND n1 + n0 >= 4) blk", SEEDS["time"], ["g", "b"], ["n"], SHIFTS, 6)}, nu AS (
+  SELECT r, u, sum(x) / max(w_all) AS e FROM (SELECT r, {_of_unit("ui", "x{}")} FROM hs JOIN bl ON bl.g = hs.g AND bl.b = hs.b AND bl.l = 2 + h % (n - 3)) q CROSS JOIN tot GROUP BY r, u
 )"""
-
-
-PARTNER_NULL, TIME_NULL = partner_null(UNITS[:1]), time_null(UNITS[:1])
+STEPS = {"label": LABEL_STEPS, "time": TIME_STEPS, "partner": PARTNER_STEPS, "dyad": DYAD_STEPS}
 
 #: Studentized max-statistic: z uses the null's mean and sd; a unit without spread has p = 1.  The null is read once.
 MAXT = """, st AS (
@@ -176,19 +151,18 @@ LOTO = """, ta AS (SELECT u, sum(effect * w) AS sw, sum(w) AS ws, sum(effect) AS
 ), lo AS (SELECT u, g, effect, w, sw / ws AS full_effect, (sw - w * effect) / (ws - w) AS loto, (se - effect) / (n - 1) AS equal_loto, se / n AS equal_full, w / ws AS share FROM al WHERE ws > w
 )"""
 
-#: Resamples of the cluster bootstrap; each slot takes any of the n groups by an integer of its own digest.
+#: Resamples of the cluster bootstrap; each slot takes any of the n groups by an integer of its own hash.
 RESAMPLES = 10_000
 
-BOOT = f""", gn AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM ge) q
-), dr AS (
-  SELECT s.r AS r, a.n, md5(concat('990200|', s.r, '|', a.i)) AS digest FROM (SELECT SPREAD(i) i, n FROM gn) a CROSS JOIN SERIES({RESAMPLES}) s
-), pd AS (SELECT r, INT32(digest) % n AS i FROM dr
-), bs AS (SELECT pd.r, ge.u, sum(effect * w) / sum(w) AS e FROM pd JOIN gn ON gn.i = pd.i JOIN ge ON ge.g = gn.g GROUP BY pd.r, ge.u
+BOOT_SEED = 990200
+BOOT_STEPS = f""", gn AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM ge) q
+), {draws.stream_sql("gn", BOOT_SEED, ["i"], ["n"], RESAMPLES)}, bs AS (SELECT hs.r, ge.u, sum(effect * w) / sum(w) AS e FROM hs JOIN gn ON gn.i = h % hs.n JOIN ge ON ge.g = gn.g GROUP BY hs.r, ge.u
 )"""
 
 
-def texts() -> dict[str, str]:
-    q = {
+def _queries() -> dict:
+    """A text, (more steps, text), or (null, more steps, text) where nu (r, u, e) is the null's realizations."""
+    return {
         "labels_ccc": "SELECT g, t, b, y AS label FROM tt",
         "block_weights": "SELECT g, b, n1, n0, round(w, 6) AS w FROM w",
         "block_balance": "SELECT g, b, n1 AS ccc, n0 AS other, least(n1, n0) AS minority, round(n1 * n0 * 1e0 / (n1 + n0), 6) AS information_weight, n1 > 0 AND n0 > 0 AS informative FROM bw",
@@ -205,34 +179,32 @@ def texts() -> dict[str, str]:
         "effects_bundle": "SELECT u AS unit, round(sum(k) / sum(wn), 6) AS block_effect, round(sum(CASE WHEN n1 > 0 AND n0 > 0 THEN (s1 / n1 - s0 / n0) * n1 * n0 / (n1 + n0) END) / sum(CASE WHEN n1 > 0 AND n0 > 0 THEN n1 * n0 * 1e0 / (n1 + n0) END), 6) AS triad_effect, round(avg(CASE WHEN n1 > 0 AND n0 > 0 THEN s1 / n1 - s0 / n0 END), 6) AS equal_effect, count(*) AS n_groups FROM (SELECT u, g, sum(x * kw) AS k, sum(wn) AS wn, sum(y) * 1e0 AS n1, (count(*) - sum(y)) * 1e0 AS n0, sum(x * y) AS s1, sum(x * (1 - y)) AS s0 FROM ux GROUP BY u, g) q GROUP BY u",
         "group_block_effects": "SELECT u AS unit, g, round(effect, 6) AS effect, round(w, 6) AS weight FROM ge",
         "masked_effects": "SELECT u AS unit, round(sum(e * w) / sum(w), 6) AS effect FROM (SELECT u, g, b, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, sum(y) * (count(*) - sum(y)) * 1e0 / count(*) AS w FROM (SELECT ux.* FROM ux LEFT JOIN (SELECT DISTINCT g, t FROM tr WHERE v > 150) f ON f.g = ux.g AND f.t = ux.t WHERE f.g IS NULL) m GROUP BY u, g, b HAVING sum(y) > 0 AND sum(y) < count(*)) q GROUP BY u",
-        "label_perm_coefficients": (LABEL_NULL, "SELECT r AS realization, count(*) AS n, round(sum(c) / sum(wn), 6) AS total, round(sum(CASE WHEN c > 0 THEN c ELSE 0 END) / sum(wn), 6) AS positive FROM pk GROUP BY r"),
-        "label_null": (LABEL_NULL, SHOW_NULL),
-        "label_null_maxt": (LABEL_NULL + MAXT, SHOW_MAXT),
-        "pvalue_grid_checks": (LABEL_NULL + MAXT, "SELECT u AS unit, abs(p_max * (draws + 1) - round(p_max * (draws + 1))) < 1e-6 AS on_grid, p_max >= p_raw - 1e-12 AS monotone FROM mt"),
-        "null_separation": (LABEL_NULL, SUMMARY),
-        "dyad_null": (DYAD_NULL, SHOW_NULL.replace("FROM nu", "FROM nm")),
-        "dyad_null_maxt": (DYAD_UNITS + MAXT, SHOW_MAXT),
-        "derangements": (DERANGE, "SELECT CAST(r AS BIGINT) AS realization, g, h AS partner FROM de"),
-        "partner_null": (PARTNER_NULL, SHOW_NULL),
-        "partner_null_maxt": (PARTNER_NULL + MAXT, SHOW_MAXT),
-        "time_shift_null": (TIME_NULL, SHOW_NULL),
-        "time_shift_maxt": (TIME_NULL + MAXT, SHOW_MAXT),
-        "null_correlation": (LABEL_NULL, "SELECT a.u AS unit_a, b.u AS unit_b, round(corr(a.e, b.e), 6) AS r FROM nu a JOIN nu b ON a.r = b.r AND a.u < b.u GROUP BY a.u, b.u"),
+        "label_null": ("label", "", SHOW_NULL),
+        "label_null_maxt": ("label", MAXT, SHOW_MAXT),
+        "pvalue_grid_checks": ("label", MAXT, "SELECT u AS unit, abs(p_max * (draws + 1) - round(p_max * (draws + 1))) < 1e-6 AS on_grid, p_max >= p_raw - 1e-12 AS monotone FROM mt"),
+        "null_separation": ("label", "", SUMMARY),
+        "dyad_null": ("dyad", "", SHOW_NULL),
+        "dyad_null_maxt": ("dyad", MAXT, SHOW_MAXT),
+        "partner_null": ("partner", "", SHOW_NULL),
+        "partner_null_maxt": ("partner", MAXT, SHOW_MAXT),
+        "time_shift_null": ("time", "", SHOW_NULL),
+        "time_shift_maxt": ("time", MAXT, SHOW_MAXT),
+        "null_correlation": ("label", "", "SELECT a.u AS unit_a, b.u AS unit_b, round(corr(a.e, b.e), 6) AS r FROM nu a JOIN nu b ON a.r = b.r AND a.u < b.u GROUP BY a.u, b.u"),
         "loto": (LOTO, "SELECT u AS unit, g AS omitted, round(full_effect, 6) AS full_effect, round(loto, 6) AS loto_effect, round(loto - full_effect, 6) AS change, sign(round(loto, 9)) = sign(round(full_effect, 9)) AND round(full_effect, 9) <> 0 AS same_direction FROM lo"),
         "loto_influence": (LOTO, "SELECT unit, omitted, change FROM (SELECT u AS unit, g AS omitted, round(loto - full_effect, 6) AS change, row_number() OVER (PARTITION BY u ORDER BY round(abs(loto - full_effect), 9) DESC, g) AS k FROM lo) q WHERE k = 1"),
         "dominant_group": (LOTO, "SELECT unit, g, share FROM (SELECT u AS unit, g, round(abs(effect * w) / sum(abs(effect * w)) OVER (PARTITION BY u), 6) AS share, row_number() OVER (PARTITION BY u ORDER BY round(abs(effect * w), 9) DESC, g) AS k FROM lo) q WHERE k = 1"),
         "equal_weight_stability": (LOTO, "SELECT u AS unit, round(max(equal_full), 6) AS equal_effect, round(min(equal_loto), 6) AS loto_min, round(max(equal_loto), 6) AS loto_max, round(avg(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS same_share FROM lo GROUP BY u"),
         "candidate_audit": (LOTO, "SELECT u AS unit, count(*) AS n_groups, round(max(full_effect), 6) AS effect, round(min(loto), 6) AS loto_min, round(max(loto), 6) AS loto_max, CAST(sum(CASE WHEN round(effect, 9) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_groups, round(sum(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN share ELSE 0 END), 6) AS supporting_weight FROM lo GROUP BY u"),
-        "stability_bundle": (LOTO + BOOT, """SELECT a.*, draws, median, low, high, boot_same, low > 0 OR high < 0 AS excludes_zero FROM (
+        "stability_bundle": ("bootstrap", LOTO, """SELECT a.*, draws, median, low, high, boot_same, low > 0 OR high < 0 AS excludes_zero FROM (
   SELECT u AS unit, count(*) AS n_groups, round(max(full_effect), 6) AS effect, CAST(sum(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS same_groups,
     CAST(sum(CASE WHEN round(effect, 9) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_groups, round(sum(CASE WHEN sign(round(effect, 9)) = sign(round(full_effect, 9)) THEN share ELSE 0 END), 6) AS same_weight,
     CAST(sum(CASE WHEN sign(round(loto, 9)) = sign(round(full_effect, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS loto_same, round(min(loto), 6) AS loto_min, round(max(loto), 6) AS loto_max,
-    max_by(g, round(abs(loto - full_effect), 12)) AS most_influential, round(max(abs(loto - full_effect)), 6) AS largest_change, round(max(share), 6) AS largest_share,
+    min(CASE WHEN k = 1 THEN g END) AS most_influential, round(max(abs(loto - full_effect)), 6) AS largest_change, round(max(share), 6) AS largest_share,
     round(max(equal_full), 6) AS equal_effect, sign(round(max(equal_full), 9)) = sign(round(max(full_effect), 9)) AS equal_agrees, round(min(equal_loto), 6) AS equal_min, round(max(equal_loto), 6) AS equal_max
-  FROM lo GROUP BY u) a JOIN (
+  FROM (SELECT lo.*, row_number() OVER (PARTITION BY u ORDER BY round(abs(loto - full_effect), 9) DESC, g) AS k FROM lo) lo GROUP BY u) a JOIN (
   SELECT bs.u, count(*) AS draws, round(PCT(e, 0.5), 6) AS median, round(PCT(e, 0.025), 6) AS low, round(PCT(e, 0.975), 6) AS high, round(avg(CASE WHEN sign(round(e, 9)) = sign(round(effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS boot_same
   FROM bs JOIN ob ON ob.u = bs.u GROUP BY bs.u) b ON b.u = a.unit"""),
-        "cluster_bootstrap": (BOOT, "SELECT bs.u AS unit, count(*) AS draws, round(PCT(e, 0.5), 6) AS median, round(PCT(e, 0.025), 6) AS low, round(PCT(e, 0.975), 6) AS high, round(avg(CASE WHEN sign(round(e, 9)) = sign(round(effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS same_direction FROM bs JOIN ob ON ob.u = bs.u GROUP BY bs.u"),
+        "cluster_bootstrap": ("bootstrap", "", "SELECT bs.u AS unit, count(*) AS draws, round(PCT(e, 0.5), 6) AS median, round(PCT(e, 0.025), 6) AS low, round(PCT(e, 0.975), 6) AS high, round(avg(CASE WHEN sign(round(e, 9)) = sign(round(effect, 9)) THEN 1e0 ELSE 0e0 END), 6) AS same_direction FROM bs JOIN ob ON ob.u = bs.u GROUP BY bs.u"),
         "rank_stability": (LOTO, "SELECT a.u AS unit_a, b.u AS unit_b, round(corr(a.k, b.k), 6) AS rank_correlation FROM (SELECT u, g, CAST(row_number() OVER (PARTITION BY u ORDER BY round(effect, 9), g) AS DOUBLE) AS k FROM lo) a JOIN (SELECT u, g, CAST(row_number() OVER (PARTITION BY u ORDER BY round(effect, 9), g) AS DOUBLE) AS k FROM lo) b ON a.g = b.g AND a.u < b.u GROUP BY a.u, b.u"),
         "direction_agreement": "SELECT a.d AS dyad, round(a.effect, 6) AS closeness, round(b.effect, 6) AS ratio, sign(round(a.effect, 9)) = sign(round(b.effect, 9)) AS agrees FROM (SELECT split_part(u, '|', 1) AS d, effect FROM ob WHERE u LIKE '%closeness') a JOIN (SELECT split_part(u, '|', 1) AS d, effect FROM ob WHERE u LIKE '%ratio') b ON a.d = b.d",
         "cube_descriptives": "SELECT a.*, round(median_sd, 6) AS median_group_sd, round(min_sd, 6) AS min_group_sd FROM (SELECT u AS unit, count(*) AS n, round(min(x), 6) AS low, round(PCT(x, 0.01), 6) AS p01, round(PCT(x, 0.5), 6) AS median, round(avg(x), 6) AS mean, round(PCT(x, 0.99), 6) AS p99, round(max(x), 6) AS high, round(stddev_pop(x), 6) AS sd, round(avg(CASE WHEN x >= 0.95 THEN 1e0 ELSE 0e0 END), 6) AS near_one FROM ux GROUP BY u) a JOIN (SELECT u, PCT(sd, 0.5) AS median_sd, min(sd) AS min_sd FROM (SELECT u, g, stddev_pop(x) AS sd FROM ux GROUP BY u, g) q GROUP BY u) b ON b.u = a.unit",
@@ -242,10 +214,21 @@ def texts() -> dict[str, str]:
         "block_allocations": "SELECT g, b, n1, n0, CAST(round(factorial(CAST(n1 + n0 AS INT)) * 1e0 / (factorial(CAST(n1 AS INT)) * 1e0 * factorial(CAST(n0 AS INT))), 0) AS BIGINT) AS allocations FROM bw",
         "balanced_labels": "SELECT tt.g, tt.t, CASE WHEN k <= floor(n / 2) THEN 1 ELSE 0 END AS label FROM tt JOIN (SELECT t, row_number() OVER (PARTITION BY b ORDER BY md5(concat('53|', t)), t) AS k, count(*) OVER (PARTITION BY b) AS n FROM (SELECT DISTINCT t, b FROM tt) a) q ON q.t = tt.t",
         "flag_sources": "SELECT g, t, count(*) AS n, TEXTS(p) AS participants FROM tr WHERE v > 150 GROUP BY g, t",
-        "pvalue_matrix": (LABEL_NULL + MAXT, "SELECT split_part(u, '|', 1) AS dyad, round(max(CASE WHEN u LIKE '%closeness' THEN p_max END), 6) AS closeness, round(max(CASE WHEN u LIKE '%ratio' THEN p_max END), 6) AS ratio, round(max(-log10(greatest(p_max, 1e-12))), 6) AS strongest FROM mt GROUP BY split_part(u, '|', 1)"),
+        "pvalue_matrix": ("label", MAXT, "SELECT split_part(u, '|', 1) AS dyad, round(max(CASE WHEN u LIKE '%closeness' THEN p_max END), 6) AS closeness, round(max(CASE WHEN u LIKE '%ratio' THEN p_max END), 6) AS ratio, round(max(-log10(greatest(p_max, 1e-12))), 6) AS strongest FROM mt GROUP BY split_part(u, '|', 1)"),
     }
-    out = {}
-    for name, text in q.items():
-        more, show = text if isinstance(text, tuple) else ("", text)
-        out[name] = ("WITH" + BASE + more + "\n" + show).replace("DRAWS", str(DRAWS))
-    return out
+
+
+def texts() -> dict[str, str]:
+    """Queries without a null: one text for both engines."""
+    own = {name: x if isinstance(x, tuple) else ("", x) for name, x in _queries().items()}
+    return {name: "WITH" + BASE + x[0] + "\n" + x[1] for name, x in own.items() if len(x) == 2}
+
+
+def null_texts(steps: dict[str, str]) -> dict[str, str]:
+    """Queries of a null, whose steps are given by its name."""
+    return {name: "WITH" + BASE + steps[x[0]] + x[1] + "\n" + x[2] for name, x in _queries().items() if isinstance(x, tuple) and x[0] in steps}
+
+
+def boot_texts(steps: str) -> dict[str, str]:
+    """Queries of the bootstrap, whose steps lead to bs (r, u, e)."""
+    return {name: "WITH" + BASE + x[1] + steps + "\n" + x[2] for name, x in _queries().items() if isinstance(x, tuple) and x[0] == "bootstrap"}

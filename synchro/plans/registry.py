@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import connectivity, cube, detection, dialect, evidence, inference, reports, signals
+from . import connectivity, cube, detection, dialect, evidence, inference, nulls, reports, signals
 
 
 def _texts() -> dict[str, str]:
@@ -16,8 +16,8 @@ def _run(sql: str) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | connectivity.frames() | evidence.frames() | {"cube_label_null_maxt": cube.cube_label_null}
+    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | nulls.frames() | connectivity.frames() | evidence.frames() | {"cube_label_null_maxt": cube.cube_label_null}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | evidence.oracles() | connectivity.oracles() | {"cube_label_null_maxt": cube.ORACLE}
+    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | nulls.oracles() | evidence.oracles() | connectivity.oracles() | {"cube_label_null_maxt": cube.ORACLE}

@@ -5,24 +5,126 @@ import hashlib
 import numpy as np
 import pytest
 
-from synchro.plans import inference, registry
+from pyspark.sql import functions as F
+
+from synchro.operators import bootstrap, derange, draws, gram
+from synchro.plans import inference, nulls, registry
 
 
 def _md5(*parts):
     return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
 
 
-def test_derangements_are_the_first_thousand(spark, sf_dir):
+def test_derangements_of_the_groups(spark, sf_dir):
+    """A thousand permutations of the groups, none with a fixed point, all of the keyed bijections in order."""
     got = {}
     for x in registry.queries()["derangements"](spark, sf_dir).collect():
         got.setdefault(x.realization, {})[x.g] = x.partner
-    groups = sorted(got[0])
-    want, r = [], 0
-    while len(want) < inference.PARTNERS:
-        order = dict(zip(groups, sorted(groups, key=lambda g: _md5(17, r, g)), strict=True))
-        want += [order] if all(g != h for g, h in order.items()) else []
-        r += 1
-    assert len(want) >= 1_000 and got == dict(enumerate(want))
+    groups = np.array(sorted(got[0]))
+    n = len(groups)
+    every = derange.permuted(inference.SEEDS["partner"], np.arange(4_000), np.arange(n), n)
+    want = [dict(zip(groups.tolist(), groups[p].tolist(), strict=True)) for p in every if (p != np.arange(n)).all()][:1_000]
+    assert len(want) == 1_000 and got == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6])
+def test_derangements_are_uniform(n):
+    every = derange.permuted(5, np.arange(60_000), np.arange(n), n)
+    assert (np.sort(every, axis=1) == np.arange(n)).all()
+    every = every[(every != np.arange(n)).all(1)]
+    _, found = np.unique(every, axis=0, return_counts=True)
+    kinds = {3: 2, 4: 9, 5: 44, 6: 265}[n]
+    even = len(every) / kinds
+    assert len(found) == kinds and ((found - even) ** 2 / even).sum() < kinds - 1 + 4 * (2 * (kinds - 1)) ** 0.5
+
+
+def test_too_few_derangements(spark):
+    groups = spark.createDataFrame([(7, 0)], "g long, i long")
+    with pytest.raises(ValueError, match="0 derangements"):
+        derange.derangements(groups, 3, 1)
+    assert derange.derangements(groups.limit(0), 3, 1).count() == 0
+    own = derange.derangements(spark.range(6).select((F.col("id") * 5).alias("g"), F.col("id").alias("i")), 40, 1, families=3).toPandas()
+    assert len(own) == 3 * 40 * 6 and (own.g != own.h).all() and own.groupby(["f", "r"]).h.nunique().eq(6).all()
+    assert own[own.f == 0].h.tolist() != own[own.f == 1].h.tolist()
+
+
+def test_allocations_are_all_and_even():
+    for n, n1 in ((4, 2), (10, 3), (10, 9), (7, 0)):
+        every = draws.unranked(np.arange(draws.comb(n, n1)), n, n1)
+        assert len({tuple(x) for x in every}) == draws.comb(n, n1) and (every.sum(1) == n1).all()
+        assert [tuple(x) for x in every] == sorted(map(tuple, every), reverse=True)
+    picks = np.concatenate([draws.stream(3, 500, [np.arange(40), np.full(40, b)]).ravel() % 15 for b in range(3)])
+    assert abs(np.bincount(picks, minlength=15) - 4_000).max() < 260
+
+
+def _score(batch):
+    y, x = (np.array(batch.column(c).to_pylist(), float) for c in ("y", "x"))
+    key = batch.column("k").to_numpy()
+    for n1 in np.unique(y.sum(1)).astype(int):
+        rows = np.flatnonzero(y.sum(1) == n1)
+        yield draws.allocations([key[rows]], y.shape[1], int(n1), x[rows].reshape(len(rows), y.shape[1], 2))
+
+
+@pytest.mark.parametrize("n, shared", [(6, True), (6, False), (20, True), (20, False)])
+def test_picked_sums_equal_a_loop(spark, n, shared):
+    """Blocks with few allocations pick from a table, those with many are unranked draw by draw."""
+    rng = np.random.default_rng(n)
+    rows = [(k, rng.permutation([1.0] * (n // 2 + k % 2) + [0.0] * (n - n // 2 - k % 2)).tolist(), rng.normal(size=2 * n).tolist()) for k in range(9)]
+    got = {(r.r, r.u): r.e for r in draws.picked(spark.createDataFrame(rows, "k long, y array<double>, x array<double>").repartition(3), _score, ["a", "b"], 50, 8, shared).collect()}
+    want = dict.fromkeys(((r, u) for r in range(50) for u in "ab"), 0.0)
+    for k, y, x in rows:
+        n1 = int(sum(y))
+        count = draws.comb(n, n1)
+        for i, u in enumerate("ab"):
+            unit = None if shared else i
+            first, second = (draws.stream(s, 50, [np.array([k])], unit)[:, 0] for s in (8, 8 + 1_000_003))
+            for r in range(50):
+                index = first[r] % count if count <= draws.TABLE else (int(first[r]) * draws.PRIME + int(second[r])) % count
+                bits = draws.unranked(np.array([index]), n, n1)[0]
+                want[r, u] += sum((b - n1 / n) * x[2 * t + i] for t, b in enumerate(bits))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("kind", ["time", "dyad", "partner"])
+def test_units_draw_for_themselves(spark, tmp_path, kind):
+    """Two units of the same values of noise have nulls that do not go together."""
+    rng, rows = np.random.default_rng(11), []
+    for g in range(30):
+        for t in range(40):
+            v = rng.uniform(0, 100, 3)
+            for p in range(3):
+                rows.append((len(rows), 3 * g + p, t, ["click", "view"][int(rng.integers(2))] if p == 0 else "click", float(v[p])))
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    e = nulls.null(kind)(spark, str(tmp_path)).toPandas().pivot(index="r", columns="u", values="e")
+    assert e.shape[1] == 6
+    together = np.corrcoef(e["pair12|closeness"], e["pair12|ratio"])[0, 1]  # both grow with nearness, so shared draws would go together
+    assert abs(together) < 5 / len(e) ** 0.5
+
+
+def test_resample_counts_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "SLOTS", 64)
+    whole = bootstrap.counts(4, 100, 7, 41, 0, 41)
+    assert (whole.sum(1) == 41).all() and (np.concatenate([bootstrap.counts(4, 100, 7, 41, a, 10) for a in (0, 10, 20, 30)], axis=1) == whole[:, :40]).all()
+    for r in range(7):
+        to = [int(draws.stream(104 + r, 1, [np.array([slot])])[0, 0]) % 41 for slot in range(41)]
+        assert np.bincount(to, minlength=41).tolist() == whole[r].tolist()
+    rng = np.random.default_rng(2)
+    xs = rng.normal(size=(41, 4))
+    xs[:, 2:] = np.abs(xs[:, 2:])
+    got = {(r.r, r.u): r.e for r in bootstrap.resampled(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], "i long, xs array<double>").repartition(4), 41, ["a", "b"], 1_300, 4).collect()}
+    every = bootstrap.counts(4, 0, 1_000, 41, 0, 41) @ xs
+    assert len(got) == 2_600 and all(got[r, u] == pytest.approx(every[r, i] / every[r, i + 2]) for r in range(1_000) for i, u in enumerate("ab"))
+
+
+@pytest.mark.parametrize("units, block", [(23, 4), (40, 512), (2, 1), (1, 8)])
+def test_gram_summary_equals_numpy(spark, units, block):
+    rng = np.random.default_rng(units)
+    e = rng.normal(size=(units, 60)) + rng.normal(size=60)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)] + [(units, [1.0] * 60)], "i long, e array<double>")
+    got = gram.summary(df.repartition(3), block).first()
+    r = np.corrcoef(e)[np.triu_indices(units, 1)] if units > 1 else np.zeros(0)
+    assert (got.n_units, got.n_pairs) == (units, len(r))
+    assert len(r) == 0 or (got.low, got.median, got.high) == pytest.approx((r.min(), np.median(r), r.max()), abs=1e-12)
 
 
 @pytest.mark.parametrize("name", ["partner_null_maxt", "connectivity_partner_null_maxt"])
