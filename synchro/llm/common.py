@@ -77,10 +77,12 @@ def fold(doc_id: str, parts: int):
 
 def training_sample(docs: DataFrame, marks: DataFrame, mark: str, parts: int, held: int, bound: int) -> DataFrame:
     """At most `bound` labelled rows outside the held-out fold, chosen by a hash of their id,
-    half of them of either label as far as there are so many, and at most TRAIN_BYTES of texts.
+    half of them of either label as far as there are so many, and of either label half of TRAIN_BYTES of texts at most.
     Columns doc_id, text, label.
 
-    Rows without id, label or text are no training rows; of rows that repeat an id one counts.
+    Texts above TRAIN_BYTES / bound come after all others, the shorter ones first; so long texts never drive out others, and
+    only a label all of whose texts are longer than half of TRAIN_BYTES has none.
+    Rows without id, label or text are no training rows; of rows that repeat an id one counts, and of labels that contradict the lower one.
     """
     chosen = marks.select(F.col("doc_id"), F.col(mark).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
@@ -91,15 +93,17 @@ def training_sample(docs: DataFrame, marks: DataFrame, mark: str, parts: int, he
     both = [chosen.where(F.col("label") == k).orderBy(order, "doc_id").limit(bound // 2) for k in (0, 1)]
     ids = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.min("label").alias("label"))
     ids = F.broadcast(ids)  # at most `bound` rows
+    size = F.octet_length("text").cast("long")
     rows = (
         docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull())
+        .where(F.col("text").isNotNull() & (size <= TRAIN_BYTES // 2))
         .join(ids, "doc_id")
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.min("label").alias("label"))
     )
-    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(order, "doc_id"))  # over at most `bound` rows
-    return rows.withColumn("bytes", so_far).where(F.col("bytes") <= TRAIN_BYTES).drop("bytes").orderBy("doc_id")
+    long = F.when(size > TRAIN_BYTES // bound, size).otherwise(0)
+    so_far = F.sum(size).over(Window.partitionBy("label").orderBy(long, order, "doc_id"))  # over at most `bound` rows
+    return rows.withColumn("bytes", so_far).where(F.col("bytes") <= TRAIN_BYTES // 2).drop("bytes").orderBy("doc_id")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -195,7 +199,33 @@ def spans_of(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte ranges: polynomial in a fixed base, modulo 2**64, then mixed."""
+    """64-bit hashes of ascending byte ranges that don't overlap: a sum over the bytes, each mixed with its place in the range.
+
+    No product of places carries from byte to byte, so texts built from a repeated pattern and its complement, which
+    polynomials modulo 2**64 can't tell apart, are told apart here.
+    """
+    n = len(data)
+    start = np.zeros(n, np.int64)
+    if len(s):
+        start[s] = np.diff(s, prepend=0)
+    np.cumsum(start, out=start)
+    place = np.arange(n)
+    place -= start
+    term = place.view(_U64)
+    term *= _U64(0xA24BAED4963EE407)
+    term += _VALUES[fold_case][data]
+    term ^= term >> _U64(32)
+    term *= _U64(0xD6E8FEB86659FD93)
+    term ^= term >> _U64(29)
+    total = np.zeros(n + 1, _U64)
+    np.cumsum(term, out=total[1:])
+    h = total[e] - total[s]
+    h += (e - s).astype(_U64) * _U64(0xA0761D6478BD642F)
+    return mix(h)
+
+
+def feature_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold_case: bool = False) -> np.ndarray:
+    """Cheaper hashes of any byte ranges, for features and samples only: polynomial in a fixed base, modulo 2**64, then mixed."""
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, _U64)
     values = _VALUES[fold_case][data]

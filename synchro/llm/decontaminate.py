@@ -21,7 +21,8 @@ last word lies.  An item of fewer than five words is one shingle: it is found in
 
 The index holds the test items only.  Items go into indexes of at most INDEX_WORDS words (a longer item has one
 of its own), so what is broadcast has a bound whatever the size of the benchmark; each index reads
-the texts once, and one index holds tens of thousands of usual items.
+the texts once, and one index holds tens of thousands of usual items.  Rarities and the mean length are those of the
+whole benchmark in every index, so scores don't depend on how items are dealt.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z folded; so punctuation, symbols,
 case and white space don't hide a leak.  Null or empty texts leak nothing; null or wordless items
@@ -88,7 +89,8 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Index:
     """BM25 inverted index of the items' parts with the maxima of the blocks that hold a term."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], totals: tuple | None = None):
+        """totals: items, mean length of their parts, and terms with how many items hold them, of the whole benchmark; else of these texts."""
         self.item, self.question, self.answer, self.owner, words, whole = [], [], [], [], [], []
         for k, text in enumerate(texts):
             t = text.encode()
@@ -111,11 +113,16 @@ class Index:
         cat = lambda x: np.concatenate(x) if n else np.zeros(0, np.uint64)
         self.terms = np.unique(cat(words))
         # a term is as rare as the items that hold it, whatever their parts
-        df = np.bincount(np.searchsorted(self.terms, cat(whole)), minlength=len(self.terms))
-        idf = np.log(1 + (len(whole) - df + 0.5) / (df + 0.5))
+        if totals:
+            items, mean, known, held = totals
+            df = held[np.searchsorted(known, self.terms)]
+        else:
+            items, mean = len(whole), max(size.mean() if n else 1, 1)
+            df = np.bincount(np.searchsorted(self.terms, cat(whole)), minlength=len(self.terms))
+        idf = np.log(1 + (items - df + 0.5) / (df + 0.5))
         key, c = np.unique(np.searchsorted(self.terms, cat(words)) * np.int64(max(n, 1)) + np.repeat(np.arange(n), size), return_counts=True)
         term, part = key // max(n, 1), key % max(n, 1)
-        impact = idf[term] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[part] / max(size.mean() if n else 1, 1)))
+        impact = idf[term] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[part] / mean))
         impact = (impact / np.bincount(part, impact, minlength=max(n, 1))[part]).astype(np.float32)
         self.post_part, self.post_impact = part.astype(np.int32), impact
         entry = term * np.int64(self.blocks) + part // BLOCK
@@ -237,7 +244,7 @@ def _share(part: np.ndarray, there: np.ndarray) -> float:
 
 
 def _blocks(items: DataFrame) -> Iterator:
-    """The distinct items (item_id, text) as Arrow tables of at most INDEX_WORDS words, or of one item, on the driver."""
+    """The distinct items (item_id, text) as Arrow tables of at most INDEX_WORDS words, or of one item, on the driver; and whether all are in this one."""
     count = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     items = items.distinct().withColumn("n", count).where("n > 0")
     size = F.when(F.col("n") > PART, F.col("n") * (PART // PART_STEP)).otherwise(F.col("n"))
@@ -250,11 +257,55 @@ def _blocks(items: DataFrame) -> Iterator:
         first = held = 0
         for i, n in enumerate(own.column("n").to_pylist()):
             if held and held + n > INDEX_WORDS:  # long items met by hash
-                yield own.slice(first, i - first)
+                yield own.slice(first, i - first), False
                 first, held = i, 0
             held += n
         if len(own) > first:
-            yield own.slice(first)
+            yield own.slice(first), hashes == 1 and not first
+
+
+def _statistics(batches: Iterator) -> Iterator:
+    """Each item's distinct terms (index, term), and on a row without a term its parts and their lengths' sum."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i, j, data, at in C.chunks(batch.column("text")):
+            _, _, first, h = tokens(data, at)
+            terms, parts = [], []
+            for r in range(j - i):
+                own = h[first[r] : first[r + 1]]
+                if len(own):
+                    terms.append(np.unique(_shingles(own, PAIR)))
+                    parts.append([len(_shingles(part, PAIR)) for part in _parts(own)])
+            flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
+            counts = [(len(p), sum(p)) for p in parts]
+            columns = [pa.array([*C.signed(flat).tolist(), *[None] * len(counts)], pa.int64()), pa.array([*[None] * len(flat), *(c[0] for c in counts)], pa.int64()), pa.array([*[None] * len(flat), *(c[1] for c in counts)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "parts", "words"])
+
+
+def _totals(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """Items, mean length of their parts, and by term how many items hold it: over the whole benchmark, whatever the indexes."""
+    rows = C.saved(items.distinct().mapInArrow(_statistics, "term long, parts long, words long"), "benchmark-terms")
+    n = rows.agg(F.count("parts").alias("items"), F.sum("parts").alias("parts"), F.sum("words").alias("words")).first()
+    terms = C.saved(rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), "benchmark-frequencies")
+    return n["items"], max(n["words"] / n["parts"], 1), terms
+
+
+def _held(texts: list[str], terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the texts of one index, ascending, and how many items of the benchmark hold them."""
+    spark = terms.sparkSession
+    import pyarrow as pa
+
+    own = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        h = tokens(data, np.array([0, len(data)]))[3]
+        own.append(np.unique(_shingles(h, PAIR)))
+    wanted = spark.createDataFrame(pa.table({"term": C.signed(np.unique(np.concatenate(own)))}))  # INDEX_WORDS at most
+    got = terms.join(wanted, "term", "left_semi").toArrow()
+    term, df = np.array(got.column("term")).view(np.uint64), np.array(got.column("df"))
+    order = np.argsort(term)
+    return term[order], df[order]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -264,9 +315,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select("item_id", "text").where(F.col("text").isNotNull())
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, bm25 double, question_overlap double, answer_overlap double"
-    out = None
-    for own in _blocks(items):
-        sent = spark.sparkContext.broadcast((Index(own.column("text").to_pylist()), own.column("item_id").combine_chunks()))  # INDEX_WORDS words at most
+    out = totals = None
+    for own, one in _blocks(items):
+        texts = own.column("text").to_pylist()
+        if not one:  # rarities are those of the whole benchmark
+            totals = totals or _totals(items)
+        index = Index(texts, None if one else (*totals[:2], *_held(texts, totals[2])))
+        sent = spark.sparkContext.broadcast((index, own.column("item_id").combine_chunks()))  # INDEX_WORDS words at most
 
         def run(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa

@@ -3,7 +3,8 @@
 Both tokenizers cut a text by a pattern and encode every cut by itself.  In a text of plain Latin
 letters the ends of runs of letters and digits, of other marks and of white space are always cuts,
 so a text's ids are its pieces' ids one after the other, and pieces repeat.  Pieces are found and
-looked up by a 64-bit hash with numpy, for a chunk of texts at once; new ones go to the library.
+looked up by a 64-bit hash with numpy, for a chunk of texts at once; new ones go to the library.  What is found is
+compared by length and bytes, so equal hashes of unequal pieces do no harm: such a text goes to the library whole.
 
 Any other text goes to the library whole: with characters beyond U+024F (marks, other scripts, wide
 spaces), in U+0080-U+00BF, U+00D7, U+00F7 or U+0130, controls \\x1c-\\x1f, apostrophes (contractions)
@@ -15,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 from . import common as C
+from .suffixes import words_at
 
 #: Pieces that a worker remembers (under half of 2**SLOT_BITS); those of a full memory are looked up anew.
 REMEMBERED, SLOT_BITS = 1_800_000, 22
@@ -70,6 +72,8 @@ class Memory:
     def __init__(self):
         self.slots, self.values = np.zeros(1 << SLOT_BITS, _U64), np.zeros(1 << SLOT_BITS, np.int32)
         self.first, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        # the pieces themselves: length, first and last eight bytes, and those of over 16 bytes by place
+        self.looks, self.long = np.zeros((3, 1024), _U64), {}
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 if unknown."""
@@ -83,10 +87,13 @@ class Memory:
             left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New distinct hashes and their ids, one after the other."""
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, looks: np.ndarray, raw: list[bytes]) -> None:
+        """New distinct hashes and their ids, one after the other, and what the pieces look like."""
         while self.n + len(h) + 1 > len(self.first):
             self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+            self.looks = np.concatenate((self.looks, np.zeros_like(self.looks)), axis=1)
+        self.looks[:, self.n : self.n + len(h)] = looks
+        self.long.update((self.n + i, x) for i, x in enumerate(raw) if len(x) > 16)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(ids)] = ids
@@ -101,11 +108,28 @@ class Memory:
             left, slot = left[~won], (slot[~won] + 1) & ((1 << SLOT_BITS) - 1)
         self.n, self.used = self.n + len(h), self.used + len(ids)
 
+    def unlike(self, places: np.ndarray, looks: np.ndarray, data: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Whether the piece at each place has other bytes than the one that was looked up."""
+        bad = (self.looks[:, places] != looks).any(0)
+        for i in np.flatnonzero((looks[0] > 16) & ~bad):
+            bad[i] = self.long[int(places[i])] != data[s[i] : s[i] + int(looks[0, i])].tobytes()
+        return bad
+
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the places one after the other, and how many each has."""
         return ragged(self.ids, self.first[places], self.first[places + 1] - self.first[places])
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U64)
+
+
+def appearance(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Length, first and last eight bytes of the ranges."""
+    word, size = words_at(data), e - s
+    mask = _MASKS[np.minimum(size, 8)]
+    return np.stack((size.astype(_U64), word[s] & mask, word[np.maximum(e - 8, s)] & mask)) if len(s) else np.zeros((3, 0), _U64)
+
+
 def ragged(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[first:first + size] of all rows one after the other."""
     at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
@@ -162,6 +186,7 @@ class Encoder:
         s, e, row = s[ok], e[ok], row[ok]
         h = C.span_hashes(data, s, e)
         h[h == 0] = 1
+        looks = appearance(data, s, e)
         memory = self.memory
         place = memory.find(h)
         new = np.flatnonzero(place < 0)
@@ -176,8 +201,12 @@ class Encoder:
             blank = np.array([p.isspace() for p in spans])
             for part in (np.flatnonzero(blank), np.flatnonzero(~blank)):
                 ids, sizes = self._learned([spans[k] for k in part])
-                memory.add(fresh[part], ids, sizes)
+                memory.add(fresh[part], ids, sizes, looks[:, new[example[part]]], [spans[k] for k in part])
             place[new] = memory.find(fresh)[back]
+        bad = memory.unlike(place, looks, data, s)
+        if bad.any():
+            odd = odd.copy()
+            odd[row[bad]] = True
         ids, sizes = memory.gather(place)
         count = np.bincount(row, weights=sizes, minlength=len(at) - 1).astype(np.int64)
         if odd.any():

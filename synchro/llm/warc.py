@@ -11,8 +11,8 @@ with its own number of records a file, so a file holds FILE_BYTES of pages at mo
 record by record, by Content-Length, in Arrow batches.  Transactions are assembled by joins on the
 concurrent-to ids; the payload of a revisit is its response's.
 
-Null html is an empty payload.  Of rows that repeat a page_id each is a capture of its own, told apart by its
-place in the table; of those with the payload's smallest page_id the first is the response, the others revisit it.
+Null html is an empty payload.  Of rows that repeat a page_id each is a capture of its own, told apart by url and payload, and
+wholly equal ones by a number; of those with the payload's smallest page_id the first by url is the response, the others revisit it.
 A null page_id is written as empty and read back as null; such a page is a response.
 Extra columns are not written.
 """
@@ -50,14 +50,31 @@ def base32_sha1(payload):
     return F.concat(*letters)
 
 
+_WHO = ["page_id", "url", "digest"]
+
+
 def captures(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """page_id, own (the row's number), url, html, bytes, digest, first (page_id, own and url of the response for a revisit, else null)."""
-    pages = pages.select("page_id", F.monotonically_increasing_id().alias("own"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    """page_id, own (the number among equal rows), url, html, bytes, digest, first (page_id, own, url and digest of the response for a revisit, else null).
+
+    Nothing here hangs on where a row lies: rows are told apart by what they hold, and rows that are wholly equal are made one
+    and numbered again, so any evaluation of pages gives the same captures.
+    """
+    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    known = pages.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
-    shared = known.groupBy("digest").agg(F.min(F.struct("page_id", "own", "url")).alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    again = pages.groupBy(_WHO).agg(F.count("*").alias("times")).where("times > 1").select(*(F.col(c).alias(f"_{c}") for c in _WHO), "times")
+    same = F.lit(True)
+    for c in _WHO:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    single = pages.join(again, same, "left_anti").withColumn("own", F.lit(0).cast("long"))
+    # equal rows: one holds the payload, the others revisit it (or hold it too, where they are responses)
+    many = pages.join(again, same).groupBy(_WHO).agg(F.first("html").alias("html"), F.first("bytes").alias("bytes"), F.first("times").alias("times"))
+    many = many.withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
+    pages = single.unionByName(many)
+    counted = (F.col("bytes") >= least) & F.col("page_id").isNotNull()
+    shared = pages.where(counted).groupBy("digest").agg(F.min(F.struct("page_id", "url", "own")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("digest", F.struct("least.page_id", "least.own", "least.url", F.col("digest").alias("digest")).alias("least"))
     pages = pages.join(shared, "digest", "left")
-    later = (F.col("bytes") >= least) & F.col("page_id").isNotNull() & (F.col("own") != F.col("least.own"))
+    later = counted & ~((F.col("page_id") == F.col("least.page_id")) & (F.col("url") == F.col("least.url")) & (F.col("own") == F.col("least.own")))
     return pages.withColumn("first", F.when(later, F.col("least"))).drop("least")
 
 
@@ -65,9 +82,9 @@ def _page(page_id):
     return F.coalesce(page_id.cast("string"), F.lit(""))
 
 
-def _name(kind: int, page_id, own):
-    """The record's URI: a UUID of its page and row, whose first digits tell the kind of record."""
-    d = F.md5(F.concat(_page(page_id), F.lit("-"), own.cast("string")).cast("binary"))
+def _name(kind: int, page_id, own, url, digest):
+    """The record's URI: a UUID of what its capture holds and of its number among equal ones, whose first digits tell the kind of record."""
+    d = F.md5(F.concat(_page(page_id), F.lit("-"), own.cast("string"), F.lit("-"), digest, F.lit("-"), url).cast("binary"))
     parts = [F.substring(d, a, n) for a, n in ((9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat_ws("-", F.lit(f"<urn:uuid:{kind:08x}"), *parts[:-1], F.concat(parts[-1], F.lit(">")))
 
@@ -80,7 +97,7 @@ def _record(kind, name, headers: list, body):
 
 def _records_of(rows: DataFrame) -> DataFrame:
     """`value`: the three records of each capture."""
-    rows = rows.withColumn("name", _name(1, F.col("page_id"), F.col("own")))
+    rows = rows.withColumn("name", _name(1, *(F.col(c) for c in ("page_id", "own", "url", "digest"))))
     first, url, name = F.col("first"), F.col("url"), F.col("name")
     revisit = first.isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END))
@@ -91,7 +108,7 @@ def _records_of(rows: DataFrame) -> DataFrame:
             ("WARC-Target-URI", url),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(revisit, _SAME_PAYLOAD)),
-            ("WARC-Refers-To", F.when(revisit, _name(1, first["page_id"], first["own"]))),
+            ("WARC-Refers-To", F.when(revisit, _name(1, *(first[c] for c in ("page_id", "own", "url", "digest"))))),
             ("WARC-Refers-To-Target-URI", first["url"]),
             ("X-Page", _page(F.col("page_id"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
