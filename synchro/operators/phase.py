@@ -16,6 +16,20 @@ from .filters import butterworth, filtered
 
 #: Energies whose product is below this give no coherency.
 LEAST_ENERGY = 1e-20
+#: Bytes of samples that are transformed at a time; complex temporaries and lags are some sixteen times as many.
+BATCH_BYTES = 4 << 20
+
+
+def parts(batch, *columns: str) -> Iterator:
+    """The batch in slices whose arrays in the columns hold BATCH_BYTES of doubles at most (or one row)."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        size += 8 * np.diff(batch.column(c).offsets.to_numpy())
+    so_far, i = np.cumsum(size), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(so_far, (so_far[i - 1] if i else 0) + BATCH_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def by_length(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -53,8 +67,8 @@ def unit(z: np.ndarray) -> np.ndarray:
     return z / np.where(size > 0, size, 1.0)
 
 
-def band_phase(x: np.ndarray, rate: float, band: tuple[float, float], anchor: int, window: tuple[float, float], order: int = 4, pad_seconds: float = 2.0) -> np.ndarray:
-    """Unit phases of the rows in a band and a window of seconds after the anchor sample.
+def band_analytic(x: np.ndarray, rate: float, band: tuple[float, float], anchor: int, window: tuple[float, float], order: int = 4, pad_seconds: float = 2.0) -> np.ndarray:
+    """Analytic signals of the rows in a band, amplitudes kept, and a window of seconds after the anchor sample.
 
     Rows are reflected at both ends, filtered forward and backward, transformed, and only then cut, so the
     ends of the reflection and not those of the window carry what filter and transform do to ends.
@@ -67,18 +81,23 @@ def band_phase(x: np.ndarray, rate: float, band: tuple[float, float], anchor: in
     padded = np.pad(x, ((0, 0), (pad, pad)), mode="reflect")
     b, a = butterworth(order, rate, *band)
     smooth = filtered(filtered(padded, b, a)[:, ::-1], b, a)[:, ::-1]
-    return unit(analytic(smooth)[:, pad:-pad][:, begin:end])
+    return analytic(smooth)[:, pad:-pad][:, begin:end]
+
+
+def band_phase(x: np.ndarray, rate: float, band: tuple[float, float], anchor: int, window: tuple[float, float], order: int = 4, pad_seconds: float = 2.0) -> np.ndarray:
+    """Unit phases of the same."""
+    return unit(band_analytic(x, rate, band, anchor, window, order, pad_seconds))
 
 
-def _lists(rows: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]):
-    """Arrow lists by row (null where no part has one) from (rows, matrix)."""
+def _lists(rows: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]):
+    """Arrow lists by row (null where none has one) from (rows, matrix)."""
     import pyarrow as pa
 
-    if len(parts) == 1 and len(parts[0][0]) == len(rows):
-        m = parts[0][1]
+    if len(found) == 1 and len(found[0][0]) == len(rows):
+        m = found[0][1]
         return pa.ListArray.from_arrays(np.arange(0, m.size + 1, max(m.shape[1], 1), dtype=np.int32) if m.size else np.zeros(len(rows) + 1, np.int32), pa.array(np.ascontiguousarray(m).reshape(-1)))
     out: list = [None] * len(rows)
-    for at, m in parts:
+    for at, m in found:
         for k, row in zip(at, m, strict=True):
             out[k] = row
     return pa.array(out, pa.list_(pa.float64()))
@@ -93,7 +112,7 @@ def phase_tensor(df: DataFrame, keys: list[str], samples: str, rate: float, band
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "x")):
             every = np.arange(batch.num_rows)
             matrices = list(by_length(batch.column("x")))
             for name, band in bands.items():
@@ -111,7 +130,7 @@ def analytic_signals(df: DataFrame, keys: list[str], samples: str, low: int = 0,
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "x")):
             every = np.arange(batch.num_rows)
             z = [(rows, analytic(x, low, high)) for rows, x in by_length(batch.column("x"))]
             z = [(rows, unit(m)) for rows, m in z] if phase else z
@@ -126,23 +145,25 @@ def _coherency(im: np.ndarray, ea: np.ndarray, eb: np.ndarray, none: float = 0.0
     return np.where(both > LEAST_ENERGY, np.minimum(np.abs(im) / np.sqrt(np.where(both > LEAST_ENERGY, both, 1.0)), 1.0), none)
 
 
-def pairs(df: DataFrame, keys: list[str], first: str, second: str, lags: bool = False) -> DataFrame:
+def pairs(df: DataFrame, keys: list[str], first: str, second: str, lags: bool = False, chain: dict | None = None) -> DataFrame:
     """keys, plv, imcoh: phase synchrony and imaginary coherency of two real signals a row; with lags arrays of them by circular shift of the second.
 
+    chain: arguments of `band_analytic`, which both signals pass first; else signals are transformed as they are.
     Rows whose signals are missing, empty or of unlike lengths are left out.
     """
+    transform = (lambda x: band_analytic(x, **chain)) if chain else analytic
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            parts = {int(x.shape[1]): (rows, x) for rows, x in by_length(batch.column("a"))}
+        for batch in (part for whole in batches for part in parts(whole, "a", "b")):
+            own = {int(x.shape[1]): (rows, x) for rows, x in by_length(batch.column("a"))}
             for rows_b, xb in by_length(batch.column("b")):
-                rows_a, xa = parts.get(int(xb.shape[1]), (np.zeros(0, int), None))
+                rows_a, xa = own.get(int(xb.shape[1]), (np.zeros(0, int), None))
                 rows = np.intersect1d(rows_a, rows_b)
                 if not len(rows):
                     continue
-                a, b = analytic(xa[np.searchsorted(rows_a, rows)]), analytic(xb[np.searchsorted(rows_b, rows)])
+                a, b = transform(xa[np.searchsorted(rows_a, rows)]), transform(xb[np.searchsorted(rows_b, rows)])
                 ea, eb, n = (np.abs(a) ** 2).sum(1), (np.abs(b) ** 2).sum(1), a.shape[1]
                 if lags:
                     cross = lambda u, v: np.fft.ifft(np.fft.fft(u, axis=1) * np.conj(np.fft.fft(v, axis=1)), axis=1)
@@ -166,10 +187,10 @@ def sensor_edges(df: DataFrame, keys: list[str], first: str, second: str, channe
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            parts = {int(x.shape[1]): (rows, x) for rows, x in by_length(batch.column("a"))}
+        for batch in (part for whole in batches for part in parts(whole, "a", "b")):
+            own = {int(x.shape[1]): (rows, x) for rows, x in by_length(batch.column("a"))}
             for rows_b, xb in by_length(batch.column("b")):
-                rows_a, xa = parts.get(int(xb.shape[1]), (np.zeros(0, int), None))
+                rows_a, xa = own.get(int(xb.shape[1]), (np.zeros(0, int), None))
                 rows = np.intersect1d(rows_a, rows_b)
                 if not len(rows) or xb.shape[1] % channels:
                     continue

@@ -39,6 +39,8 @@ LABELS = """, tt AS (
 
 BASE = signals.BASE + signals.COHERENCY + LABELS
 
+#: The band of the nulls on band signals, and samples of its window.
+BAND, WINDOW_SAMPLES = "theta", (signals.WINDOW[1] - signals.WINDOW[0]) * signals.RATE
 SEEDS = {"label": 41, "time": 43, "partner": 19, "dyad": 47}
 NAMES = [f"{d}|{m}" for m in ("plv", "imcoh") for d in inference.PAIRS]
 _UNIT = "CASE {} " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(NAMES)) + " END"
@@ -57,17 +59,18 @@ LABEL = f""", mk AS (
 )"""
 
 #: One lag for each realization, trial and unit; lags nearer than NEAR samples to no shift are not valid.
-TIME = (
-    signals.LAGS.replace("SRC", "ph").replace("lg AS", "lp AS")
-    + signals.LAGS.replace("SRC", "an").replace("lg AS", "lc AS")
-    + f""", lv AS (
+def time_steps(n: int) -> str:
+    lags = signals.lags_sql(n)
+    return lags.replace("SRC", "ph").replace("lg AS", "lp AS") + lags.replace("SRC", "an").replace("lg AS", "lc AS") + f""", lv AS (
   SELECT g, t, concat(d, '|plv') AS u, l, sqrt(re * re + im * im) AS x FROM lp UNION ALL
-  SELECT lc.g, lc.t, concat(d, '|imcoh') AS u, l, CASE WHEN a.e * b.e > 1e-20 THEN least(abs(im) * {N} / sqrt(a.e * b.e), 1e0) ELSE 0e0 END AS x
+  SELECT lc.g, lc.t, concat(d, '|imcoh') AS u, l, CASE WHEN a.e * b.e > 1e-20 THEN least(abs(im) * {n} / sqrt(a.e * b.e), 1e0) ELSE 0e0 END AS x
   FROM lc JOIN en a ON a.g = lc.g AND a.t = lc.t AND lc.d LIKE concat('pair', a.p + 1, '_') JOIN en b ON b.g = lc.g AND b.t = lc.t AND lc.d LIKE concat('pair_', b.p + 1)
-), {draws.stream_sql("co", SEEDS["time"], ["g", "t"], ["k"], DRAWS, 6)}, la AS (SELECT r, g, t, k, {_UNIT.format("ui")} AS u, {NEAR} + h % {N - 2 * NEAR + 1} AS l FROM hs
+), {draws.stream_sql("co", SEEDS["time"], ["g", "t"], ["k"], DRAWS, 6)}, la AS (SELECT r, g, t, k, {_UNIT.format("ui")} AS u, {NEAR} + h % {n - 2 * NEAR + 1} AS l FROM hs
 ), nu AS (SELECT r, la.u, sum(x * k) AS e FROM la JOIN lv ON lv.g = la.g AND lv.t = la.t AND lv.l = la.l AND lv.u = la.u GROUP BY r, la.u
 )"""
-)
+
+
+TIME = time_steps(N)
 
 #: The first of a pair meets the second of another group at the same trial; labels stay with the first.  Every unit has derangements of its own.
 PARTNER = f""", zz AS (
@@ -176,18 +179,24 @@ def _dyad_score(batch) -> Iterator[draws.Scored]:
         yield draws.choices(_keys(batch, ("g", "t")), nulls.dyad_sums(_numbers(batch, ["kw"])[:, 0], _numbers(batch, _VALUES)))
 
 
-def _null(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """r, u, e: the realizations of a null, of every unit."""
+def _pair_values(spark: SparkSession, sf_dir: str, lags: bool, band: str | None) -> DataFrame:
+    if band:
+        return signals.band_pairs(spark, sf_dir, lags, [band])
+    return signals.pair_values(spark, sf_dir, lags)
+
+
+def _null(spark: SparkSession, sf_dir: str, kind: str, band: str | None = None) -> DataFrame:
+    """r, u, e: the realizations of a null, of every unit; of signals as they are, or in a band."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trials = _weighted(spark, sf_dir)
     if kind == "partner":
-        de, met = _partners(spark, sf_dir)
+        de, met = _partners(spark, sf_dir, band)
         sums = met.join(trials.select("g", "t", "kw"), ["g", "t"]).groupBy("g", "h", "d").agg(F.sum(F.col("plv") * F.col("kw")).alias("plv"), F.sum(F.col("imcoh") * F.col("kw")).alias("imcoh"))
         tall = sums.select("g", "h", F.explode(F.array(*(F.struct(F.concat("d", F.lit(f"|{m}")).alias("u"), F.col(m).alias("e")) for m in ("plv", "imcoh")))).alias("q")).select("g", "h", "q.u", "q.e")
         own = de.withColumn("u", F.expr(_UNIT.format("f")))
         rows = own.join(tall, ["g", "h", "u"]).groupBy("r", "u").agg(F.sum("e").alias("e"))
     else:
-        blocks = trials.join(_wide(signals.pair_values(spark, sf_dir, kind == "time")), ["g", "t"])
+        blocks = trials.join(_wide(_pair_values(spark, sf_dir, kind == "time", band)), ["g", "t"])
         if kind == "label":
             blocks = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("t", "y", *_VALUES))).alias("s"))  # ten trials a group
             blocks = blocks.select("g", *(F.expr(f"transform(s, x -> CAST(x.{c} AS DOUBLE))").alias(c) for c in ("y", *_VALUES)))
@@ -197,7 +206,7 @@ def _null(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).select("r", "u", (F.col("e") / F.col("w_all")).alias("e"))  # total has one row
 
 
-def _partners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _partners(spark: SparkSession, sf_dir: str, band: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Derangements of the groups by unit, and values of all pairs of groups that one of them brings together."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = "WITH" + LABELS[LABELS.index(" tt AS (") : LABELS.index("), w AS (")] + ") SELECT DISTINCT g FROM tt"
@@ -207,17 +216,17 @@ def _partners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     mine, theirs = (trials.select(F.col("g").alias(name), "t", *(F.col(f"v{p}").alias(f"{name}{p}") for p in range(3))) for name in ("g", "h"))
     # each pair of groups meets once, spread over all tasks before the arrays come to it
     met = de.select("g", "h").distinct().repartition(partitions, "g", "h").join(mine, "g").join(theirs, ["h", "t"])
-    return de, phase.pairs(signals.dyads(met, ["g", "h", "t"], "g", "h"), ["g", "h", "t", "d"], "a", "z")
+    return de, phase.pairs(signals.dyads(met, ["g", "h", "t"], "g", "h"), ["g", "h", "t", "d"], "a", "z", chain=signals.chain(band) if band else None)
 
 
 def frames() -> dict:
     """The nulls in the form for Spark."""
 
-    def run(text: str, kind: str | None = None):
+    def run(text: str, kind: str | None = None, band: str | None = None):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            given = {"pair_values": signals.pair_values(spark, sf_dir)}
+            given = {"pair_values": _pair_values(spark, sf_dir, False, band)}
             if kind:
-                given["nu_rows"] = _null(spark, sf_dir, kind)
+                given["nu_rows"] = _null(spark, sf_dir, kind, band)
             return dialect.run(spark, sf_dir, "WITH" + _PAIRS + LABELS + text, **given)
 
         return query
@@ -229,7 +238,7 @@ def frames() -> dict:
         return query
 
     show = inference.MAXT + "\n" + inference.SHOW_MAXT
-    maxt = {f"connectivity_{kind}_null_maxt": run(_GIVEN + show, kind) for kind in NULLS}
+    maxt = {f"connectivity_{kind}_null_maxt": run(_GIVEN + show, kind) for kind in NULLS} | {f"band_{kind}_null_maxt": run(_GIVEN + show, kind, BAND) for kind in NULLS}
     layered = {name: layers(text) for name, text in layer_texts({kind: f", nu AS (SELECT r, u, e FROM {{{kind}_rows}})" for kind in NULLS}).items()}
     found = maxt | layered | {"connectivity_effects": run("\nSELECT u AS unit, round(effect, 6) AS effect FROM ob")}
 
@@ -247,12 +256,22 @@ def frames() -> dict:
     return found | {"metric_agreement": agreement}
 
 
+def band_texts() -> dict[str, str]:
+    """The nulls of band signals: phases and amplitudes from the chain, by recursion over samples."""
+    n = round(WINDOW_SAMPLES)
+    base = signals.chain_sql() + f""", an AS (SELECT g, t, p, i, re, im FROM bz WHERE band = '{BAND}'
+), ph AS (SELECT g, t, p, i, re, im FROM bu WHERE band = '{BAND}'
+), {signals.BASE[signals.BASE.index("cr AS ("):].strip()}{signals.COHERENCY}{LABELS}"""
+    steps = NULLS | {"time": time_steps(n)}
+    return {f"band_{kind}_null_maxt": "WITH RECURSIVE " + base + steps[kind] + inference.MAXT + "\n" + inference.SHOW_MAXT for kind in NULLS}
+
+
 def oracles() -> dict[str, str]:
     own = texts()
     joins = " ".join(f"LEFT JOIN ({dialect.duckdb_text(own[f'connectivity_{n}_null_maxt'])}) {n}_ ON {n}_.unit = label_.unit" for n in ("time", "partner", "dyad"))
     flags = ", ".join(f"bool_or(m = '{m}' AND {n}) AS {m}_{n}_pass" for m in ("plv", "imcoh") for n in NULLS)
     passed = ", ".join(f"coalesce({n}_.p_maxt < 0.05, false) AS {n}" for n in NULLS)
-    return {
+    return {name: dialect.duckdb_text(text) for name, text in band_texts().items()} | {
         "metric_agreement": f"""WITH r AS (
   SELECT split_part(label_.unit, '|', 1) AS pair, split_part(label_.unit, '|', 2) AS m, label_.effect, {passed} FROM ({dialect.duckdb_text(own["connectivity_label_null_maxt"])}) label_ {joins}
 )

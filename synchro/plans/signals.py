@@ -6,6 +6,8 @@ FFT in Arrow batches.  Their texts stay as the oracles, which share no code with
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +29,18 @@ sg AS (
 ), plv AS (SELECT g, t, d, sqrt(avg(re) * avg(re) + avg(im) * avg(im)) AS plv FROM cr GROUP BY g, t, d
 )"""
 
-LAGS = f""", lg AS (
-  SELECT a.g, a.t, concat('pair', a.p + 1, b.p + 1) AS d, (a.i - b.i + {N}) % {N} AS l, sum(a.re * b.re + a.im * b.im) / {N} AS re, sum(a.im * b.re - a.re * b.im) / {N} AS im
-  FROM SRC a JOIN SRC b ON a.g = b.g AND a.t = b.t AND a.p < b.p GROUP BY a.g, a.t, a.p, b.p, (a.i - b.i + {N}) % {N}
+
+
+def lags_sql(n: int) -> str:
+    """Sums by circular shift of signals of n samples in table SRC."""
+    return f""", lg AS (
+  SELECT a.g, a.t, concat('pair', a.p + 1, b.p + 1) AS d, (a.i - b.i + {n}) % {n} AS l, sum(a.re * b.re + a.im * b.im) / {n} AS re, sum(a.im * b.re - a.re * b.im) / {n} AS im
+  FROM SRC a JOIN SRC b ON a.g = b.g AND a.t = b.t AND a.p < b.p GROUP BY a.g, a.t, a.p, b.p, (a.i - b.i + {n}) % {n}
 )"""
 
+
+LAGS = lags_sql(N)
+
 COHERENCY = """, en AS (SELECT g, t, p, sum(re * re + im * im) AS e FROM an GROUP BY g, t, p
 ), cx AS (
   SELECT a.g, a.t, a.p, b.p AS q, sum(a.im * b.re - a.re * b.im) AS im FROM an a JOIN an b ON a.g = b.g AND a.t = b.t AND a.i = b.i AND a.p < b.p GROUP BY a.g, a.t, a.p, b.p
@@ -91,6 +100,63 @@ sg AS (
 )"""
 
 
+def filter_sql(source: str, bands: dict[str, tuple[float, float]], rate: float, name: str, order: int = 4) -> str:
+    """Steps that filter lists sample by sample, forward and backward; the last is `name` (band, id, xs), for each of source's (id, xs)."""
+    rows = []
+    for band, (low, high) in bands.items():
+        for k, (bk, ak) in enumerate(zip(*filters.butterworth(order, rate, low, high), strict=True)):
+            # the states that a constant 1 settles to
+            gain = bk.sum() / ak.sum()
+            s2 = bk[2] - ak[2] * gain
+            rows.append(f"('{band}', {k}, {bk[0]!r}, {bk[1]!r}, {bk[2]!r}, {ak[1]!r}, {ak[2]!r}, {bk[1] - ak[1] * gain + s2!r}, {s2!r})".replace("np.float64(", "(").replace("((", "(("))
+    values = ", ".join(rows)
+    steps = [f"{name}_c(band, k, b0, b1, b2, a1, a2, t1, t2) AS (VALUES {values})", f"{name}_0 AS (SELECT band, id, xs FROM {source} CROSS JOIN (SELECT DISTINCT band FROM {name}_c))"]
+    for j in range(2 * order):
+        put = "b0 * x + s1"
+        move = f"{put} AS y, b1 * x - a1 * ({put}) + s2 AS n1, b2 * x - a2 * ({put}) AS n2"
+        steps.append(f"""{name}_r{j}(band, id, i, y, s1, s2) AS (
+  SELECT band, id, 1, y, n1, n2 FROM (SELECT band, id, {move} FROM (SELECT q.band, id, b0, b1, b2, a1, a2, xs[1] AS x, t1 * xs[1] AS s1, t2 * xs[1] AS s2 FROM {name}_{j} q JOIN {name}_c c ON c.band = q.band AND c.k = {j % order}))
+  UNION ALL
+  SELECT band, id, i, y, n1, n2 FROM (SELECT band, id, i, {move} FROM (SELECT r.band, r.id, r.i + 1 AS i, b0, b1, b2, a1, a2, xs[r.i + 1] AS x, s1, s2
+    FROM {name}_r{j} r JOIN {name}_{j} q ON q.band = r.band AND q.id = r.id JOIN {name}_c c ON c.band = r.band AND c.k = {j % order} WHERE r.i < len(xs)))
+)""")
+        order_by = "i DESC" if j in (order - 1, 2 * order - 1) else "i"
+        steps.append(f"{name if j == 2 * order - 1 else f'{name}_{j + 1}'} AS (SELECT band, id, list(y ORDER BY {order_by}) AS xs FROM {name}_r{j} GROUP BY band, id)")
+    return ", ".join(steps)
+
+
+def chain_sql() -> str:
+    """Steps of the composed chain; the last is bz (g, t, p, band, i, re, im), amplitudes kept."""
+    pad, begin, end = round(PAD * RATE), ANCHOR + round(WINDOW[0] * RATE), ANCHOR + round(WINDOW[1] * RATE)
+    n = N + 2 * pad
+    return f"""pz AS (
+  SELECT vec_id AS id, list(CAST(embedding[1 + CASE WHEN j < {pad} THEN {pad} - j WHEN j < {N + pad} THEN j - {pad} ELSE {2 * N + pad - 2} - j END] AS DOUBLE) ORDER BY j) AS xs
+  FROM embeddings CROSS JOIN (SELECT range AS j FROM range({n})) GROUP BY vec_id
+), {filter_sql("pz", BANDS, RATE, "ft")}, fs AS (
+  SELECT band, id, generate_subscripts(xs, 1) - 1 AS i, unnest(xs) AS x FROM ft
+), hn AS (
+  SELECT range AS n, CASE WHEN range % 2 = 1 THEN 2e0 / {n} * cos(pi() * range / {n}) / sin(pi() * range / {n}) ELSE 0e0 END AS h FROM range({n})
+), bz AS (
+  SELECT CAST(floor(a.id / 30) AS BIGINT) AS g, CAST(floor(a.id % 30 / 3) AS BIGINT) AS t, a.id % 3 AS p, a.band, a.i - {pad + begin} AS i, max(a.x) AS re, sum(b.x * h) AS im
+  FROM fs a JOIN fs b ON b.band = a.band AND b.id = a.id JOIN hn ON hn.n = (a.i - b.i + {n}) % {n} WHERE a.i >= {pad + begin} AND a.i < {pad + end} GROUP BY a.id, a.band, a.i
+), bu AS (
+  SELECT g, t, p, band, i, CASE WHEN re * re + im * im > 0 THEN re / sqrt(re * re + im * im) ELSE 0 END AS re, CASE WHEN re * re + im * im > 0 THEN im / sqrt(re * re + im * im) ELSE 0 END AS im FROM bz
+)"""
+
+
+def oracles() -> dict[str, str]:
+    """SQL of the queries whose text is DuckDB's alone."""
+    pair = "a.g = b.g AND a.t = b.t AND a.band = b.band AND a.i = b.i AND a.p < b.p"
+    who = "a.g, a.t, a.band, concat('pair', a.p + 1, b.p + 1) AS dyad"
+    return {
+        "butterworth_bandpass": f"WITH RECURSIVE sq AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS xs FROM embeddings), {filter_sql('sq', {'theta': (4.0, 8.0)}, 64.0, 'ft')} SELECT id AS vec_id, generate_subscripts(xs, 1) - 1 AS i, round(unnest(xs), 6) AS filtered FROM ft",
+        "phase_tensor": f"WITH RECURSIVE {chain_sql()} SELECT g, t, p, band, i, round(re, 6) AS re, round(im, 6) AS im FROM bu",
+        "band_plv_pairs": f"WITH RECURSIVE {chain_sql()} SELECT {who}, round(sqrt(pow(avg(a.re * b.re + a.im * b.im), 2) + pow(avg(a.im * b.re - a.re * b.im), 2)), 6) AS plv FROM bu a JOIN bu b ON {pair} GROUP BY a.g, a.t, a.band, a.p, b.p",
+        "band_imcoh_pairs": f"""WITH RECURSIVE {chain_sql()} SELECT {who}, round(CASE WHEN sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im) > 1e-20
+  THEN least(abs(sum(a.im * b.re - a.re * b.im)) / sqrt(sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)), 1e0) ELSE 0e0 END, 6) AS imcoh FROM bz a JOIN bz b ON {pair} GROUP BY a.g, a.t, a.band, a.p, b.p""",
+    }
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """g, t, p, x: one row a signal."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -142,21 +208,36 @@ def tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phase.phase_tensor(signals(spark, sf_dir), ["g", "t", "p"], "x", RATE, BANDS, ANCHOR, WINDOW, pad_seconds=PAD)
 
 
-def _band_plv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLV of each pair in each band, from the phases of the chain."""
-    rows = tensor(spark, sf_dir).groupBy("g", "t", "band").agg(*(F.max(F.when(F.col("p") == p, F.struct("re", "im"))).alias(f"v{p}") for p in range(3)))
-    q = dyads(rows, ["g", "t", "band"])
-    dot = lambda x, y: F.aggregate(F.zip_with(F.col(x), F.col(y), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    re, im = dot("a.re", "z.re") + dot("a.im", "z.im"), dot("a.im", "z.re") - dot("a.re", "z.im")
-    return q.select("g", "t", "band", F.col("d").alias("dyad"), F.round(F.sqrt(re * re + im * im) / F.size("a.re"), 6).alias("plv"))
+def chain(band: str) -> dict:
+    return {"rate": RATE, "band": BANDS[band], "anchor": ANCHOR, "window": WINDOW, "pad_seconds": PAD}
+
+
+def band_pairs(spark: SparkSession, sf_dir: str, lags: bool = False, bands: list[str] | None = None) -> DataFrame:
+    """g, t, d, band, plv, imcoh of every pair of a trial from band signals that pass the chain; coherency keeps amplitudes."""
+    rows = dyads(trials(spark, sf_dir), ["g", "t"])
+    each = [phase.pairs(rows, ["g", "t", "d"], "a", "z", lags, chain(band)).withColumn("band", F.lit(band)) for band in bands or BANDS]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _band_pair(value: str):
+    return lambda spark, sf_dir: band_pairs(spark, sf_dir).select("g", "t", "band", F.col("d").alias("dyad"), F.round(value, 6).alias(value))
+
+
+def _tensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tensor(spark, sf_dir).select("g", "t", "p", "band", F.posexplode(F.arrays_zip("re", "im")).alias("i", "z"))
+    return rows.select("g", "t", "p", "band", "i", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+
+
+def _filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filters.bandpass(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 64.0, 4.0, 8.0)
+    return rows.select("vec_id", F.posexplode("filtered").alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("filtered"))
 
 
 def frames() -> dict:
     """Queries in the form for Spark."""
-    table = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     pair = lambda spark, sf_dir, name: pair_values(spark, sf_dir).select("g", "t", F.col("d").alias("dyad"), F.round(name, 6).alias(name))
     return {
-        "butterworth_bandpass": lambda spark, sf_dir: filters.bandpass(table(spark, sf_dir), "vec_id", "embedding", 64.0, 4.0, 8.0),
+        "butterworth_bandpass": _filtered_rows,
         "hilbert_phase": lambda spark, sf_dir: _samples(phase.analytic_signals(signals(spark, sf_dir), ["g", "t", "p"], "x", phase=True)),
         "band_analytic": lambda spark, sf_dir: _samples(phase.analytic_signals(signals(spark, sf_dir), ["g", "t", "p"], "x", 4, 8)),
         "plv_pairs": lambda spark, sf_dir: pair(spark, sf_dir, "plv"),
@@ -165,6 +246,7 @@ def frames() -> dict:
         "imcoh_all_lags": lambda spark, sf_dir: _lags(pair_values(spark, sf_dir, True), "imcoh"),
         "plv_channel_matrix": _channels,
         "plv_sensor_edges": _sensors,
-        "phase_tensor": tensor,
-        "band_plv_pairs": _band_plv,
+        "phase_tensor": _tensor_rows,
+        "band_plv_pairs": _band_pair("plv"),
+        "band_imcoh_pairs": _band_pair("imcoh"),
     }
