@@ -52,3 +52,30 @@ def resampled(groups: DataFrame, n: int, names: list[str], draws: int, seed: int
     rows = groups.select("i", "xs", F.floor(F.col("i") / GROUPS).cast("long").alias("block"), every)
     sums = rows.groupBy("block", "part").applyInArrow(run, "r long, u string, x double, w double")
     return sums.groupBy("r", "u").agg((F.sum("x") / F.sum("w")).alias("e"))
+
+
+def means(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """pop, r, m: means of resamples of each population.
+
+    rows: pop (a population's number), i (from 0 within it), n (its rows), x.  A population is resampled from its own rows only.
+    """
+
+    def run(key, table):
+        import pyarrow as pa
+
+        pop, block, first = key[0].as_py(), key[1].as_py(), key[2].as_py() * RESAMPLES
+        i, n = table.column("i").to_numpy() - block * GROUPS, table.column("n")[0].as_py()
+        x = np.zeros(int(i.max()) + 1)
+        x[i] = table.column("x").to_numpy()
+        k, out = min(RESAMPLES, draws - first), np.zeros(min(RESAMPLES, draws - first))
+        step = max(1, SLOTS // k)
+        for a in range(0, n, step):
+            slots = np.arange(a, min(n, a + step), dtype=np.int64)
+            to = stream(seed + first, k, [np.full(len(slots), pop), slots]) % n - block * GROUPS
+            inside = (to >= 0) & (to < len(x))
+            out += np.where(inside, x[np.where(inside, to, 0)], 0.0).sum(1)
+        return pa.table({"pop": np.full(k, pop), "r": np.arange(first, first + k), "s": out / n})
+
+    every = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // RESAMPLES))).alias("part")
+    rows = rows.select("pop", "i", "n", "x", F.floor(F.col("i") / GROUPS).cast("long").alias("block"), every)
+    return rows.groupBy("pop", "block", "part").applyInArrow(run, "pop long, r long, s double").groupBy("pop", "r").agg(F.sum("s").alias("m"))

@@ -160,6 +160,41 @@ BOOT_STEPS = f""", gn AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, cou
 )"""
 
 
+#: Balance of a group's classes by task: the masks of the two tasks keep trials whose values stay under their bounds.
+_TASKS = {"decision": 150, "feedback": 100}
+BALANCE_BY_TASK = "SELECT g, " + ", ".join(
+    f"n1_{k} AS {k}_retained_ccc, n0_{k} AS {k}_retained_other, least(n1_{k}, n0_{k}) AS {k}_minority, CASE WHEN least(n1_{k}, n0_{k}) > 0 THEN round(greatest(n1_{k}, n0_{k}) * 1e0 / least(n1_{k}, n0_{k}), 6) END AS {k}_imbalance, "
+    f"CASE WHEN n1_{k} + n0_{k} > 0 THEN round(n1_{k} * n0_{k} * 1e0 / (n1_{k} + n0_{k}), 6) ELSE 0e0 END AS {k}_weight, CASE WHEN n1_{k} + n0_{k} > 0 THEN round(n1_{k} * n0_{k} * 4e0 / (n1_{k} + n0_{k}) / n, 6) ELSE 0e0 END AS {k}_versus_even" for k in _TASKS
+) + " FROM (SELECT g, count(*) AS n, " + ", ".join(
+    f"CAST(sum(CASE WHEN greatest(v0, v1, v2) <= {most} THEN y ELSE 0 END) AS BIGINT) AS n1_{k}, CAST(sum(CASE WHEN greatest(v0, v1, v2) <= {most} THEN 1 - y ELSE 0 END) AS BIGINT) AS n0_{k}" for k, most in _TASKS.items()
+) + " FROM tt GROUP BY g) q"
+
+
+def direction(x: str) -> str:
+    """The label of an effect's direction; effects within 1e-12 of zero have none."""
+    return f"CASE WHEN {x} > 1e-12 THEN 'CCC>Other' WHEN {x} < -1e-12 THEN 'CCC<Other' ELSE 'zero' END"
+
+
+#: Four estimators of each unit (by block, by group, by group alike, without flagged trials), their directions, leave-one-out, the largest group, and the blocks that agree.
+CANDIDATES = f"""SELECT p.u AS unit, {direction("p.effect")} AS direction, round(p.effect, 6) AS primary_effect, round(s.triad, 6) AS triad_effect, round(s.equal, 6) AS equal_effect, round(m.effect, 6) AS masked_effect,
+  {direction("s.triad")} = {direction("p.effect")} AS triad_agrees, {direction("s.equal")} = {direction("p.effect")} AS equal_agrees, {direction("m.effect")} = {direction("p.effect")} AS masked_agrees,
+  {direction("s.triad")} = {direction("p.effect")} AND {direction("s.equal")} = {direction("p.effect")} AND {direction("m.effect")} = {direction("p.effect")} AS all_agree,
+  abs(p.effect - l.full_effect) < 1e-9 AS recombines, round(l.low, 6) AS loto_min, round(l.high, 6) AS loto_max, round(l.same, 6) AS loto_consistency, d.g AS dominant, round(d.share, 6) AS dominant_share,
+  k.n_blocks AS informative_blocks, k.n_same AS blocks_same, round(k.n_same * 1e0 / k.n_blocks, 6) AS block_consistency, round(k.w_same, 6) AS block_weight_same
+FROM ob p JOIN (
+  SELECT u, sum(e * w) / sum(w) AS triad, avg(e) AS equal FROM (SELECT ux.u, ux.g, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, max(gi.w) AS w FROM ux JOIN gi ON gi.g = ux.g GROUP BY ux.u, ux.g) q GROUP BY u
+) s ON s.u = p.u LEFT JOIN (
+  SELECT u, sum(e * w) / sum(w) AS effect FROM (SELECT u, g, b, avg(CASE WHEN y = 1 THEN x END) - avg(CASE WHEN y = 0 THEN x END) AS e, sum(y) * (count(*) - sum(y)) * 1e0 / count(*) AS w
+    FROM (SELECT ux.* FROM ux LEFT JOIN (SELECT DISTINCT g, t FROM tr WHERE v > 150) f ON f.g = ux.g AND f.t = ux.t WHERE f.g IS NULL) o GROUP BY u, g, b HAVING sum(y) > 0 AND sum(y) < count(*)) q GROUP BY u
+) m ON m.u = p.u JOIN (
+  SELECT u, max(full_effect) AS full_effect, min(loto) AS low, max(loto) AS high, avg(CASE WHEN {direction("loto")} = {direction("full_effect")} THEN 1e0 ELSE 0e0 END) AS same FROM lo GROUP BY u
+) l ON l.u = p.u JOIN (
+  SELECT u, g, share FROM (SELECT al.u, g, abs(effect * w) / sa AS share, row_number() OVER (PARTITION BY al.u ORDER BY round(abs(effect * w), 9) DESC, g) AS place FROM al JOIN (SELECT u, sum(abs(effect * w)) AS sa FROM al GROUP BY u) t ON t.u = al.u) q WHERE place = 1
+) d ON d.u = p.u JOIN (
+  SELECT be.u, count(*) AS n_blocks, CAST(sum(CASE WHEN {direction("e")} = {direction("ob.effect")} THEN 1 ELSE 0 END) AS BIGINT) AS n_same, sum(CASE WHEN {direction("e")} = {direction("ob.effect")} THEN w ELSE 0 END) / sum(w) AS w_same FROM be JOIN ob ON ob.u = be.u GROUP BY be.u
+) k ON k.u = p.u"""
+
+
 def _queries() -> dict:
     """A text, (more steps, text), or (null, more steps, text) where nu (r, u, e) is the null's realizations."""
     return {
@@ -169,6 +204,9 @@ def _queries() -> dict:
         "block_triad_ratio": "SELECT bl.g, round(bl.w, 6) AS block_information, round(gi.w, 6) AS triad_information, round(bl.w / gi.w, 6) AS ratio FROM (SELECT g, sum(w) AS w FROM w GROUP BY g) bl JOIN gi ON gi.g = bl.g",
         "class_balance": "SELECT g, n1, n0, least(n1, n0) AS minority, CASE WHEN least(n1, n0) > 0 THEN round(greatest(n1, n0) * 1e0 / least(n1, n0), 6) END AS imbalance, round(n1 * n0 * 4e0 / (n1 + n0) / (n1 + n0), 6) AS versus_even FROM gw",
         "balance_thresholds": "SELECT k.most, count(g) AS n_groups, coalesce(TEXTS(g), '') AS ids FROM (SELECT CASE r WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 5 ELSE 10 END AS most FROM SERIES(5) s) k LEFT JOIN gw ON least(n1, n0) <= k.most GROUP BY k.most",
+        "class_balance_by_task": BALANCE_BY_TASK,
+        "effect_reconciliation": "SELECT ob.u AS unit, round(effect, 6) AS effect, round(again, 6) AS recombined, abs(effect - again) <= 1e-7 + 1e-5 * abs(again) AS reconciled FROM ob JOIN (SELECT u, sum(effect * w) / sum(w) AS again FROM ge GROUP BY u) r ON r.u = ob.u",
+        "candidate_audit_full": (LOTO, CANDIDATES),
         "flagged_balance": "SELECT tt.g, count(*) AS n_flagged, CAST(sum(y) AS BIGINT) AS ccc, CAST(count(*) - sum(y) AS BIGINT) AS other, round(avg(y * 1e0), 6) AS ccc_share FROM tt WHERE greatest(v0, v1, v2) > 150 GROUP BY tt.g",
         "coeff_block": "SELECT g, t, round(k, 9) AS coeff FROM co",
         "coeff_triad": "SELECT tt.g, tt.t, round(gi.w / (SELECT sum(w) FROM gi) * CASE WHEN y = 1 THEN 1e0 / n1 ELSE -1e0 / n0 END, 9) AS coeff FROM tt JOIN gi ON gi.g = tt.g",

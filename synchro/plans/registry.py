@@ -16,8 +16,8 @@ def _run(sql: str) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | nulls.frames() | connectivity.frames() | evidence.frames() | {"cube_label_null_maxt": cube.cube_label_null}
+    return {name: _run(sql) for name, sql in _texts().items()} | signals.frames() | nulls.frames() | connectivity.frames() | evidence.frames() | reports.frames() | detection.frames() | {"cube_label_null_maxt": cube.cube_label_null}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | signals.oracles() | nulls.oracles() | evidence.oracles() | connectivity.oracles() | {"cube_label_null_maxt": cube.ORACLE}
+    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | signals.oracles() | nulls.oracles() | evidence.oracles() | detection.oracles() | connectivity.oracles() | {"cube_label_null_maxt": cube.ORACLE}

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.quantiles import quantiles
+from ..sources.scratch import saved
+from . import dialect
+
 QC = """
 qc AS (
   SELECT l_suppkey AS subject, l_returnflag AS task, l_linenumber AS channel, l_orderkey AS trial, l_extendedprice AS x FROM {lineitem}
@@ -47,6 +54,27 @@ BOOTSTRAP = f""", ix AS (
 )"""
 
 
+def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subject, task, rms, z: medians and deviations by exact quantiles, so no task holds all subjects of a task."""
+    rows = saved(dialect.run(spark, sf_dir, "WITH" + QC[: QC.index("), md AS")] + ") SELECT subject, task, rms, l FROM lo"), "levels")
+    middle = quantiles(rows, ["task"], "l", {"m": 0.5})
+    apart = saved(rows.join(middle, rows["task"].eqNullSafe(middle["task"])).select(rows["*"], "m"), "apart")
+    spread = quantiles(apart, ["task"], F.abs(F.col("l") - F.col("m")), {"mad": 0.5})
+    z = F.when(F.col("mad") == 0, 0.0).otherwise(0.6744897501960817 * (F.col("l") - F.col("m")) / F.col("mad"))
+    return apart.join(spread, apart["task"].eqNullSafe(spread["task"])).select("subject", apart["task"], "rms", z.alias("z"))
+
+
+def frames() -> dict:
+    """Reports of robust z in the form for Spark."""
+    given = QC[: QC.index("), md AS")] + "), rz AS (SELECT subject, task, rms, z FROM {robust_z}\n)" + QC[QC.index(", ch AS") :]
+
+    def run(text: str):
+        return lambda spark, sf_dir: dialect.run(spark, sf_dir, text, robust_z=robust_z(spark, sf_dir))
+
+    names = ("qc_robust_z", "report_order", "sensitivity_mask", "retained_by_task", "mask_sources")
+    return {name: run(text.replace(QC, given)) for name, text in texts().items() if name in names}
+
+
 def texts() -> dict[str, str]:
     q = {
         "qc_subject_task": (QC, "SELECT subject, task, n, round(rms, 4) AS rms, round(p99, 4) AS p99, round(over50k, 6) AS over50k, round(over90k, 6) AS over90k FROM qs"),
@@ -73,6 +101,10 @@ def texts() -> dict[str, str]:
         "evidence_checks": "SELECT count(*) AS n, CAST(sum(CASE WHEN o.o_orderkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched, CAST(sum(CASE WHEN l.l_shipdate < o.o_orderdate THEN 1 ELSE 0 END) AS BIGINT) AS shipped_before, CAST(sum(CASE WHEN c.c_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_customer, bool_and(l.l_quantity >= 0) AS nonnegative FROM {lineitem} l LEFT JOIN {orders} o ON o.o_orderkey = l.l_orderkey LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey",
         "unit_decode": "SELECT p_partkey AS unit_index, CAST(floor(p_partkey / 1083) AS BIGINT) AS condition, CAST(floor(p_partkey % 1083 / 361) AS BIGINT) AS dyad, CAST(floor(p_partkey % 361 / 19) AS BIGINT) AS ch1, p_partkey % 19 AS ch2 FROM {part}",
         "set_ops": "SELECT 'both' AS kind, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}) a UNION ALL SELECT 'customers only', count(*) FROM (SELECT c_nationkey AS k FROM {customer} EXCEPT SELECT s_nationkey FROM {supplier}) b UNION ALL SELECT 'either', count(*) FROM (SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}) c",
+        "set_equality": " UNION ALL ".join(
+            f"SELECT '{name}' AS name, count(*) = 0 AS equal_sets, count(*) AS n_apart FROM ((SELECT {x} AS k FROM {{{one}}} EXCEPT SELECT {y} FROM {{{other}}}) UNION ALL (SELECT {y} FROM {{{other}}} EXCEPT SELECT {x} FROM {{{one}}})) q{name}"
+            for name, one, x, other, y in (("suppliers", "supplier", "s_suppkey", "lineitem", "l_suppkey"), ("customers", "customer", "c_custkey", "orders", "o_custkey"), ("labelled", "documents", "doc_id", "labels", "doc_id"))
+        ),
         "resume_antijoin": "SELECT o.o_orderkey FROM {orders} o LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) l ON l.l_orderkey = o.o_orderkey WHERE l.l_orderkey IS NULL",
         "provenance_hash": "SELECT item_id, sha256_of(text) AS sha256 FROM {benchmark}",
     }

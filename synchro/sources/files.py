@@ -54,9 +54,15 @@ def pending(work: DataFrame, done_path: str, keys: list[str]) -> DataFrame:
     return work.join(spark.read.parquet(done_path).select(*keys).distinct(), keys, "left_anti")
 
 
-def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Add df's rows to the Parquet table at path, in folders by the given columns."""
-    df.write.mode("append").partitionBy(*(by or [])).parquet(path)
+def append(df: DataFrame, path: str, by: list[str]) -> None:
+    """Add df's rows to the Parquet table at path, in folders by the given columns.
+
+    A folder is replaced as a whole and others stay, so an append that is tried again adds nothing twice; df has to hold all rows of the folders
+    that it names.  What resumes by smaller keys takes them into `by`, such as a cell and a range of its repetitions.
+    """
+    if not by:
+        raise ValueError("an append needs the columns of its folders")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ def test_freeze_only_if_all_checks_hold(spark, tmp_path):
     checks = evidence.compared(good, "unit", "effect", ["band"])
     assert checks.count() == 6 and checks.where("not ok").count() == 0
     evidence.freeze(checks, good["a"], f"{tmp_path}/frozen")
-    assert spark.read.parquet(f"{tmp_path}/frozen").count() == 2
+    assert evidence.frozen(spark, f"{tmp_path}/frozen").count() == 2
     for name, rows in {
         "effect_consistent of 1": [(1, "x", 0.50001), (2, "y", 0.1)], "metadata_consistent of 2": [(1, "x", 0.5), (2, "z", 0.1)], "present_once_in_all_stages of 2": [(1, "x", 0.5)],
         "present_once_in_all_stages of 1": [(1, "x", 0.5), (1, "x", 0.5), (2, "y", 0.1)],
@@ -33,6 +33,34 @@ def test_freeze_only_if_all_checks_hold(spark, tmp_path):
     assert not (tmp_path / "other").exists()
 
 
+def test_only_whole_freezes_are_read(spark, tmp_path):
+    """No manifest, no freeze; what a broken one left is replaced, a whole one is not; a changed file is found out."""
+    table, path = _stage(spark, [(1, "x", 0.5), (2, "y", 0.1)]), f"{tmp_path}/own"
+    checks = evidence.patterns(table, "unit", {"known": "band IS NOT NULL"})
+    with pytest.raises(FileNotFoundError):
+        evidence.frozen(spark, path)
+    table.write.parquet(f"{path}/master")  # a freeze that broke off before its manifest
+    with pytest.raises(FileNotFoundError):
+        evidence.frozen(spark, path)
+    (tmp_path / "source.txt").write_text("of the evidence")
+    evidence.freeze(checks, table, path, [f"{tmp_path}/source.txt"])
+    assert evidence.frozen(spark, path).count() == 2 and spark.read.json(f"{path}/record").where("ok").count() == 2
+    manifest = json.loads((tmp_path / "own" / evidence.MANIFEST).read_text())
+    assert {f["sha256"] for f in manifest["files"]} >= {hashlib.sha256(b"of the evidence").hexdigest()} and manifest["checks"] == 2
+    with pytest.raises(FileExistsError):
+        evidence.freeze(checks, table, path)
+    (tmp_path / "source.txt").write_text("of other evidence")
+    with pytest.raises(ValueError, match=r"source\.txt"):
+        evidence.frozen(spark, path)
+
+
+def test_effects_reconcile_by_both_tolerances(spark):
+    left = _stage(spark, [(1, "x", 1000.0), (2, "y", 1e-8), (3, "z", 1.0), (4, "w", None), (5, "v", 1.0), (5, "v", 1.0)])
+    right = _stage(spark, [(1, "x", 1000.009), (2, "y", 9e-8), (3, "z", 1.0002), (4, "w", 0.0), (5, "v", 1.0), (6, "u", 1.0)])
+    got = {r.unit: r.ok for r in evidence.reconciled(left, right, "unit", "effect").collect()}
+    assert got == {"1": True, "2": True, "3": False, "4": False, "5": False, "6": False}
+
+
 def test_patterns_fail_on_null(spark):
     got = evidence.patterns(_stage(spark, [(1, "x", 0.5), (2, "y", None)]), "unit", {"large": "effect > 0.2", "named": "band = 'x'"})
     assert {(r.name, r.unit): r.ok for r in got.collect()} == {("large", "1"): True, ("named", "1"): True, ("large", "2"): False, ("named", "2"): False}
@@ -58,6 +86,15 @@ def test_file_hashes(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"\x00abc")
     r = evidence.file_hashes(spark, f"{tmp_path}/a.bin").first()
     assert (r.bytes, r.sha256) == (4, hashlib.sha256(b"\x00abc").hexdigest())
+    (tmp_path / "more").mkdir()
+    big = bytes(range(256)) * 20_000  # several chunks
+    (tmp_path / "more" / "b.bin").write_bytes(big)
+    (tmp_path / "more" / "c.bin").write_bytes(b"")
+    (tmp_path / "more" / "_hidden").write_bytes(b"1")
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in evidence.file_hashes(spark, f"file://{tmp_path}/more").collect()}
+    assert got == {"b.bin": (len(big), hashlib.sha256(big).hexdigest()), "c.bin": (0, hashlib.sha256(b"").hexdigest())}
+    with pytest.raises(Exception, match="nowhere"):
+        evidence.file_hashes(spark, f"{tmp_path}/nowhere").count()
 
 
 def test_running_sums(spark):

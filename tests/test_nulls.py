@@ -116,6 +116,20 @@ def test_resample_counts_equal_a_loop(spark, monkeypatch):
     assert len(got) == 2_600 and all(got[r, u] == pytest.approx(every[r, i] / every[r, i + 2]) for r in range(1_000) for i, u in enumerate("ab"))
 
 
+def test_means_of_resamples_by_population(spark, monkeypatch):
+    """Each population is resampled from its own rows, as a loop over slots does."""
+    rng = np.random.default_rng(5)
+    sizes = {0: 1, 3: 17, 4: 90}
+    rows = [(p, i, n, float(rng.normal())) for p, n in sizes.items() for i in range(n)]
+    got = {(r.pop, r.r): r.m for r in bootstrap.means(spark.createDataFrame(rows, "pop long, i long, n long, x double"), 1_200, 6).collect()}
+    assert len(got) == 3 * 1_200
+    for p, n in sizes.items():
+        x = np.array([r[3] for r in rows if r[0] == p])
+        h = draws.stream(6, 1_200, [np.full(n, p), np.arange(n)])[:1_000] % n
+        assert np.allclose([got[p, r] for r in range(1_000)], x[h].mean(1))
+        assert n == 1 or 0.8 < np.std([got[p, r] for r in range(1_200)]) / (x.std() / n**0.5) < 1.2
+
+
 @pytest.mark.parametrize("units, block", [(23, 4), (40, 512), (2, 1), (1, 8)])
 def test_gram_summary_equals_numpy(spark, units, block):
     rng = np.random.default_rng(units)

@@ -48,3 +48,13 @@ def test_append_and_resume(spark, tmp_path):
     assert sorted(map(tuple, rest.collect())) == [(2, 0), (2, 1), (2, 2)]
     files.append(rest, path, ["cell"])
     assert files.pending(work, path, ["cell", "rep"]).count() == 0 and spark.read.parquet(path).count() == 6
+
+
+def test_an_append_that_is_tried_again_adds_nothing_twice(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    rows = spark.createDataFrame([(c, r) for c in (1, 2, 3) for r in range(3)], "cell long, rep long")
+    for part in ("cell = 1", "cell IN (1, 2)", "cell IN (1, 2)", "cell = 3"):
+        files.append(rows.where(part), path, ["cell"])
+    assert sorted(map(tuple, spark.read.parquet(path).select("cell", "rep").collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError):
+        files.append(rows, path, [])
