@@ -40,9 +40,8 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(payload):
-    """Bare upper-case base32 SHA-1 of a binary column: every 20 bits of the digest are 4 letters."""
-    digest = F.sha1(payload)
+def base32(digest):
+    """Bare upper-case base32 of a SHA-1 in hex: every 20 bits are 4 letters."""
     letters = []
     for k in range(8):
         bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
@@ -50,41 +49,57 @@ def base32_sha1(payload):
     return F.concat(*letters)
 
 
-_WHO = ["page_id", "url", "digest"]
+_WHO = ["page_id", "url", "sha"]
 
 
-def captures(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """page_id, own (the number among equal rows), url, html, bytes, digest, first (page_id, own, url and digest of the response for a revisit, else null).
+def _told(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, bytes and the payload's SHA-1 (sha)."""
+    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return pages.withColumns({"bytes": F.octet_length("html").cast("long"), "sha": F.sha1(F.col("html").cast("binary"))})
+
+
+def marks(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
+    """page_id, url, sha, bytes, times (how many equal rows there are), first (page_id, own, url, sha of the payload's response, null where it has no second), written without html."""
+    rows = _told(pages).groupBy(_WHO).agg(F.first("bytes").alias("bytes"), F.count("*").alias("times"))
+    rows = C.saved(rows, "captures")
+    counted = (F.col("bytes") >= least) & F.col("page_id").isNotNull()
+    shared = rows.where(counted).groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("least"), F.sum("times").alias("n")).where("n > 1")
+    first = F.struct("least.page_id", F.lit(0).cast("long").alias("own"), "least.url", "sha").alias("first")
+    rows = rows.join(shared.select("sha", first), "sha", "left").select(*_WHO, "bytes", "times", F.when(counted, F.col("first")).alias("first"))
+    return C.saved(rows, "marks")
 
-    Nothing here hangs on where a row lies: rows are told apart by what they hold, and rows that are wholly equal are made one
-    and numbered again, so any evaluation of pages gives the same captures.
+
+def captures(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """page_id, own (the number among equal rows), url, html, bytes, sha, first (page_id, own, url and sha of the response for a revisit, else null).
+
+    known: the `marks` of the table that pages is from.  Nothing here hangs on where a row lies: rows are told apart by what they hold, and rows
+    that are wholly equal are made one and numbered again, so any evaluation of pages gives the same captures.
     """
-    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    pages = pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    again = pages.groupBy(_WHO).agg(F.count("*").alias("times")).where("times > 1").select(*(F.col(c).alias(f"_{c}") for c in _WHO), "times")
+    known = marks(pages) if known is None else known
+    known = known.select(*(F.col(c).alias(f"_{c}") for c in _WHO), "times", "first")
+    special = known.where("times > 1 OR first IS NOT NULL")  # other rows are responses by themselves
     same = F.lit(True)
     for c in _WHO:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    single = pages.join(again, same, "left_anti").withColumn("own", F.lit(0).cast("long"))
-    # equal rows: one holds the payload, the others revisit it (or hold it too, where they are responses)
-    many = pages.join(again, same).groupBy(_WHO).agg(F.first("html").alias("html"), F.first("bytes").alias("bytes"), F.first("times").alias("times"))
-    many = many.withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
-    pages = single.unionByName(many)
-    counted = (F.col("bytes") >= least) & F.col("page_id").isNotNull()
-    shared = pages.where(counted).groupBy("digest").agg(F.min(F.struct("page_id", "url", "own")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("digest", F.struct("least.page_id", "least.own", "least.url", F.col("digest").alias("digest")).alias("least"))
-    pages = pages.join(shared, "digest", "left")
-    later = counted & ~((F.col("page_id") == F.col("least.page_id")) & (F.col("url") == F.col("least.url")) & (F.col("own") == F.col("least.own")))
-    return pages.withColumn("first", F.when(later, F.col("least"))).drop("least")
+    rows = _told(pages).join(special, same, "left").drop(*(f"_{c}" for c in _WHO))
+    one = F.coalesce("times", F.lit(1)) == 1
+    out = rows.where(one).withColumn("own", F.lit(0).cast("long"))
+    if not known.where("times > 1").isEmpty():
+        # equal rows: one holds the payload, the others revisit it (or hold it too, where they are responses)
+        many = rows.where(~one).groupBy(_WHO).agg(*(F.first(c).alias(c) for c in ("html", "bytes", "times", "first")))
+        many = many.withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+        out = out.unionByName(many)
+    me = (F.col("page_id") == F.col("first.page_id")) & (F.col("url") == F.col("first.url")) & (F.col("own") == F.col("first.own"))
+    return out.drop("times").withColumn("first", F.when(~me, F.col("first")))
 
 
 def _page(page_id):
     return F.coalesce(page_id.cast("string"), F.lit(""))
 
 
-def _name(kind: int, page_id, own, url, digest):
+def _name(kind: int, page_id, own, url, sha):
     """The record's URI: a UUID of what its capture holds and of its number among equal ones, whose first digits tell the kind of record."""
-    d = F.md5(F.concat(_page(page_id), F.lit("-"), own.cast("string"), F.lit("-"), digest, F.lit("-"), url).cast("binary"))
+    d = F.md5(F.concat(_page(page_id), F.lit("-"), own.cast("string"), F.lit("-"), sha, F.lit("-"), url).cast("binary"))
     parts = [F.substring(d, a, n) for a, n in ((9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat_ws("-", F.lit(f"<urn:uuid:{kind:08x}"), *parts[:-1], F.concat(parts[-1], F.lit(">")))
 
@@ -97,7 +112,7 @@ def _record(kind, name, headers: list, body):
 
 def _records_of(rows: DataFrame) -> DataFrame:
     """`value`: the three records of each capture."""
-    rows = rows.withColumn("name", _name(1, *(F.col(c) for c in ("page_id", "own", "url", "digest"))))
+    rows = rows.withColumn("name", _name(1, *(F.col(c) for c in ("page_id", "own", "url", "sha"))))
     first, url, name = F.col("first"), F.col("url"), F.col("name")
     revisit = first.isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END))
@@ -106,9 +121,9 @@ def _records_of(rows: DataFrame) -> DataFrame:
         name,
         [
             ("WARC-Target-URI", url),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
             ("WARC-Profile", F.when(revisit, _SAME_PAYLOAD)),
-            ("WARC-Refers-To", F.when(revisit, _name(1, *(first[c] for c in ("page_id", "own", "url", "digest"))))),
+            ("WARC-Refers-To", F.when(revisit, _name(1, *(first[c] for c in ("page_id", "own", "url", "sha"))))),
             ("WARC-Refers-To-Target-URI", first["url"]),
             ("X-Page", _page(F.col("page_id"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
@@ -134,13 +149,13 @@ def size_class(size):
 
 def write(pages: DataFrame, path: str) -> None:
     """gzip WARC files of the pages under path, in a folder for each class of size."""
-    of = size_class(F.octet_length(F.coalesce("html", F.lit(""))) + 1)
-    classes = sorted(r["of"] for r in pages.select(of.alias("of")).distinct().collect())  # some eight at most
-    rows = captures(pages)
+    known = marks(pages)
+    classes = sorted(r["of"] for r in known.select(size_class(F.col("bytes") + 1).alias("of")).distinct().collect())  # some eight at most
+    size = F.octet_length(F.coalesce("html", F.lit("")))
     for k in classes or [0]:
-        own = rows if len(classes) < 2 else rows.where(size_class(F.col("bytes") + 1) == k)
+        own = pages if len(classes) < 2 else pages.where(size_class(size + 1) == k)
         most = 3 * max(1, FILE_BYTES // (SMALL_PAGE * STEP**k))
-        writer = _records_of(own).write.option("lineSep", _END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        writer = _records_of(captures(own, known)).write.option("lineSep", _END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
         writer.option("maxRecordsPerFile", most).text(f"{path}/{k}")
 
 

@@ -102,12 +102,12 @@ def test_captures_of_any_layout(spark, layout):
     rows = [(i, f"http://h/{i % 7}", f"<p>{i % 300}</p>", "x") for i in range(2_000)] + [(5, "http://h/5", "<p>5</p>", "y")] * 3 + [(None, "u", "<p>5</p>", "z")] * 2 + [(9_000, None, None, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, own string")
     pages = {"scan": pages, "repartition": pages.repartition(13), "by key": pages.repartition(5, "html"), "sorted": pages.orderBy(F.rand(3))}[layout]
-    got = warc.captures(pages).select("page_id", "own", "url", "digest", "first").collect()
+    got = warc.captures(pages).select("page_id", "own", "url", "sha", "first").collect()
     assert len(got) == len(rows)
-    responses = collections.Counter(r.digest for r in got if r.first is None and r.page_id is not None)
+    responses = collections.Counter(r.sha for r in got if r.first is None and r.page_id is not None)
     assert len(responses) == 301 and set(responses.values()) == {1}
-    known = {(r.page_id, r.own, r.url, r.digest) for r in got if r.first is None}
-    assert all(tuple(r.first) in known for r in got if r.first) and len({(r.page_id, r.own, r.url, r.digest) for r in got}) == len(rows)
+    known = {(r.page_id, r.own, r.url, r.sha) for r in got if r.first is None}
+    assert all(tuple(r.first) in known for r in got if r.first) and len({(r.page_id, r.own, r.url, r.sha) for r in got}) == len(rows)
 
 
 def test_scores_don_t_depend_on_indexes(spark, monkeypatch):
