@@ -170,8 +170,9 @@ def _time_score(batch) -> Iterator[draws.Scored]:
     for rows, m in nulls.matrices(batch, tuple(_VALUES), "x0"):
         x = np.nan_to_num(np.stack([m[c] for c in _VALUES], axis=2))  # without energy there is no coherency
         n = x.shape[1]
-        if n >= 2 * NEAR:
-            yield draws.choices([k[rows] for k in keys], kw[rows][:, None, None] * x[:, NEAR : n - NEAR + 1])
+        if n < 2 * NEAR:
+            raise ValueError(f"signals of {n} samples have no lag that is {NEAR} samples from no shift")
+        yield draws.choices([k[rows] for k in keys], kw[rows][:, None, None] * x[:, NEAR : n - NEAR + 1])
 
 
 def _dyad_score(batch) -> Iterator[draws.Scored]:

@@ -61,7 +61,7 @@ def cube_label_null(spark: SparkSession, sf_dir: str, draws: int = DRAWS) -> Dat
     samples = at[2].cast("long")
     sample = at[1].cast("long") + F.floor(F.col("place") / samples)
     shown = [F.round(c, 6).alias(c) for c in ("effect", "null_mean", "null_sd", "z", "p_unadjusted", "p_maxt")]
-    return got.select(F.concat_ws("|", at[0], sample.cast("string")).alias("part"), (F.col("place") % samples).alias("place"), *shown)
+    return got.select(F.concat_ws("|", at[0], sample.cast("string")).alias("part"), (F.col("place") % samples).alias("place"), *shown, (F.col("p_maxt") < 0.05).alias("candidate"))
 
 
 _M = nulls.mix_sql
@@ -89,5 +89,6 @@ ORACLE = f"""WITH sg AS (
 )
 SELECT part, CAST(place AS BIGINT) AS place, round(max(effect), 6) AS effect, round(max(m), 6) AS null_mean, round(max(s), 6) AS null_sd, round(max(own), 6) AS z,
   round(CASE WHEN max(own) IS NULL THEN 1e0 ELSE (1 + count(CASE WHEN z >= abs(own) THEN 1 END)) * 1e0 / ({DRAWS} + 1) END, 6) AS p_unadjusted,
-  round(CASE WHEN max(own) IS NULL THEN 1e0 ELSE (1 + count(CASE WHEN top >= abs(own) THEN 1 END)) * 1e0 / ({DRAWS} + 1) END, 6) AS p_maxt
+  round(CASE WHEN max(own) IS NULL THEN 1e0 ELSE (1 + count(CASE WHEN top >= abs(own) THEN 1 END)) * 1e0 / ({DRAWS} + 1) END, 6) AS p_maxt,
+  CASE WHEN max(own) IS NULL THEN false ELSE (1 + count(CASE WHEN top >= abs(own) THEN 1 END)) * 1e0 / ({DRAWS} + 1) < 0.05 END AS candidate
 FROM mx GROUP BY part, place"""

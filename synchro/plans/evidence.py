@@ -26,8 +26,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behavior.choice_vectors(rows, ["conv_id"], "trial", "choice").select("conv_id", F.array_join("choices", "").alias("choices"))
 
 
-#: The stages of the event stream's units, by query; all state the effect.
-STAGES = {"observed": ("observed_effects", "block_effect"), "label": ("label_null_maxt", "effect"), "dyad": ("dyad_null_maxt", "effect"), "stability": ("candidate_audit", "effect")}
+#: The stages of the event stream's units, by query; all state the effect, and each computes it apart from the others: from trials' coefficients,
+#: beside a null, from sums by group, from leave-one-out totals, and from the groups' block effects put together again.
+STAGES = {"observed": ("observed_effects", "block_effect"), "label": ("label_null_maxt", "effect"), "bundle": ("effects_bundle", "block_effect"), "stability": ("candidate_audit", "effect"), "recombined": ("effect_reconciliation", "recombined")}
 
 
 def _runs() -> dict:

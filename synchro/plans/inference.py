@@ -195,6 +195,13 @@ FROM ob p JOIN (
 ) k ON k.u = p.u"""
 
 
+#: The older bootstrap, of group effects without weights: each unit's groups are a population of their own.
+UNWEIGHTED_SEED = 990100
+UNWEIGHTED = f""", up AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS pop, n, m FROM (SELECT u, count(*) AS n, avg(effect) AS m FROM ge GROUP BY u) q
+), ui AS (SELECT up.pop, up.n, effect AS x, row_number() OVER (PARTITION BY up.pop ORDER BY g) - 1 AS i FROM ge JOIN up ON up.u = ge.u
+)"""
+
+
 def _queries() -> dict:
     """A text, (more steps, text), or (null, more steps, text) where nu (r, u, e) is the null's realizations."""
     return {

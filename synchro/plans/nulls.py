@@ -200,6 +200,14 @@ def _rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "g").where("unit_a < unit_b").groupBy("unit_a", "unit_b").agg(F.round(F.corr("ka", "kb"), 6).alias("rank_correlation"))
 
 
+def _unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = f"WITH{inference.BASE}{inference.UNWEIGHTED}"
+    pops = saved(dialect.run(spark, sf_dir, steps + " SELECT u, pop, n, m FROM up"), "units")
+    rows = numbered(dialect.run(spark, sf_dir, steps + " SELECT g, pop, n, effect AS x FROM ge JOIN up ON up.u = ge.u"), [F.col("g")], "i", ["pop"])
+    rows = bootstrap.means(rows, inference.RESAMPLES, inference.UNWEIGHTED_SEED).groupBy("pop").agg(*(F.round(F.percentile("m", q), 6).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
+    return pops.join(rows, "pop").select(F.col("u").alias("unit"), F.lit(inference.RESAMPLES).cast("long").alias("draws"), F.round("m", 6).alias("mean"), "low", "high")
+
+
 def _with_null(kind: str, text: str) -> Callable:
     return lambda spark, sf_dir: dialect.run(spark, sf_dir, text, nu_rows=null(kind)(spark, sf_dir))
 
@@ -214,7 +222,7 @@ def frames() -> dict[str, Callable]:
     return {
         **{name: _with_null(kinds[name], text) for name, text in texts.items()},
         **{name: _with_resamples(text) for name, text in inference.boot_texts(", bs AS (SELECT r, u, e FROM {bs_rows})").items()},
-        "label_perm_coefficients": _coefficients, "derangements": _derangements, "null_gram": _gram, "cube_descriptives": _cube_descriptives, "rank_stability": _rank_stability,
+        "label_perm_coefficients": _coefficients, "derangements": _derangements, "null_gram": _gram, "cube_descriptives": _cube_descriptives, "rank_stability": _rank_stability, "unweighted_bootstrap": _unweighted,
     }
 
 
@@ -225,5 +233,7 @@ def oracles() -> dict[str, str]:
         **inference.boot_texts(inference.BOOT_STEPS),
         "label_perm_coefficients": base + inference.LABEL_STEPS + " SELECT r AS realization, count(*) AS n, round(sum(c) / sum(wn), 6) AS total, round(sum(CASE WHEN c > 0 THEN c ELSE 0 END) / sum(wn), 6) AS positive FROM pk GROUP BY r",
         "derangements": base + ", " + derange.derangements_sql("tt", inference.PARTNERS, inference.SEEDS["partner"]) + " SELECT r AS realization, g, h AS partner FROM de",
+        "unweighted_bootstrap": base + inference.UNWEIGHTED + ", " + draws.stream_sql("ui", inference.UNWEIGHTED_SEED, ["pop", "i"], ["n"], inference.RESAMPLES)
+        + ", bm AS (SELECT hs.r, hs.pop, avg(ui.x) AS m FROM hs JOIN ui ON ui.pop = hs.pop AND ui.i = h % hs.n GROUP BY hs.r, hs.pop) SELECT u AS unit, count(*) AS draws, round(max(up.m), 6) AS mean, round(PCT(bm.m, 0.025), 6) AS low, round(PCT(bm.m, 0.975), 6) AS high FROM bm JOIN up ON up.pop = bm.pop GROUP BY u",
         "null_gram": base + inference.LABEL_STEPS + ", pr AS (SELECT corr(a.e, b.e) AS x FROM nu a JOIN nu b ON a.r = b.r AND a.u < b.u GROUP BY a.u, b.u) SELECT CAST(6 AS BIGINT) AS n_units, count(*) AS n_pairs, round(min(x), 6) AS low, round(PCT(x, 0.5), 6) AS median, round(max(x), 6) AS high FROM pr",
     }.items()}

@@ -11,21 +11,27 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Settings that name paths; `.` leads into nested settings.
-PATHS = ("project_root", "dataset_root", "cleaned_dir", "results_root", "inference.artifact_sensitivity_mask")
+#: Settings that name paths and that every file has, and those that it may have; `.` leads into nested settings.
+PATHS = ("project_root", "dataset_root", "cleaned_dir", "results_root")
+OPTIONAL_PATHS = ("reference_preprocessing_repo", "inference.artifact_sensitivity_mask")
 
 
-def load(path: str, paths: tuple[str, ...] = PATHS) -> dict:
-    """A JSON file of settings; relative paths in it are taken from the folder above the file's own."""
+def load(path: str, paths: tuple[str, ...] = PATHS, optional: tuple[str, ...] = OPTIONAL_PATHS) -> dict:
+    """A JSON file of settings; relative paths in it are taken from the folder above the file's own.
+
+    A setting of `paths` that is missing is an error; one of `optional` is left out.
+    """
     path = os.path.realpath(os.path.expanduser(path))
     with open(path, encoding="utf-8") as f:
         settings = json.load(f)
     base = os.path.dirname(os.path.dirname(path))
-    for name in paths:
+    for name in (*paths, *optional):
         *inner, last = name.split(".")
         at = settings
         for k in inner:
             at = at.get(k, {})
+        if name in paths and last not in at:
+            raise KeyError(f"{path} lacks {name}")
         if at.get(last):
             at[last] = os.path.realpath(os.path.join(base, os.path.expanduser(at[last])))
     return settings

@@ -54,6 +54,12 @@ def pending(work: DataFrame, done_path: str, keys: list[str]) -> DataFrame:
     return work.join(spark.read.parquet(done_path).select(*keys).distinct(), keys, "left_anti")
 
 
+def done(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written at path to its end, so that its step can be left out; what a broken write left does not count."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def append(df: DataFrame, path: str, by: list[str]) -> None:
     """Add df's rows to the Parquet table at path, in folders by the given columns.
 

@@ -109,10 +109,15 @@ def test_running_sums(spark):
 
 def test_settings(spark, tmp_path):
     (tmp_path / "configs").mkdir()
-    own = {"dataset_root": "data", "results_root": "/abs/results", "inference": {"artifact_sensitivity_mask": "mask.npz", "alpha": 0.05}, "eligible_task_bands": [["b", "beta"], ["a", "alpha"]]}
+    own = {"project_root": ".", "cleaned_dir": "clean", "reference_preprocessing_repo": "other", "dataset_root": "data", "results_root": "/abs/results", "inference": {"artifact_sensitivity_mask": "mask.npz", "alpha": 0.05}, "eligible_task_bands": [["b", "beta"], ["a", "alpha"]]}
     (tmp_path / "configs" / "c.json").write_text(json.dumps(own))
     got = config.load(str(tmp_path / "configs" / "c.json"))
     assert got["dataset_root"] == str(tmp_path / "data") and got["results_root"] == "/abs/results" and got["inference"]["artifact_sensitivity_mask"] == str(tmp_path / "mask.npz")
+    assert got["reference_preprocessing_repo"] == str(tmp_path / "other") and got["project_root"] == str(tmp_path)
+    del own["cleaned_dir"]
+    (tmp_path / "configs" / "less.json").write_text(json.dumps(own))
+    with pytest.raises(KeyError, match="cleaned_dir"):
+        config.load(str(tmp_path / "configs" / "less.json"))
     assert [(r.task, r.band) for r in config.conditions(spark, got).orderBy("place").collect()] == [("b", "beta"), ("a", "alpha")]
     config.snapshot(spark, got, f"{tmp_path}/used")
     assert json.loads(spark.read.text(f"{tmp_path}/used", wholetext=True).first().value) == got

@@ -58,3 +58,12 @@ def test_an_append_that_is_tried_again_adds_nothing_twice(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).select("cell", "rep").collect())) == sorted(map(tuple, rows.collect()))
     with pytest.raises(ValueError):
         files.append(rows, path, [])
+
+
+def test_only_whole_tables_are_done(spark, tmp_path):
+    path = f"{tmp_path}/step"
+    assert not files.done(spark, path)
+    spark.range(3).write.parquet(path)
+    assert files.done(spark, path)
+    (tmp_path / "step" / "_SUCCESS").unlink()
+    assert not files.done(spark, path)
