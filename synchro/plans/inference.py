@@ -2,7 +2,7 @@
 
 Users are participants, three to a group; a user's events in order of time are trials, ten to a
 block; a trial is positive if all three participants cooperate.  A unit is a pair of participants
-and a measure of how close their values are.  Randomness is an MD5 order, so engines agree.
+and a measure of how close their values are.  Randomness is an integer hash, so engines agree.
 """
 
 from __future__ import annotations

@@ -20,4 +20,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | signals.oracles() | nulls.oracles() | evidence.oracles() | detection.oracles() | connectivity.oracles() | {"cube_label_null_maxt": cube.ORACLE}
+    return {name: dialect.duckdb_text(sql) for name, sql in _texts().items()} | signals.oracles() | nulls.oracles() | evidence.oracles() | detection.oracles() | reports.oracles() | connectivity.oracles() | {"cube_label_null_maxt": cube.ORACLE}

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap
+from ..operators.draws import stream_sql
 from ..operators.quantiles import quantiles
+from ..operators.ranks import numbered
 from ..sources.scratch import saved
 from . import dialect
 
@@ -39,18 +42,9 @@ ce AS (SELECT l_returnflag AS scenario, l_linestatus AS cell, l_suppkey AS rep,
   FROM cs
 )"""
 
-#: Resamples of each cell, a parameter of the text below.
-RESAMPLES = 2_000
-
-#: Each slot of a resample takes any of the cell's n rows, by an integer of its own digest modulo n.
-BOOTSTRAP = f""", ix AS (
-  SELECT scenario, cell, score, row_number() OVER (PARTITION BY scenario, cell ORDER BY rep) - 1 AS i, count(*) OVER (PARTITION BY scenario, cell) AS n FROM ce
-), dg AS (
-  SELECT a.scenario, a.cell, a.n, s.r AS r, md5(concat('990000|', s.r, '|', a.scenario, '|', a.cell, '|', a.i)) AS digest
-  FROM (SELECT SPREAD(scenario, cell, i) scenario, cell, i, n FROM ix) a CROSS JOIN SERIES({RESAMPLES}) s
-), dr AS (SELECT scenario, cell, r, INT32(digest) % n AS i FROM dg
-), bm AS (
-  SELECT dr.scenario, dr.cell, dr.r, avg(score) AS m FROM dr JOIN ix ON ix.scenario = dr.scenario AND ix.cell = dr.cell AND ix.i = dr.i GROUP BY dr.scenario, dr.cell, dr.r
+#: Resamples of each cell, which is a population of its own.
+RESAMPLES, SEED = 2_000, 990000
+POPULATIONS = """, fp AS (SELECT scenario, cell, n, row_number() OVER (ORDER BY scenario, cell) - 1 AS pop FROM cs
 )"""
 
 
@@ -71,8 +65,23 @@ def frames() -> dict:
     def run(text: str):
         return lambda spark, sf_dir: dialect.run(spark, sf_dir, text, robust_z=robust_z(spark, sf_dir))
 
+    def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+        steps = "WITH" + CELLS + POPULATIONS
+        pops = saved(dialect.run(spark, sf_dir, steps + " SELECT scenario, cell, n, pop FROM fp"), "cells")
+        rows = dialect.run(spark, sf_dir, steps + " SELECT pop, n, rep, score AS x FROM ce JOIN fp ON fp.scenario = ce.scenario AND fp.cell = ce.cell")
+        got = bootstrap.means(numbered(rows, [F.col("rep")], "i", ["pop"]), RESAMPLES, SEED).groupBy("pop").agg(F.count("*").alias("draws"), *(F.round(F.percentile("m", q), 6).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
+        return pops.join(got, "pop").select("scenario", "cell", "draws", "low", "high")
+
     names = ("qc_robust_z", "report_order", "sensitivity_mask", "retained_by_task", "mask_sources")
-    return {name: run(text.replace(QC, given)) for name, text in texts().items() if name in names}
+    return {name: run(text.replace(QC, given)) for name, text in texts().items() if name in names} | {"bootstrap_mean_ci": bootstrap_mean_ci}
+
+
+def oracles() -> dict[str, str]:
+    text = "WITH" + CELLS + POPULATIONS + f""", fi AS (SELECT fp.pop, fp.n, score AS x, row_number() OVER (PARTITION BY fp.pop ORDER BY rep) - 1 AS i FROM ce JOIN fp ON fp.scenario = ce.scenario AND fp.cell = ce.cell
+), {stream_sql("fi", SEED, ["pop", "i"], ["n"], RESAMPLES)}, bm AS (SELECT hs.r, hs.pop, avg(fi.x) AS m FROM hs JOIN fi ON fi.pop = hs.pop AND fi.i = h % hs.n GROUP BY hs.r, hs.pop
+)
+SELECT scenario, cell, count(*) AS draws, round(PCT(bm.m, 0.025), 6) AS low, round(PCT(bm.m, 0.975), 6) AS high FROM bm JOIN fp ON fp.pop = bm.pop GROUP BY scenario, cell"""
+    return {"bootstrap_mean_ci": dialect.duckdb_text(text)}
 
 
 def texts() -> dict[str, str]:
@@ -93,7 +102,6 @@ def texts() -> dict[str, str]:
         "topk_recall": (DETECT, "SELECT CAST(sum(CASE WHEN k <= n THEN y ELSE 0 END) AS BIGINT) AS hits, max(n) AS k, round(sum(CASE WHEN k <= n THEN y ELSE 0 END) * 1e0 / max(n), 6) AS recall FROM (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS k, CAST(sum(y) OVER () AS BIGINT) AS n FROM sc) q"),
         "wilson_fwer": (CELLS, "SELECT scenario, cell, n, k, round(rate, 6) AS rate, round(greatest(mid - half, 0), 6) AS low, round(least(mid + half, 1), 6) AS high FROM wi"),
         "scenario_rollup": (CELLS, "SELECT scenario, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS repetitions, round(avg(rate), 6) AS mean_rate, round(avg(score), 6) AS mean_score FROM wi GROUP BY scenario"),
-        "bootstrap_mean_ci": (CELLS + BOOTSTRAP, "SELECT scenario, cell, count(*) AS draws, round(PCT(m, 0.025), 6) AS low, round(PCT(m, 0.975), 6) AS high FROM bm GROUP BY scenario, cell"),
         "choice_normalise": "SELECT event_id, CASE WHEN upper(trim(event_type)) IN ('CLICK', 'PURCHASE', 'SIGNUP') THEN 'C' WHEN upper(event_type) LIKE '%ERR%' OR upper(event_type) LIKE '%VIEW%' THEN 'D' END AS choice FROM {events}",
         "role_counts": "SELECT lower(trim(role)) AS role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM {conversations} GROUP BY lower(trim(role))",
         "priority_decode": "SELECT o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, count(*) AS n FROM {orders} GROUP BY o_orderpriority",
