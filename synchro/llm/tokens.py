@@ -4,7 +4,8 @@ Both tokenizers cut a text by a pattern and encode every cut by itself.  In a te
 letters the ends of runs of letters and digits, of other marks and of white space are always cuts,
 so a text's ids are its pieces' ids one after the other, and pieces repeat.  Pieces are found and
 looked up by a 64-bit hash with numpy, for a chunk of texts at once; new ones go to the library.  What is found is
-compared by length and bytes, so equal hashes of unequal pieces do no harm: such a text goes to the library whole.
+compared by length and bytes (those of over 16 bytes all, others by a second, independent mark), so equal hashes of unequal
+pieces do no harm: such a text goes to the library whole.
 
 Any other text goes to the library whole: with characters beyond U+024F (marks, other scripts, wide
 spaces), in U+0080-U+00BF, U+00D7, U+00F7 or U+0130, controls \\x1c-\\x1f, apostrophes (contractions)
@@ -67,21 +68,27 @@ def pieces(data: np.ndarray, at: np.ndarray, keeps_space: bool) -> tuple[np.ndar
 
 
 class Memory:
-    """Open-addressing table from piece hashes to ids, in arrays."""
+    """Open-addressing table from piece hashes to ids, in arrays: a slot has 32 bits of the hash, and a piece's other mark tells whether it is the one."""
 
     def __init__(self):
-        self.slots, self.values = np.zeros(1 << SLOT_BITS, _U64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots, self.values = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int32)
         self.first, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
-        # the pieces themselves: length, first and last eight bytes, and those of over 16 bytes by place
-        self.looks, self.long = np.zeros((3, 1024), _U64), {}
+        # what the pieces look like, and those of over 16 bytes by place
+        self.looks, self.long = np.zeros(1024, _U64), {}
+
+    @staticmethod
+    def _start(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each hash that its slot holds (never 0), and where to look for it first."""
+        return (h & _U64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1), (h >> _U64(64 - SLOT_BITS)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 if unknown."""
         out = np.full(len(h), -1, np.int64)
-        left, slot = np.arange(len(h)), (h >> _U64(64 - SLOT_BITS)).astype(np.int64)
+        tag, slot = self._start(h)
+        left = np.arange(len(h))
         while len(left):
             there = self.slots[slot]
-            hit = there == h[left]
+            hit = there == tag[left]
             out[left[hit]] = self.values[slot[hit]]
             on = ~hit & (there != 0)
             left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
@@ -91,28 +98,29 @@ class Memory:
         """New distinct hashes and their ids, one after the other, and what the pieces look like."""
         while self.n + len(h) + 1 > len(self.first):
             self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-            self.looks = np.concatenate((self.looks, np.zeros_like(self.looks)), axis=1)
-        self.looks[:, self.n : self.n + len(h)] = looks
+            self.looks = np.concatenate((self.looks, np.zeros_like(self.looks)))
+        self.looks[self.n : self.n + len(h)] = looks
         self.long.update((self.n + i, x) for i, x in enumerate(raw) if len(x) > 16)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(ids)] = ids
         self.first[self.n + 1 : self.n + 1 + len(h)] = self.used + np.cumsum(sizes)
         value = np.arange(self.n, self.n + len(h), dtype=np.int32)
-        left, slot = np.arange(len(h)), (h >> _U64(64 - SLOT_BITS)).astype(np.int64)
+        tag, slot = self._start(h)
+        left = np.arange(len(h))
         while len(left):
             free = self.slots[slot] == 0
-            self.slots[slot[free]] = h[left[free]]
-            won = free & (self.slots[slot] == h[left])
+            self.slots[slot[free]] = tag[left[free]]
+            won = free & (self.slots[slot] == tag[left])
             self.values[slot[won]] = value[left[won]]
             left, slot = left[~won], (slot[~won] + 1) & ((1 << SLOT_BITS) - 1)
         self.n, self.used = self.n + len(h), self.used + len(ids)
 
-    def unlike(self, places: np.ndarray, looks: np.ndarray, data: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Whether the piece at each place has other bytes than the one that was looked up."""
-        bad = (self.looks[:, places] != looks).any(0)
-        for i in np.flatnonzero((looks[0] > 16) & ~bad):
-            bad[i] = self.long[int(places[i])] != data[s[i] : s[i] + int(looks[0, i])].tobytes()
+    def unlike(self, places: np.ndarray, looks: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Whether the piece at each place is another one than was looked up."""
+        bad = self.looks[places] != looks
+        for i in np.flatnonzero((e - s > 16) & ~bad):
+            bad[i] = self.long.get(int(places[i])) != data[s[i] : e[i]].tobytes()
         return bad
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +132,13 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U64)
 
 
 def appearance(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Length, first and last eight bytes of the ranges."""
+    """64 bits of each range's length, first and last eight bytes, apart from its hash: one to one for up to eight bytes of one length."""
     word, size = words_at(data), e - s
+    if not len(s):
+        return np.zeros(0, _U64)
     mask = _MASKS[np.minimum(size, 8)]
-    return np.stack((size.astype(_U64), word[s] & mask, word[np.maximum(e - 8, s)] & mask)) if len(s) else np.zeros((3, 0), _U64)
+    first, last = word[s] & mask, np.where(size > 8, word[np.maximum(e - 8, s)] & mask, 0)
+    return C.mix(C.mix(first + size.astype(_U64) * _U64(0x9FB21C651E98DF25)) + last * _U64(0xD6E8FEB86659FD93))
 
 
 def ragged(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,9 +212,9 @@ class Encoder:
             blank = np.array([p.isspace() for p in spans])
             for part in (np.flatnonzero(blank), np.flatnonzero(~blank)):
                 ids, sizes = self._learned([spans[k] for k in part])
-                memory.add(fresh[part], ids, sizes, looks[:, new[example[part]]], [spans[k] for k in part])
+                memory.add(fresh[part], ids, sizes, looks[new[example[part]]], [spans[k] for k in part])
             place[new] = memory.find(fresh)[back]
-        bad = memory.unlike(place, looks, data, s)
+        bad = memory.unlike(place, looks, data, s, e)
         if bad.any():
             odd = odd.copy()
             odd[row[bad]] = True
