@@ -46,6 +46,8 @@ def derangements(groups: DataFrame, wanted: int, seed: int, families: int = 1) -
     if not n:
         return groups.sparkSession.createDataFrame([], schema)
     tried = ceil(CANDIDATES * wanted) + 64
+    # a number: candidates are work, however few bytes the groups are
+    spread = groups.select("g", "i").repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")
 
     def fixed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -60,7 +62,7 @@ def derangements(groups: DataFrame, wanted: int, seed: int, families: int = 1) -
         hit = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(hit)], names=["c"])
 
-    some = {r["c"] for r in groups.select("i").mapInArrow(fixed, "c long").distinct().collect()}  # numbers of candidates: a parameter bounds them
+    some = {r["c"] for r in spread.select("i").mapInArrow(fixed, "c long").distinct().collect()}  # numbers of candidates: a parameter bounds them
     chosen = []
     for f in range(families):
         own = [c for c in range(f * tried, (f + 1) * tried) if c not in some][:wanted]
@@ -80,7 +82,7 @@ def derangements(groups: DataFrame, wanted: int, seed: int, families: int = 1) -
                 k = np.repeat(np.arange(a, a + len(to)), len(places))
                 yield pa.RecordBatch.from_arrays([pa.array((k // wanted).astype(np.int32)), pa.array(k % wanted), pa.array(np.tile(g, len(to))), pa.array(to.ravel())], names=["f", "r", "g", "to"])
 
-    out = groups.select("g", "i").mapInArrow(partners, "f int, r long, g long, to long")
+    out = spread.mapInArrow(partners, "f int, r long, g long, to long")
     return out.join(groups.select(F.col("g").alias("h"), F.col("i").alias("to")), "to").select("f", "r", "g", "h")
 
 
