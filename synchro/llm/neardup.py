@@ -27,6 +27,8 @@ Other columns of the input are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,6 +51,8 @@ LEAST_ESTIMATE = 0.55
 FEW = 8
 #: Documents whose ids are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a shingle that make up one block; pairs are looked for in cells of two blocks.
+CELL = 512
 
 _U64 = np.uint64
 _SEED = C.mix(np.arange(1, M + 1, dtype=_U64) * _U64(0x2545F4914F6CDD1D))
@@ -201,12 +205,12 @@ def _size_fits(x: str, y: str):
     return 100 * F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= PERCENT * F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
 
 
-def _across(rows: DataFrame, key: str, fits=_size_fits) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and fit by size."""
+def _across(rows: DataFrame, keys: list[str], fits=_size_fits) -> DataFrame:
+    """Pairs (a, b) that share the keys, lie in different components and fit by size."""
     x, y = rows.alias("x"), rows.alias("y")
     return x.join(
         y,
-        (F.col(f"x.{key}") == F.col(f"y.{key}"))
+        reduce(and_, (F.col(f"x.{key}") == F.col(f"y.{key}") for key in keys))
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component"))
         & fits("x", "y"),
@@ -228,7 +232,8 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """
     docs = rows.select("rep", "component", "n_shingles").distinct()
     each = docs.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", F.explode("items").alias("item")).distinct()
-    often = each.groupBy("item").agg(F.count("*").alias("f"))
+    # aggregates by shingle are written before they are joined: Spark then sends small ones to all tasks and splits skewed ones
+    often = C.saved(each.groupBy("item").agg(F.count("*").alias("f")), "often")
     first = F.col("n") - F.ceil(F.col("n") * (PERCENT / 100)) + 1
     prefix = each.join(often, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("o"))
     prefix = prefix.withColumn("n", F.size("o")).select("rep", F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("place", "s"))
@@ -236,11 +241,33 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = C.saved(prefix, "prefixes")
     # a partner has as many shingles as the item's smallest set at least: rows that could not even meet that one go.
     # So a shingle of a whole family stays only in the sets that have it early, and these are mostly one component.
-    smallest = prefix.groupBy("item").agg(F.min("n_shingles").alias("smallest"))
+    smallest = prefix.groupBy("item").agg(F.min("n_shingles").alias("smallest"), F.min("component").alias("low"), F.max("component").alias("high"))
+    smallest = C.saved(smallest.where("low < high").select("item", "smallest"), "smallest")
     can = (100 + PERCENT) * (F.col("n_shingles") - F.col("place")) >= PERCENT * (F.col("n_shingles") + F.col("smallest"))
-    prefix = prefix.join(smallest, "item").where(can).drop("smallest")
-    mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return _across(C.saved(prefix.join(mixed.select("item"), "item"), "early"), "item", _place_fits)
+    return _met(_dealt(C.saved(prefix.join(smallest, "item").where(can).drop("smallest"), "early")))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with block and cell (low, high): all pairs across components of a shingle's rows meet in one cell, of two blocks at most.
+
+    A shingle's largest component meets the others only, and these each other too, so copies of a row are at most some
+    three in CELL of the pairs to look at; shingles of one component go.
+    """
+    of = rows.groupBy("item", "component").agg(F.count("*").alias("c"))
+    of = of.groupBy("item").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("f")).where("most.c < f")
+    blocks = lambda n: F.ceil(n / CELL).cast("int")
+    of = of.select("item", F.col("most.component").alias("main"), blocks(F.col("most.c")).alias("mains"), blocks(F.col("f") - F.col("most.c")).alias("others"))
+    rows = rows.join(C.saved(of, "blocks"), "item").withColumn("last", F.col("mains") + F.col("others") - 1)
+    main, at = F.col("component") == F.col("main"), F.xxhash64("rep")
+    rows = rows.withColumn("block", F.when(main, F.pmod(at, "mains")).otherwise(F.col("mains") + F.pmod(at, "others")).cast("int"))
+    rows = rows.withColumn("meets", F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), "last")))
+    return rows.withColumn("low", F.least("block", "meets")).withColumn("high", F.greatest("block", "meets"))
+
+
+def _met(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a cell's rows; rows of one block meet in that block's own cell only."""
+    apart = (F.col("x.block") != F.col("y.block")) | (F.col("x.low") == F.col("x.high"))
+    return _across(cells, ["item", "low", "high"], lambda x, y: _place_fits(x, y) & apart)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -276,9 +303,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.select("k", "rep", "n_shingles").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("of"))
-    split = split.where("low < high").select("k", "of")
+    split = C.saved(split.where("low < high").select("k", "of"), "split")
     placed = C.saved(placed.join(split, "k"), "unsettled")
-    across = _across(placed.where(F.col("of") <= FEW), "k").unionByName(_prefix_pairs(placed.where(F.col("of") > FEW), sets))
+    across = _across(placed.where(F.col("of") <= FEW), ["k"]).unionByName(_prefix_pairs(placed.where(F.col("of") > FEW), sets))
     across = across.distinct().join(looked, ["a", "b"], "left_anti")
     more = C.saved(_confirmed(_likely(across, reps), sets), "more-links")
     # these join whole components

@@ -349,3 +349,31 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.scratch_dir(Session())
+
+
+def test_rows_of_a_frequent_shingle_are_dealt_to_cells(spark, monkeypatch):
+    """10,000 copies with edits share a shingle: each pair across components is found once, and no cell holds many rows."""
+    rng = np.random.default_rng(5)
+    rows = [("hot", i, 0 if i % 50 else i, 100 + int(rng.integers(0, 4)), int(rng.integers(0, 20))) for i in range(10_000)]
+    rows += [("two", i, i % 2, 40 + i % 30, i % 9) for i in range(60)] + [("one", i, 3, 50, 0) for i in range(40)] + [("single", 9, 9, 50, 1)]
+    df = spark.createDataFrame(rows, "item string, rep long, component long, n_shingles long, place int")
+    monkeypatch.setattr(neardup, "CELL", 128)
+    cells = neardup._dealt(df)
+    sizes = cells.groupBy("item", "low", "high").count().toPandas()
+    assert sizes["count"].max() < 4 * 128
+    assert sizes["count"].sum() < 10_000 * 3 + 300 * 80
+    got = [(item, r["a"], r["b"]) for item in ("hot", "two", "one", "single") for r in neardup._met(cells.where(f"item = '{item}'")).collect()]
+
+    def fits(x, y):
+        left = min(x[3] - x[4], y[3] - y[4])
+        return 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]) and 175 * left >= 75 * (x[3] + y[3])
+
+    want = set()
+    for item in ("hot", "two", "one"):
+        own = [r for r in rows if r[0] == item]
+        few = [r for r in own if r[2] != 0] if item == "hot" else own
+        for x in few:
+            for y in own:
+                if x[2] != y[2] and fits(x, y):
+                    want.add((item, min(x[1], y[1]), max(x[1], y[1])))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100_000
