@@ -112,9 +112,11 @@ def _met(batches: Iterator) -> Iterator:
 
 def _partner_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    de = saved(derange.derangements(groups(spark, sf_dir), inference.PARTNERS, inference.SEEDS["partner"], len(NAMES)), "derangements")
-    mine = blocks(spark, sf_dir).select("g", "b", "kw", "v0", "v1", "v2")
-    other = blocks(spark, sf_dir, informative=False).select(F.col("g").alias("h"), "b", *(F.col(f"v{p}").alias(f"o{p}") for p in range(3)))
+    every = saved(blocks(spark, sf_dir, informative=False), "blocks")  # the events are read once
+    places = saved(numbered(every.select("g").distinct(), [F.col("g")]), "groups")
+    de = saved(derange.derangements(places, inference.PARTNERS, inference.SEEDS["partner"], len(NAMES)), "derangements")
+    mine = every.where("exists(kw, x -> x <> 0)").select("g", "b", "kw", "v0", "v1", "v2")  # blocks of both classes
+    other = every.select(F.col("g").alias("h"), "b", *(F.col(f"v{p}").alias(f"o{p}") for p in range(3)))
     met = de.select("g", "h").distinct().repartition(partitions, "g", "h").join(mine, "g").join(other, ["h", "b"])
     sums = ", ".join(f"x{i} double" for i in range(len(NAMES)))
     pairs = met.select("g", "h", "kw", "v0", "v1", "v2", "o0", "o1", "o2").mapInArrow(_met, f"g long, h long, {sums}")
