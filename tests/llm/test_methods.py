@@ -136,6 +136,33 @@ def test_formats_are_found_in_documents(spark):
     assert secret_scan.fit(docs.limit(0)) is None and secret_scan.scanned(docs.limit(0), None).count() == 0
 
 
+def test_formats_come_from_all_values(spark):
+    """A format of ten values among thousands of others is in a language, and frequencies are those of all values."""
+    rng = np.random.default_rng(5)
+    draw = lambda n, size: ["".join(map(chr, rng.choice(list(b"0123456789"), size))) for _ in range(n)]
+    common_, rare = draw(3000, 20), [f"zq_{v}_qz" for v in draw(10, 24)]
+    rows = [(i, f'token = "{v}" it is') for i, v in enumerate(common_ + rare)]
+    rows += [(5000 + i, " ".join(w.decode() for w in _ordinary(rng, 60)[:60])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.fit(docs)
+    inside = lambda values: [any(x > -np.inf for x in own) for own in zip(*(secret_scan.log_likelihoods(t, *secret_scan._joined([v.encode() for v in values])) for t in model["good"]), strict=True)]
+    assert all(inside(common_ + rare))
+    # frequencies are those of all 3,010 values, not of those that gave the states
+    automaton = secret_scan.Automaton([b"ab"] * 5 + [b"ac"] * 5)
+    data, s, e = secret_scan._joined([b"ab"] * 900 + [b"ac"] * 100)
+    automaton.recount(secret_scan.steps(automaton.tables(), data, s, e))
+    assert np.exp(secret_scan.log_likelihoods(automaton.tables(), data, s[-101:], e[-101:])[[0, -1]]) == pytest.approx([0.9, 0.1])
+
+
+def test_chain_of_ordinary_runs():
+    """Every context's shares sum to one, and a run's triples are counted once, its end included."""
+    data, s, e = secret_scan._joined([b"abab", b"b"])
+    n = secret_scan.triples(data, s, e)
+    assert n.sum() == 7
+    _, step, end = secret_scan.chain(n)
+    assert np.exp(step).sum(1) + np.exp(end) == pytest.approx(np.ones(len(end)), abs=1e-5)
+
+
 # ------------------------------------------------------------------ personal data
 
 
