@@ -285,7 +285,7 @@ def test_forest_and_threshold_from_all_rows(spark, monkeypatch):
         again.grow(*again.ranges(x, mark))
     assert (again.cut == forest.cut).all() and (again.path == forest.path).all()
     assert (forest.cut[mark[-2:], 1] != 0).all() and np.abs(forest.cut[:, 1]).max() > 1  # the two far rows are in their trees
-    labels = spark.createDataFrame([(i, 1 - (i >= 6000)) for i in range(6002)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, 1 - (i >= 5990)) for i in range(6002)], "doc_id long, quality int")
     assert quality_rules.fit_measured(table, labels)[1] > 0
     assert common.least_errors(np.array([5.0, 0, 1]), np.array([0, 1.0, 9])) == 1
 
