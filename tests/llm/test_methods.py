@@ -269,6 +269,16 @@ def test_gradient_of_the_field_against_differences():
         assert (x.T @ p)[k] * -1 / math.expm1(z[0]) == pytest.approx(bad, abs=1e-5)
 
 
+def test_vocabulary_of_all_training_rows(spark):
+    """All labelled rows outside the fold count, more than 3,000 of them, and a word of three texts has a tag."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('plain ', if(id % 2000 = 1, 'zzz', 'qqq')) AS text")
+    rows = toxicity.training_rows(docs, spark.range(5000).selectExpr("id AS doc_id", "int(id % 10 = 0) AS toxic"))
+    tags, seen = toxicity.vocabulary(rows)
+    n = rows.count()
+    assert n > 3800 and seen.sum((0, 1)).max() == n and (tags != 0).sum() >= 2
+    assert toxicity.encoded(rows, tags).count() == n
+
+
 def test_forest_and_threshold_from_all_rows(spark, monkeypatch):
     """The nodes' ranges are those of all rows, in every batch alike, and all labelled rows are counted."""
     monkeypatch.setattr(quality_rules, "SUBSAMPLE", 8)
