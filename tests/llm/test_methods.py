@@ -208,6 +208,27 @@ def test_span_classifier_refuses_decoys(spark):
 # ------------------------------------------------------------------ toxicity
 
 
+def test_words_and_stems_share_one_pass_over_the_bytes(monkeypatch):
+    """Keys of a text are hashes of its words and of their first 4, 6 and 8 characters; the bytes are summed up once for all of them."""
+    texts = ["Abcd abcde ABCDEFGHIJ äöüßé äöüß naïvetés a", "", "日本語テキストです ok", "x1y2z3w4v5"]
+    _, _, data, at = next(common.chunks(pa.array(texts)))
+    calls, sums = [], common.feature_sums
+    monkeypatch.setattr(common, "feature_sums", lambda *a, **k: calls.append(1) or sums(*a, **k))
+    h, first = toxicity.keys(data, at)
+    assert len(calls) == 1
+
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return common.feature_hashes(raw, np.array([0]), np.array([len(raw)]), fold_case=True)
+
+    words = [w for t in texts for w in t.split()]
+    assert first.tolist() == [0, 7, 7, 9, 10] and len(h) == len(words)
+    for own, w in zip(h, words, strict=True):
+        assert own[0] == hashed(w)[0]
+        for k, size in enumerate(toxicity.STEMS):
+            assert own[k + 1] == (common.mix(hashed(w[:size]) + np.uint64(size))[0] if len(w) > size else 0)
+
+
 def test_convolution_and_pooling_against_loops():
     rng = np.random.default_rng(6)
     texts = ["one two three four five six", "", "seven", "two two seven nine ten eleven twelve one", "Überwältigend größere Straßenbahnhaltestellen"]
