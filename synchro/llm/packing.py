@@ -121,7 +121,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keeps_space: b
         packer.close(False)
         yield packer.batch(part)
 
-    pieces = C.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "pieces")
+    with C.small_batches(docs.sparkSession):
+        pieces = C.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "pieces")
     out = [pieces.where("not is_open")]
     left, merging = pieces.where("is_open"), 0
     while True:

@@ -72,10 +72,17 @@ class Memory:
 
     def __init__(self):
         self.slots, self.values = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int32)
-        self.first, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        self.first, self.ids, self.n, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0, 0
         # what the pieces look like, and those of over 16 bytes by place
         self.looks, self.long = np.zeros(1024, _U64), {}
 
+    def _make_room(self, n: int, *names: str) -> None:
+        """Lengthen arrays to n or more in place, by a quarter at least; nothing outside holds them."""
+        for name in names:
+            old = getattr(self, name)
+            if n > len(old):
+                old.resize(max(n, len(old) * 5 // 4), refcheck=False)
+
     @staticmethod
     def _start(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The part of each hash that its slot holds (never 0), and where to look for it first."""
@@ -96,13 +103,12 @@ class Memory:
 
     def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, looks: np.ndarray, raw: list[bytes]) -> None:
         """New distinct hashes and their ids, one after the other, and what the pieces look like."""
-        while self.n + len(h) + 1 > len(self.first):
-            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-            self.looks = np.concatenate((self.looks, np.zeros_like(self.looks)))
+        self._make_room(self.n + len(h) + 1, "first", "looks")
         self.looks[self.n : self.n + len(h)] = looks
         self.long.update((self.n + i, x) for i, x in enumerate(raw) if len(x) > 16)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        if len(ids) and ids.max() > np.iinfo(self.ids.dtype).max:  # ids take two bytes as long as all of them fit
+            self.ids = self.ids.astype(np.uint32)
+        self._make_room(self.used + len(ids), "ids")
         self.ids[self.used : self.used + len(ids)] = ids
         self.first[self.n + 1 : self.n + 1 + len(h)] = self.used + np.cumsum(sizes)
         value = np.arange(self.n, self.n + len(h), dtype=np.int32)
@@ -125,7 +131,8 @@ class Memory:
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the places one after the other, and how many each has."""
-        return ragged(self.ids, self.first[places], self.first[places + 1] - self.first[places])
+        ids, sizes = ragged(self.ids, self.first[places], self.first[places + 1] - self.first[places])
+        return ids.astype(np.uint32), sizes
 
 
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U64)

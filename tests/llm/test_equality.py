@@ -121,3 +121,35 @@ def test_scores_don_t_depend_on_indexes(spark, monkeypatch):
     parts = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
     assert len(whole) >= 40 and [r[:2] for r in whole] == [r[:2] for r in parts]
     assert [x for r in parts for x in r[2:]] == pytest.approx([x for r in whole for x in r[2:]], abs=1e-6)
+
+
+def test_packing_hands_tasks_few_rows_at_a_time(spark, monkeypatch):
+    """Encoders and windows lie beside the batches, so these are small; the session's setting is there again afterwards."""
+    name, seen, saved = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, common.saved
+    before = spark.conf.get(name)
+    monkeypatch.setattr(common, "saved", lambda df, what: seen.setdefault(what, int(spark.conf.get(name))) and saved(df, what))
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    pieces = packing.packed(docs, token_files.tokenizer_path(packing.TOKENIZER))
+    assert pieces.agg({"length": "sum"}).first()[0] == sum(len(tokens.Encoder.of(token_files.tokenizer_path(packing.TOKENIZER), False).whole(f"text {i}")) + 1 for i in range(2500))
+    assert 0 < seen["pieces"] <= common.BATCH_ROWS and spark.conf.get(name) == before
+    with common.small_batches(spark):
+        rows = spark.range(0, 2500, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r.n for r in rows) <= common.BATCH_ROWS and sum(r.n for r in rows) == 2500
+
+
+def test_memory_of_pieces_is_tight_and_keeps_wide_ids():
+    """Ids take two bytes until one needs more, arrays grow by a quarter, and all ids come back as they went in."""
+    memory, rng = tokens.Memory(), np.random.default_rng(4)
+    h = np.unique(rng.integers(1, 1 << 63, 300_000).astype(np.uint64))
+    sizes = rng.integers(1, 5, len(h))
+    ids = rng.integers(0, 50_000, sizes.sum()).astype(np.uint32)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for a in range(0, len(h), 10_000):
+        b = min(a + 10_000, len(h))
+        memory.add(h[a:b], ids[at[a] : at[b]], sizes[a:b], h[a:b], [b"x"] * (b - a))
+    assert memory.ids.nbytes <= 2.5 * len(ids) + 10_000 and len(memory.first) <= 1.25 * len(h) + 10_000
+    got, n = memory.gather(memory.find(h))
+    assert got.dtype == np.uint32 and (got == ids).all() and (n == sizes).all()
+    memory.add(np.array([5], np.uint64), np.array([70_000, 3], np.uint32), np.array([2]), np.array([5], np.uint64), [b"y"])
+    got, n = memory.gather(memory.find(np.concatenate((h, [np.uint64(5)]))))
+    assert (got == np.concatenate((ids, [70_000, 3]))).all()
