@@ -343,7 +343,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 columns = [ids.take(pa.array(got[0], pa.int64())), names.take(pa.array(got[1], pa.int64())), *(pa.array(x, pa.float64()) for x in got[2:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 
-        found = docs.mapInArrow(run, schema)
+        with C.small_batches(spark):
+            found = C.saved(docs.mapInArrow(run, schema), "leaks")
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -272,6 +272,11 @@ def _met(cells: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    with C.small_batches(docs.sparkSession):  # all that runs Python is written in here
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     sk = C.saved(sketches(docs), "sketches")
     keys = ["d1", "d2", "n_shingles"]
     groups = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(keys).agg(F.min("doc_id").alias("rep"))

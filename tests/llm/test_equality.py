@@ -137,6 +137,21 @@ def test_packing_hands_tasks_few_rows_at_a_time(spark, monkeypatch):
     assert max(r.n for r in rows) <= common.BATCH_ROWS and sum(r.n for r in rows) == 2500
 
 
+def test_stages_hand_tasks_few_rows_at_a_time(spark, sf_dir, monkeypatch):
+    """What runs Python in toxicity, near-dedup and decontamination runs with small batches; the session's setting is there again afterwards."""
+    name, seen, saved = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, common.saved
+    before = spark.conf.get(name)
+    monkeypatch.setattr(common, "saved", lambda df, what: seen.setdefault(what, int(spark.conf.get(name))) and saved(df, what))
+    for step in ("vocabulary", "trained", "_steps"):
+        monkeypatch.setattr(toxicity, step, lambda *a, step=step, f=getattr(toxicity, step): seen.setdefault(step, int(spark.conf.get(name))) and f(*a))
+    docs = common.documents(spark, sf_dir)
+    for stage in (toxicity.stage, neardup.stage, decontaminate.stage):
+        plan = stage(spark, docs, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and spark.conf.get(name) == before  # what is still to run has no Python
+    assert {"vocabulary", "encoded", "trained", "_steps", "scores", "sketches", "pairs", "sets", "more-links", "leaks"} <= set(seen)
+    assert {k: v for k, v in seen.items() if v > common.BATCH_ROWS} == {}
+
+
 def test_memory_of_pieces_is_tight_and_keeps_wide_ids():
     """Ids take two bytes until one needs more, arrays grow by a quarter, and all ids come back as they went in."""
     memory, rng = tokens.Memory(), np.random.default_rng(4)
