@@ -281,6 +281,20 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     keys = ["d1", "d2", "n_shingles"]
     groups = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(keys).agg(F.min("doc_id").alias("rep"))
     groups = C.saved(groups, "classes")
+    path = C.scratch_path(docs.sparkSession, "components")
+    with C.passing(docs.sparkSession):
+        parts = C.written(_parts(docs, sk, groups, keys), path)
+
+    rows = sk.select("doc_id", *keys).join(groups, keys, "left")
+    rows = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    )
+
+
+def _parts(docs: DataFrame, sk: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """node, component of every class that has links, from sketches and classes."""
     reps = C.saved(
         sk.join(groups, keys).where(F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "bands").dropDuplicates(["rep", "bands"]), "class-sketches"
     )
@@ -320,14 +334,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     joined = C.saved(components(more).select(F.col("node").alias("part"), F.col("component").alias("whole")), "joined")
     known = parts.unionByName(joined.select(F.col("part").alias("node"), F.col("part").alias("component"))).distinct()
     parts = known.join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
-    parts = C.saved(parts.distinct(), "components")
-
-    rows = sk.select("doc_id", *keys).join(groups, keys, "left")
-    rows = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    )
+    return parts.distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -336,7 +343,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id."""
-    return C.without(docs, near_duplicates(docs).where(~F.col("kept")))
+    path = C.scratch_path(spark, "copies")
+    with C.passing(spark):
+        gone = C.written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), path)
+    return C.without(docs, gone)
 
 
 ORACLE = """
