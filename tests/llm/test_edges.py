@@ -119,3 +119,18 @@ def test_training_texts_are_bounded(spark, monkeypatch):
     assert common.training_sample(docs, marks, "toxic", 5, 0, 100).count() > 10
     monkeypatch.setattr(common, "TRAIN_BYTES", 10_000)
     assert common.training_sample(docs, marks, "toxic", 5, 0, 100).count() == 10
+
+
+def test_toxicity_learns_from_labelled_texts_without_words(spark):
+    """A row without words gives no response: it neither fails a training step nor moves an embedding or a filter."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN '#*! |' WHEN id % 4 = 2 THEN 'you are awful' ELSE 'a fine day' END AS text").repartition(3)
+    marks = spark.range(400).selectExpr("id AS doc_id", "int(id % 4 = 2) AS toxic")
+    rows = toxicity.score_texts(docs, toxicity.fit(docs, marks)).join(marks, "doc_id").collect()
+    assert len(rows) == 400 and all((r.score >= 0.5) == (r.toxic == 1) for r in rows)
+    wordless = docs.where("doc_id % 4 < 2").coalesce(1)  # a batch, and a task, of nothing else
+    tags, seen = toxicity.vocabulary(toxicity.training_rows(wordless, marks))
+    assert not tags.any() and not seen.any()
+    net, pad = toxicity.Net(np.zeros(toxicity.BUCKETS)), max(toxicity.WIDTHS) - 1
+    before = {k: v.copy() for k, v in net.p.items()}
+    net.step(np.zeros((2 * pad, 1 + len(toxicity.STEMS)), np.uint16), np.array([0, pad, 2 * pad]), np.array([0.0, 1.0]), np.array([1.0, 1.0]))
+    assert all((net.p[k] == before[k]).all() for k in ("E", "W3", "b3")) and all(np.isfinite(v).all() for v in net.p.values())
