@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, derange, draws, gram
+from ..operators import bootstrap, derange, draws, gram, partners
 from ..operators.quantiles import quantiles
 from ..operators.ranks import numbered
 from ..sources.scratch import saved
@@ -95,34 +95,42 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved(numbered(dialect.run(spark, sf_dir, f"WITH{inference.BASE} SELECT DISTINCT g FROM tt"), [F.col("g")]), "groups")
 
 
-def _met(batches: Iterator) -> Iterator:
-    """g, h, x0..: sums over the trials of a block that both groups have."""
-    import pyarrow as pa
+#: Trials of a group that one row has.
+SLAB = 256
 
-    for batch in batches:
-        size = [np.diff(batch.column(c).offsets.to_numpy()) for c in ("kw", "o0")]
-        parts = {c: (batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy()[:-1]) for c in ("kw", "v0", "v1", "v2", "o0", "o1", "o2")}
-        out, least = np.zeros((batch.num_rows, len(NAMES))), np.minimum(*size)
-        for n in np.unique(least[least > 0]):
-            rows = np.flatnonzero(least == n)
-            m = {c: flat[first[rows][:, None] + np.arange(n)] for c, (flat, first) in parts.items()}
-            out[rows] = (m["kw"][:, :, None] * _values(m, {f"v{p}": m[f"o{p}"] for p in range(3)})).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("h"), *(pa.array(out[:, i]) for i in range(len(NAMES)))], names=["g", "h", *(f"x{i}" for i in range(len(NAMES)))])
+
+def _measure(measure: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The unit's value, made in the second array's place."""
+
+    def closeness(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        z -= a
+        np.abs(z, out=z)
+        z += 1
+        return np.divide(1, z, out=z)
+
+    def ratio(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        high = np.maximum(a, z)
+        high += 1
+        np.minimum(a, z, out=z)
+        z += 1
+        z /= high
+        return z
+
+    return closeness if measure == "closeness" else ratio
 
 
 def _partner_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = saved(blocks(spark, sf_dir, informative=False), "blocks")  # the events are read once
+    arrays = ", ".join(f"transform(s, x -> CAST(x.{c} AS DOUBLE)) AS {c}" for c in ("kw", "v0", "v1", "v2"))
+    each = f"SELECT g, CAST(floor(t / {SLAB}) AS BIGINT) AS t, sort_array(collect_list(struct(t, kw, v0, v1, v2))) AS s FROM tw GROUP BY g, CAST(floor(t / {SLAB}) AS BIGINT)"
+    every = saved(dialect.run(spark, sf_dir, f"WITH{inference.BASE} SELECT g, t, {arrays} FROM ({each})"), "slabs")  # the events are read once
     places = saved(numbered(every.select("g").distinct(), [F.col("g")]), "groups")
-    de = saved(derange.derangements(places, inference.PARTNERS, inference.SEEDS["partner"], len(NAMES)), "derangements")
-    mine = every.where("exists(kw, x -> x <> 0)").select("g", "b", "kw", "v0", "v1", "v2")  # blocks of both classes
-    other = every.select(F.col("g").alias("h"), "b", *(F.col(f"v{p}").alias(f"o{p}") for p in range(3)))
-    met = de.select("g", "h").distinct().repartition(partitions, "g", "h").join(mine, "g").join(other, ["h", "b"])
-    sums = ", ".join(f"x{i} double" for i in range(len(NAMES)))
-    pairs = met.select("g", "h", "kw", "v0", "v1", "v2", "o0", "o1", "o2").mapInArrow(_met, f"g long, h long, {sums}")
-    pairs = pairs.groupBy("g", "h").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(len(NAMES))))
-    own = F.expr("CASE f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(NAMES))) + " END")
-    got = de.join(pairs, ["g", "h"]).groupBy("r", "f").agg(F.sum(own).alias("e"))
+    n, rows = places.count(), every.join(places, "g")
+    chosen = derange.chosen(places, n, inference.PARTNERS, inference.SEEDS["partner"], len(NAMES)) if n else [[]] * len(NAMES)
+    of = [inference.PAIRS[d] for d, _ in inference.UNITS]
+    mine, theirs = (F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(pair[k]).alias("x")) for f, pair in enumerate(of)))).alias("q") for k in (0, 1))
+    mine = rows.where("exists(kw, x -> x <> 0)").select("i", "t", "kw", mine).select("q.f", "i", "t", "kw", "q.x")  # trials of blocks of both classes
+    theirs = rows.select("i", "t", theirs).select("q.f", "i", "t", "q.x")
+    got = partners.summed(mine, theirs, n, chosen, inference.SEEDS["partner"], [partners.values(_measure(m)) for _, m in inference.UNITS])
     return got.select("r", F.expr("CASE f " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END").alias("u"), "e")
 
 
