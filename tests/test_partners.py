@@ -65,7 +65,7 @@ def test_signals_of_unlike_lengths(spark, n):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-@pytest.mark.parametrize("name", ["partner_null"])
+@pytest.mark.parametrize("name", ["partner_null", "connectivity_partner_null_maxt", "band_partner_null_maxt"])
 def test_draws_are_no_rows(spark, monkeypatch, name):
     """What is written grows with the groups, not with realizations or with pairs of groups (500 groups at sf0.1 had 3 million derangements)."""
     written = {}
