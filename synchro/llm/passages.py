@@ -14,6 +14,9 @@ all texts in one array would not fit a task, so equal strings are first brought
    reaches MATCH bytes are one string; its smallest doc_id is the smallest of the run.
 5. Places go back to their flush with that id; bytes of documents with larger ids are removed there.
 
+Of documents with one text (by a 128-bit digest) only those of the smallest doc_id go through these steps: a copy loses all its bytes
+to that one, and whatever a third document has in common with the copy it has in common with a smaller doc_id already.
+
 No group grows with a passage's copies but by one row a flush; a bucket holds BUCKET_BYTES or so, whatever the table's size.
 
 Null and empty texts have no bytes and lose none.  A null doc_id is neither smaller nor larger: its row loses
@@ -24,6 +27,7 @@ in pieces.  An empty table gives no rows.  Other columns are not looked at.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -63,17 +67,19 @@ def _flushes(batches: Iterator) -> Iterator:
     for batch in batches:
         ids = batch.column("doc_id")
         for i, j, data, at in C.chunks(batch.column("text"), FLUSH_BYTES):
-            of = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids.slice(i, j - i))
+            whole, known = memoryview(data), ids.slice(i, j - i).is_valid().to_numpy(zero_copy_only=False)
+            marks = [hashlib.blake2b(whole[a:b], digest_size=16).digest() if k and b - a >= MATCH else None for k, a, b in zip(known, at.tolist(), at[1:].tolist(), strict=False)]
+            of, marks = (pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (ids.slice(i, j - i), pa.array(marks, pa.binary())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), of, pa.array([at.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["flush", "ids", "offsets", "data"]
+                [pa.array([number], pa.int64()), of, marks, pa.array([at.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["flush", "ids", "marks", "offsets", "data"]
             )
             number += 1
 
 
 def flushes(docs: DataFrame, total: int) -> DataFrame:
-    """flush, ids, offsets, data: the texts end to end, in a table bucketed by flush in the shared folder."""
+    """flush, ids, marks (digests of texts that may have copies), offsets, data: the texts end to end, in a table bucketed by flush in the shared folder."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_flushes, "flush long, ids array<long>, offsets binary, data binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_flushes, "flush long, ids array<long>, marks array<binary>, offsets binary, data binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TABLE_BYTES))
     name = f"flushes_{uuid.uuid4().hex}"
     rows.write.bucketBy(min(parts, 100_000), "flush").option("path", C.scratch_path(spark, "flushes")).option("compression", "zstd").saveAsTable(name)
@@ -84,11 +90,23 @@ def flushes(docs: DataFrame, total: int) -> DataFrame:
     return table
 
 
-def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets, ids (0 for null) and which ids are known, of a flush."""
+def copies(table: DataFrame) -> DataFrame:
+    """flush, copies: places in the flush of texts that a smaller doc_id has, too; one row a flush and text is compared."""
+    each = table.select("flush", F.posexplode(F.arrays_zip("ids", "marks")).alias("place", "q")).where("q.marks IS NOT NULL")
+    each = each.groupBy("flush", F.col("q.marks").alias("mark")).agg(F.min("q.ids").alias("low"), F.max("q.ids").alias("high"), F.collect_list(F.struct(F.col("q.ids").alias("id"), "place")).alias("rows"))
+    first = each.groupBy("mark").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("mark", "first")
+    found = each.where("high IS NOT NULL").join(first, "mark").select("flush", F.expr("transform(filter(rows, x -> x.id > first), x -> x.place)").alias("places"))
+    return found.groupBy("flush").agg(F.flatten(F.collect_list("places")).alias("copies"))
+
+
+def _texts(table, more) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, bytes, offsets, ids (0 for null), which ids are known, and which texts are copies, of a flush; `more` may have its copies."""
+    row = table.select(["flush", "ids", "offsets", "data"]).to_pylist()[0]
     ids = row["ids"] or []
-    known = np.array([i is not None for i in ids], bool)
-    return np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], np.int64), np.array([i or 0 for i in ids], np.int64), known
+    known, copy = np.array([i is not None for i in ids], bool), np.zeros(len(ids), bool)
+    for places in more.column("copies").to_pylist():
+        copy[places or []] = True
+    return row["flush"], np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], np.int64), np.array([i or 0 for i in ids], np.int64), known, copy
 
 
 # ---------------------------------------------------------------- anchors
@@ -139,29 +157,30 @@ def keys(hashes: np.ndarray, bits: int) -> np.ndarray:
 def _sent(bits: int):
     """Distinct anchors of each flush by bucket: BITS bits, whether it is common there, whether several documents of the flush have it."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(key, own, more):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, at, ids, known = _texts(row)
-                found = [(keys(h, bits), s) for s, _, h in anchors(data, at, known)]
-                if not found:
-                    continue
-                key, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(key, kind="stable")
-                key, owner = key[order], ids[np.searchsorted(at, place[order], "right") - 1]
-                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-                if not len(new):
-                    continue
-                many = np.minimum.reduceat(owner, new) < np.maximum.reduceat(owner, new)
-                often = np.diff(np.append(new, len(key))) >= COMMON
-                key = key[new]
-                packed = ((key & _U64((1 << BITS) - 1)) << _U64(2) | (often.astype(_U64) << _U64(1)) | many.astype(_U64)).view(np.uint8).reshape(-1, 8)[:, :5]
-                bucket = (key >> _U64(BITS)).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                parts = [packed[x:y].tobytes() for x, y in zip(cut, np.append(cut[1:], len(bucket)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), row["flush"])), pa.array(parts, pa.binary())], names=["bucket", "flush", "keys"])
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "flush", "keys"])
+        if not own.num_rows:
+            return empty
+        flush, data, at, ids, known, copy = _texts(own, more)
+        found = [(keys(h, bits), s) for s, _, h in anchors(data, at, known & ~copy)]
+        if not found:
+            return empty
+        key, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], ids[np.searchsorted(at, place[order], "right") - 1]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        if not len(new):
+            return empty
+        many = np.minimum.reduceat(owner, new) < np.maximum.reduceat(owner, new)
+        often = np.diff(np.append(new, len(key))) >= COMMON
+        key = key[new]
+        packed = ((key & _U64((1 << BITS) - 1)) << _U64(2) | (often.astype(_U64) << _U64(1)) | many.astype(_U64)).view(np.uint8).reshape(-1, 8)[:, :5]
+        bucket = (key >> _U64(BITS)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        parts = [packed[x:y].tobytes() for x, y in zip(cut, np.append(cut[1:], len(bucket)), strict=True)]
+        return pa.table([pa.array(bucket[cut]), pa.array(np.full(len(cut), flush)), pa.array(parts, pa.binary())], names=["bucket", "flush", "keys"])
 
     return run
 
@@ -205,14 +224,14 @@ def _segments(bits: int, buckets: int):
         names = [x.split()[0] for x in _SEGMENTS.split(", ")]
         types = [pa.int64(), pa.int64()] + [pa.binary()] * 6
         empty = pa.table([pa.array([], t) for t in types], names=names)
-        if not own.num_rows or not sent.num_rows:
+        shared = sent.column("anchors").drop_null().to_pylist()
+        if not own.num_rows or not shared:
             return empty
-        row = own.to_pylist()[0]
-        data, at, ids, known = _texts(row)
-        value = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in sent.column("anchors").to_pylist()]))
+        flush, data, at, ids, known, copy = _texts(own, sent)
+        value = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in shared]))
         wanted, common = value >> _U64(1), (value & _U64(1)) > 0
         starts, counts, hashes = [], [], []
-        for s, n, h in anchors(data, at, known):
+        for s, n, h in anchors(data, at, known & ~copy):
             h = keys(h, bits)
             k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             hit = wanted[k] == h
@@ -256,7 +275,8 @@ def _segments(bits: int, buckets: int):
             text, _ = ragged(data, start[new[x:y]], size[new[x:y]])
             for column, v in zip(columns, (size[new[x:y]].astype(np.uint16), copies[x:y].astype(np.uint32), least[x:y], most[x:y], start[held].astype(np.uint32), text), strict=True):
                 column.append(v.tobytes())
-        return pa.table([pa.array(of[cut]), pa.array(np.full(len(cut), row["flush"]))] + [pa.array(c, pa.binary()) for c in columns], names=names)
+            columns[-1][-1] = pa.compress(columns[-1][-1], codec="zstd", asbytes=True)
+        return pa.table([pa.array(of[cut]), pa.array(np.full(len(cut), flush))] + [pa.array(c, pa.binary()) for c in columns], names=names)
 
     return run
 
@@ -269,7 +289,8 @@ def _sorted(key, table):
     import pyarrow as pa
 
     rows = table.to_pylist()
-    part = {k: [np.frombuffer(r[k], t) for r in rows] for k, t in (("sizes", np.uint16), ("copies", np.uint32), ("least", np.int64), ("most", np.int64), ("places", np.uint32), ("strings", np.uint8))}
+    part = {k: [np.frombuffer(r[k], t) for r in rows] for k, t in (("sizes", np.uint16), ("copies", np.uint32), ("least", np.int64), ("most", np.int64), ("places", np.uint32))}
+    part["strings"] = [np.frombuffer(pa.decompress(r["strings"], int(n.sum(dtype=np.int64)), "zstd"), np.uint8) for r, n in zip(rows, part["sizes"], strict=True)]
     size, copies, least, most, places, text = (np.concatenate(part[k]) for k in ("sizes", "copies", "least", "most", "places", "strings"))
     size, copies = size.astype(np.int64), copies.astype(np.int64)
     # distinct segments of all flushes, and the smallest doc_id of each
@@ -323,11 +344,13 @@ def _removed(key, own, found):
     """doc_id, n_bytes, the removed runs, and what is left of each text of a flush."""
     import pyarrow as pa
 
-    row = own.to_pylist()[0]
-    data, at, ids, known = _texts(row)
+    _, data, at, ids, known, copy = _texts(own, found)
     step = np.zeros(len(data) + 1, np.int32)
-    if found.num_rows:
-        hit = np.concatenate([np.frombuffer(x, _FOUND) for x in found.column("found").to_pylist()])
+    np.add.at(step, at[:-1][copy], 1)
+    np.add.at(step, at[1:][copy], -1)
+    hits = found.column("found").drop_null().to_pylist()
+    if hits:
+        hit = np.concatenate([np.frombuffer(x, _FOUND) for x in hits])
         place = hit["place"].astype(np.int64)
         hit, place = (x[ids[np.searchsorted(at, place, "right") - 1] > hit["least"]] for x in (hit, place))
         np.add.at(step, place, 1)
@@ -340,7 +363,7 @@ def _removed(key, own, found):
     left = np.concatenate(([0], np.cumsum(~gone)))[at]
     kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(left), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
     return pa.table({
-        "doc_id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(np.diff(at)),
+        "doc_id": pa.array(ids, pa.int64(), mask=~known), "n_bytes": pa.array(np.diff(at)),
         "removed": pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans), "kept": kept.cast(pa.binary()),
     })
 
@@ -351,15 +374,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     table = flushes(docs, total)
     bits = max(0, math.ceil(math.log2(max(1, total * 5 / 18 / ANCHOR_BYTES))))
-    sent = table.mapInArrow(_sent(bits), "bucket long, flush long, keys binary")
+    by_flush, same = table.groupBy("flush"), C.saved(copies(table), "copies")
+    with_same = lambda df: df.unionByName(same, allowMissingColumns=True).groupBy("flush")
+    sent = by_flush.cogroup(same.groupBy("flush")).applyInArrow(_sent(bits), "bucket long, flush long, keys binary")
     shared = C.saved(sent.groupBy("bucket").applyInArrow(_shared, "flush long, anchors binary"), "anchors")
     count = (shared.agg(F.sum(F.octet_length("anchors").cast("long"))).first()[0] or 0) / 8
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * 67 / BUCKET_BYTES))
-    by_flush = table.groupBy("flush")
-    segments = by_flush.cogroup(shared.groupBy("flush")).applyInArrow(_segments(bits, buckets), _SEGMENTS)
+    segments = by_flush.cogroup(with_same(shared)).applyInArrow(_segments(bits, buckets), _SEGMENTS)
     found = C.saved(segments.groupBy("bucket").applyInArrow(_sorted, "flush long, found binary"), "found")
     schema = "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary"
-    return by_flush.cogroup(found.groupBy("flush")).applyInArrow(_removed, schema)
+    return by_flush.cogroup(with_same(found)).applyInArrow(_removed, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

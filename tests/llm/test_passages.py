@@ -98,3 +98,22 @@ def test_only_small_suffixes_are_sorted_directly(monkeypatch):
     order = suffixes.suffix_order(data, np.ones(len(data), bool))
     assert order.tolist() == sorted(range(len(data)), key=lambda i: text[i:])
     assert sorted(seen) == [i for i in range(len(text)) if i == len(text) - 1 or text[i:] < text[i + 1 :]]
+
+
+def test_whole_copies_take_no_part(spark):
+    """Texts that a smaller doc_id has whole lose all bytes and send no anchors; rows of one doc_id, short texts and null ids stay as they are."""
+    rng = np.random.default_rng(12)
+    words = lambda k: " ".join(f"w{v}" for v in rng.integers(0, 10**6, k))
+    one, two, shared = words(60), words(60), words(20)
+    rows = [(5, one), (3, one), (3, one), (9, one), (None, one), (4, shared + one), (7, two + shared), (8, two + shared), (2, "short"), (6, "short"), (1, ""), (0, None)]
+    docs = spark.createDataFrame(rows * 1, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in passages.without_repeats(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, [(x.start, x.stop) for x in r.removed], bytes(r.kept).decode()))
+    n = len(one)
+    assert got[3] == [(n, [], one)] * 2 and got[None] == [(n, [], one)] and got[5] == got[9] == [(n, [(0, n)], "")]
+    assert got[4] == [(len(shared) + n, [(len(shared), len(shared) + n)], shared)]
+    assert got[7] == [(len(two + shared), [(len(two), len(two + shared))], two)] and got[8] == [(len(two + shared), [(0, len(two + shared))], "")]
+    assert got[2] == got[6] == [(5, [], "short")] and got[1] == got[0] == [(0, [], "")]
+    table = passages.flushes(docs, 10_000)
+    assert sum(len(r.copies) for r in passages.copies(table).collect()) == 3
